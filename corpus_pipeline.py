@@ -25,7 +25,8 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality policy rejects go."""
-    kept = apply_policy(ledger(docs)).where("kept").select("doc_id").distinct()
+    book = _shared.materialize(ledger(docs), "ledger")  # stored first: a filter would repeat the rules' expressions
+    kept = apply_policy(book).where("kept").select("doc_id").distinct()
     # Null ids cannot be joined; their rows are judged by their text, as the others are.
     return _like(docs, docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi"))
 
