@@ -37,8 +37,8 @@ from .components import components
 U = np.uint64
 NUM, DEN = 3, 4  # links: DEN * intersection >= NUM * union
 HASHES, AGREE = 6, 3
-BITS = 1024
-HOT_LOCAL, HOT_LEAST, HOT_MOST = 8, 200, 1 << 20
+NARROW, WIDE = 256, 1 << 17  # bits of a bitmap: the power of two from twice the size of the set, within these
+HOT_LOCAL, HOT_LEAST, HOT_MOST, HOT_SLICES = 2, 32, 1 << 21, 8
 LEAF, FANOUT, CHUNK, STAR_ROWS = 64, 4, 2048, 2000
 MARKS = 1 << 20
 
@@ -49,12 +49,25 @@ def _schema(ddl: str) -> list[str]:
     return [f.split()[0] for f in ddl.split(", ")]
 
 
+def width(n: np.ndarray) -> np.ndarray:
+    """Bits of the bitmap of a set of ``n``."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), NARROW, WIDE)
+
+
 def _features(k: int):
     salts = _text.mix(np.arange(1, HASHES + 1).astype(U)) | U(1)
+    none = lambda t, m: pa.nulls(m, t)
+
+    def frequent(held):
+        value, count = np.unique(np.concatenate(held), return_counts=True)
+        common = count >= HOT_LOCAL
+        hot, times, m = value[common].view(np.int64), count[common], int(common.sum())
+        return pa.RecordBatch.from_arrays([none(pa.int64(), m), none(pa.int32(), m), none(pa.int64(), m), none(pa.int64(), m), none(pa.list_(pa.int64()), m), none(pa.binary(), m), pa.array(hot), pa.array(times.astype(np.int64))], _schema(_FEATURES))
 
     def run(batches):
+        held = []
         for b in batches:
-            for part in _text.slices(b, most=1 << 22):
+            for part in _text.slices(b):
                 h, at = _text.shingles(_text.Words(part.column("text")), k)
                 n = np.diff(at)
                 some = np.flatnonzero(n)
@@ -62,27 +75,24 @@ def _features(k: int):
                 rows = part.num_rows
                 fp = np.zeros((2, rows), U)
                 mh = np.zeros((rows, HASHES), U)
-                bits = np.zeros((rows, BITS // 8), np.uint8)
+                bits = np.concatenate([[0], np.cumsum(width(n))])
+                on = np.zeros(bits[-1], bool)
                 if len(some):
                     for i in (0, 1):
                         fp[i, some] = np.add.reduceat(_text.mix(h ^ U(0xABCD + i)), starts)
                     for i, s in enumerate(salts):
                         mh[some, i] = np.minimum.reduceat(_text.mix(h * s), starts)
-                    slot = (h >> U(20)) % U(BITS)
                     owner = np.repeat(np.arange(rows), n)
-                    on = np.zeros(rows * BITS, bool)
-                    on[owner * BITS + slot.astype(np.int64)] = True
-                    bits = np.packbits(on.reshape(rows, BITS), axis=1)
-                value, count = np.unique(h, return_counts=True)
-                common = count >= HOT_LOCAL
-                hot, times = value[common].view(np.int64), count[common]
+                    on[bits[owner] + ((h >> U(20)).astype(np.int64) & (width(n)[owner] - 1))] = True
+                    held.append(h)
                 mh_rows = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * HASHES), pa.array(mh.reshape(-1).view(np.int64)))
-                raw = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.arange(rows + 1, dtype=np.int32) * np.int32(BITS // 8)), pa.py_buffer(np.ascontiguousarray(bits).reshape(-1))])
-                none = lambda t, m: pa.nulls(m, t)
+                raw = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((bits // 8).astype(np.int32)), pa.py_buffer(np.packbits(on))])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(fp[0].view(np.int64)), pa.array(fp[1].view(np.int64)), mh_rows, raw, none(pa.int64(), rows), none(pa.int64(), rows)], _schema(_FEATURES))
-                if len(hot):
-                    m = len(hot)
-                    yield pa.RecordBatch.from_arrays([none(pa.int64(), m), none(pa.int32(), m), none(pa.int64(), m), none(pa.int64(), m), none(pa.list_(pa.int64()), m), none(pa.binary(), m), pa.array(hot), pa.array(times.astype(np.int64))], _schema(_FEATURES))
+                if len(held) >= HOT_SLICES:
+                    yield frequent(held)
+                    held = []
+        if held:
+            yield frequent(held)
 
     return run
 
@@ -96,7 +106,7 @@ def _prefixes(k: int, hot):
     def run(batches):
         common = hot.value
         for b in batches:
-            for part in _text.slices(b, most=1 << 22):
+            for part in _text.slices(b):
                 h, at = _text.shingles(_text.Words(part.column("text")), k)
                 n = np.diff(at)
                 doc = np.repeat(np.arange(part.num_rows), n)
@@ -190,45 +200,113 @@ def dual(p: Tree, q: Tree, same: bool):
             stack += [(lp, i, lq - 1, k) for k in range(*others) if not same or q.levels[lq - 1][0][k][1] > a]
 
 
+class Rows:
+    """Rows of blocks; bitmaps as matrices by width, and folded to half of it."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.col = {c: batch.column(c).to_numpy() for c in ("side", "rep", "comp", "n", "mh0")}
+        raw, at = _text.utf8(batch.column("bits"))
+        self.width = np.diff(at) * 8
+        self.place, self.own, self.half = np.zeros(batch.num_rows, np.int64), {}, {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == w)
+            self.place[rows] = np.arange(len(rows))
+            self.own[w] = raw[(at[rows][:, None] + np.arange(w // 8)).reshape(-1)].view(U).reshape(len(rows), w // 64)
+            self.half[w // 2] = np.bitwise_or(self.own[w][:, : w // 128], self.own[w][:, w // 128 :])
+
+    def bits(self, rows: np.ndarray, w: int) -> np.ndarray:
+        """Bitmaps of rows of width ``w`` or twice that, all in ``w`` bits."""
+        out = np.zeros((len(rows), w // 64), U)
+        same = self.width[rows] == w
+        if same.any():
+            out[same] = self.own[w][self.place[rows[same]]]
+        if not same.all():
+            out[~same] = self.half[w][self.place[rows[~same]]]
+        return out
+
+    def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of rows are of two components and could be linked."""
+        n, comp = self.col["n"].astype(np.int64), self.col["comp"]
+        ok = np.flatnonzero((comp[i] != comp[j]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])))
+        out = []
+        narrow = np.minimum(self.width[i[ok]], self.width[j[ok]])
+        for w in np.unique(narrow).tolist():
+            at = ok[narrow == w]
+            for lo in range(0, len(at), 4096):
+                p = at[lo : lo + 4096]
+                a, b = self.bits(i[p], w), self.bits(j[p], w)
+                m1, m2 = np.bitwise_count(a & ~b).sum(1, dtype=np.int64), np.bitwise_count(b & ~a).sum(1, dtype=np.int64)
+                out.append(p[_possible(n[i[p]], n[i[p]], m1, n[j[p]], n[j[p]], m2)])
+        return np.concatenate(out) if out else ok[:0]
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        p = self.fits(i, j)
+        a, b = self.col["rep"][i[p]], self.col["rep"][j[p]]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    def large(self, rows: np.ndarray):
+        """Pairs of one block by signature trees, one for each side and width."""
+        side, w_of, n = self.col["side"][rows], self.width[rows], self.col["n"].astype(np.int64)
+
+        def tree(own, w):
+            return Tree(n[own], self.bits(own, w), np.lexsort((self.col["mh0"][own], n[own])))
+
+        sides = [s for s in (0, 1) if (side == s).any()]
+        for w in np.unique(w_of).tolist():
+            for x, y in ((w, w), (w, 2 * w), (2 * w, w)):
+                p, q = rows[(side == sides[0]) & (w_of == x)], rows[(side == sides[-1]) & (w_of == y)]
+                one = len(sides) == 1
+                if not len(p) or not len(q) or one and x > y:
+                    continue
+                t = tree(p, w)
+                for i, j in dual(t, t if one and x == y else tree(q, w), one and x == y):
+                    yield p[i], q[j]
+
+
 def _blocks(batches):
     """Candidate pairs of blocks; rows come sorted by (token, ci, cj, side)."""
-    names = ("rep", "comp", "n", "mh0")
-
-    def pairs(rows):
-        side = np.concatenate([r["side"] for r in rows])
-        col = {c: np.concatenate([r[c] for r in rows]) for c in names}
-        bits = np.concatenate([r["bits"] for r in rows])
-        _, first = np.unique(np.stack([side, col["rep"], col["mh0"]]), axis=1, return_index=True)  # a class has a row for each of its copies
-        side, bits, col = side[first], bits[first], {c: v[first] for c, v in col.items()}
-        own = [o for s in (0, 1) if len(o := np.flatnonzero(side == s))]
-        if len(np.unique(col["comp"])) < 2:
-            return
-        trees = [Tree(col["n"][o].astype(np.int64), bits[o], np.lexsort((col["mh0"][o], col["n"][o]))) for o in own]
-        for i, j in dual(trees[0], trees[-1], len(trees) == 1):
-            i, j = own[0][i], own[-1][j]
-            ok = col["comp"][i] != col["comp"][j]
-            a, b = col["rep"][i[ok]], col["rep"][j[ok]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    held, key = [], None
+
+    def done(batch):
+        keys = np.stack([batch.column(c).to_numpy() for c in ("token", "ci", "cj")])
+        new = np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])
+        block = np.cumsum(new) - 1
+        size = np.bincount(block)
+        rows = Rows(batch)
+        # Blocks of one leaf: all their pairs at once, by distance in the sort.
+        small = (size <= LEAF)[block] & (keys[1] == keys[2])
+        at = np.flatnonzero(small)
+        far, i, j = int(size[size <= LEAF].max(initial=1)), [], []
+        for d in range(1, far):
+            p = at[: len(at) - d] if d < len(at) else at[:0]
+            p = p[block[p] == block[np.minimum(p + d, len(block) - 1)]]
+            p = p[p + d < len(block)]
+            i.append(p)
+            j.append(p + d)
+        if i:
+            yield rows.pairs(np.concatenate(i), np.concatenate(j))
+        cut = np.append(np.flatnonzero(new), len(block))
+        for k in np.unique(block[~small]):
+            for i, j in rows.large(np.arange(cut[k], cut[k + 1])):
+                yield rows.pairs(i, j)
+
+    held = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy() for c in ("token", "ci", "cj")])
-        cut = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [batch.num_rows]])
-        column = {c: batch.column(c).to_numpy() for c in (*names, "side")}
-        data, _ = _text.utf8(batch.column("bits"))
-        bits = data.reshape(batch.num_rows, BITS // 8).view(U)
-        for x, y in zip(cut[:-1], cut[1:], strict=True):
-            now = tuple(keys[:, x].tolist())
-            if now != key and held:
-                yield from pairs(held)
-                held = []
-            key = now
-            held.append({c: v[x:y] for c, v in column.items()} | {"bits": bits[x:y]})
+        last = [batch.column(c)[batch.num_rows - 1].as_py() for c in ("token", "ci", "cj")]
+        same = np.logical_and.reduce([batch.column(c).to_numpy() == v for c, v in zip(("token", "ci", "cj"), last, strict=True)])
+        cut = int(np.flatnonzero(same)[0])  # the last block may go on
+        if cut:
+            yield from done(_joined([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
     if held:
-        yield from pairs(held)
+        yield from done(_joined(held))
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
