@@ -66,6 +66,10 @@ def parse_column(c: Column) -> Column:
 
 
 def to_text(c: Column) -> Column:
+    return bind(c, _text)
+
+
+def _text(c: Column) -> Column:
     byte = lambda x: F.floor(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * 255 + 0.5).cast("string")
     alpha = F.when(c["a"] == F.floor(c["a"]), c["a"].cast("long").cast("string")).otherwise(c["a"].cast("string"))
     return F.concat(F.lit("rgba("), F.concat_ws(",", byte(c["r"]), byte(c["g"]), byte(c["b"]), alpha), F.lit(")"))
@@ -82,42 +86,53 @@ _WHITE = (0.95047, 1.0, 1.08883)
 _EPSILON = 6 / 29
 
 
-def _lab(c: Column) -> tuple[Column, Column, Column]:
-    line = [F.when(c[k] <= 0.04045, c[k] / 12.92).otherwise(F.pow((c[k] + 0.055) / 1.055, F.lit(2.4))) for k in "rgb"]
-    f = []
-    for row, w in zip(_XYZ, _WHITE, strict=True):
-        x = (line[0] * row[0] + line[1] * row[1] + line[2] * row[2]) / w
-        f.append(F.when(x > _EPSILON**3, F.cbrt(x)).otherwise(x / (3 * _EPSILON**2) + 4 / 29))
-    return 116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])
+def bind(value: Column, f) -> Column:
+    """f(value) with ``value`` evaluated once, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _named(**columns: Column) -> Column:
+    return F.struct(*(c.alias(n) for n, c in columns.items()))
 
 
-def _from_lab(li: Column, a: Column, b: Column, alpha: Column) -> Column:
-    y = (li + 16) / 116
-    xyz = []
-    for f, w in ((y + a / 500, _WHITE[0]), (y, _WHITE[1]), (y - b / 200, _WHITE[2])):
-        xyz.append(w * F.when(f > _EPSILON, f * f * f).otherwise(3 * _EPSILON**2 * (f - 4 / 29)))
-    out = []
-    for row in _RGB:
-        v = xyz[0] * row[0] + xyz[1] * row[1] + xyz[2] * row[2]
-        v = F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
-        out.append(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))
-    return struct(*out, alpha)
+def _lab(c: Column) -> Column:
+    """Struct l, a, b of a colour."""
+    line = lambda x: F.when(x <= 0.04045, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, F.lit(2.4)))
+    curve = lambda x: F.when(x > _EPSILON**3, F.cbrt(x)).otherwise(x / (3 * _EPSILON**2) + 4 / 29)
+    linear = bind(c, lambda k: _named(r=line(k["r"]), g=line(k["g"]), b=line(k["b"])))
+    dot = lambda k, row, w: (k["r"] * row[0] + k["g"] * row[1] + k["b"] * row[2]) / w
+    xyz = bind(linear, lambda k: _named(**{n: dot(k, row, w) for n, row, w in zip("xyz", _XYZ, _WHITE, strict=True)}))
+    bent = bind(xyz, lambda k: _named(**{n: curve(k[n]) for n in "xyz"}))
+    return bind(bent, lambda k: _named(l=116 * k["y"] - 16, a=500 * (k["x"] - k["y"]), b=200 * (k["y"] - k["z"])))
+
+
+def _from_lab(lab: Column, alpha: Column) -> Column:
+    curve = lambda f: F.when(f > _EPSILON, f * f * f).otherwise(3 * _EPSILON**2 * (f - 4 / 29))
+    gamma = lambda v: F.when(v <= 0.0031308, v * 12.92).otherwise(1.055 * F.pow(F.greatest(v, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
+    clamp = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
+    bent = bind(lab, lambda k: _named(x=(k["l"] + 16) / 116 + k["a"] / 500, y=(k["l"] + 16) / 116, z=(k["l"] + 16) / 116 - k["b"] / 200))
+    xyz = bind(bent, lambda k: _named(**{n: w * curve(k[n]) for n, w in zip("xyz", _WHITE, strict=True)}))
+    linear = bind(xyz, lambda k: _named(**{n: k["x"] * row[0] + k["y"] * row[1] + k["z"] * row[2] for n, row in zip("rgb", _RGB, strict=True)}))
+    return bind(linear, lambda k: struct(*(clamp(gamma(k[n])) for n in "rgb"), alpha))
 
 
 def mix_lab(a: Column, b: Column, t: Column) -> Column:
-    p, q = _lab(a), _lab(b)
-    return _from_lab(*(x + t * (y - x) for x, y in zip(p, q, strict=True)), a["a"] + t * (b["a"] - a["a"]))
+    both = _named(p=_lab(a), q=_lab(b), t=t)
+    lab = bind(both, lambda k: _named(**{n: k["p"][n] + k["t"] * (k["q"][n] - k["p"][n]) for n in "lab"}))
+    return _from_lab(lab, a["a"] + t * (b["a"] - a["a"]))
 
 
 def mix_hcl(a: Column, b: Column, t: Column) -> Column:
     """Along the shorter way round the hue circle."""
 
     def lch(c):
-        li, x, y = _lab(c)
-        return li, F.sqrt(x * x + y * y), F.atan2(y, x)
-
-    (l1, c1, h1), (l2, c2, h2) = lch(a), lch(b)
-    turn = h2 - h1
-    turn = F.when(turn > math.pi, turn - 2 * math.pi).when(turn < -math.pi, turn + 2 * math.pi).otherwise(turn)
-    chroma, hue = c1 + t * (c2 - c1), h1 + t * turn
-    return _from_lab(l1 + t * (l2 - l1), chroma * F.cos(hue), chroma * F.sin(hue), a["a"] + t * (b["a"] - a["a"]))
+        return bind(_lab(c), lambda k: _named(l=k["l"], c=F.sqrt(k["a"] * k["a"] + k["b"] * k["b"]), h=F.atan2(k["b"], k["a"])))
+
+    def between(k):
+        turn = k["q"]["h"] - k["p"]["h"]
+        turn = F.when(turn > math.pi, turn - 2 * math.pi).when(turn < -math.pi, turn + 2 * math.pi).otherwise(turn)
+        return _named(l=k["p"]["l"] + k["t"] * (k["q"]["l"] - k["p"]["l"]), c=k["p"]["c"] + k["t"] * (k["q"]["c"] - k["p"]["c"]), h=k["p"]["h"] + k["t"] * turn)
+
+    mixed = bind(_named(p=lch(a), q=lch(b), t=t), between)
+    lab = bind(mixed, lambda k: _named(l=k["l"], a=k["c"] * F.cos(k["h"]), b=k["c"] * F.sin(k["h"])))
+    return _from_lab(lab, a["a"] + t * (b["a"] - a["a"]))

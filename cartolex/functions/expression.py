@@ -624,12 +624,15 @@ def _slice(_, args, cx):
     bounds = [numeric(compile_node(a, cx)) for a in args[1:]]
     size = F.char_length(n.value) if n.type == STRING else F.size(n.value)
 
-    def clamp(b: Column) -> Column:
-        b = b.cast("int")
-        return F.least(F.greatest(F.when(b < 0, size + b).otherwise(b), F.lit(0)), size)
-
-    a, b = clamp(bounds[0].value), clamp(bounds[1].value) if len(bounds) > 1 else size
-    count = F.greatest(b - a, F.lit(0))
+    def clamp(b: Node) -> Column:
+        if b.is_const:  # few nodes: the optimizer multiplies nested conditions
+            k = int(b.const)
+            return F.lit(k) if k >= 0 else F.greatest(size + k, F.lit(0))
+        c = b.value.cast("int")
+        return F.greatest(F.when(c < 0, size + c).otherwise(c), F.lit(0))
+
+    a, b = clamp(bounds[0]), clamp(bounds[1]) if len(bounds) > 1 else size
+    count = F.greatest(F.least(b, size) - a, F.lit(0))
     err = any_of(n.err, *(x.err for x in bounds))
     if n.type == STRING:
         return Node(F.substring(textual(n).value, a + 1, count), any_of(textual(n).err, err), STRING)
@@ -703,8 +706,9 @@ def as_number(n: Node) -> Node:
     if n.type == BOOLEAN:
         return Node(F.coalesce(n.value.cast("double"), F.lit(0.0)), n.err, NUMBER)
     if n.type == STRING:
-        t = F.trim(n.value)
-        v = F.when(t.isNull(), 0.0).when(t.rlike(NUMERIC), t.try_cast("double"))
+        read = lambda t: F.when(t.rlike(NUMERIC), t.try_cast("double"))
+        v = colors.bind(F.trim(n.value), read)
+        v = F.when(n.value.isNull(), 0.0).otherwise(v) if n.nullable else v
         return Node(v, any_of(n.err, v.isNull()), NUMBER)
     return Node(F.lit(None).cast("double"), F.lit(True), NUMBER)
 

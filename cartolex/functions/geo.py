@@ -57,7 +57,7 @@ def hilbert_id(z: int, x: Column, y: Column) -> Column:
     state = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
 
     def walk(s, i):
-        half = F.shiftleft(F.lit(1).cast("long"), i)
+        half = F.call_function("shiftleft", F.lit(1).cast("long"), i)
         rx = F.when(s["x"].bitwiseAND(half) != 0, F.lit(1)).otherwise(0)
         ry = F.when(s["y"].bitwiseAND(half) != 0, F.lit(1)).otherwise(0)
         d = s["d"] + half * half * ((rx * 3).bitwiseXOR(ry))
