@@ -161,7 +161,7 @@ def _tokens(batches):
             for p in {*counts, *texts}:
                 own = texts.get(p, [])
                 said = [t for k in own if (t := k.text())]
-                yield_row = found.setdefault((url, p), [0, 0, True, 0, 0, 1 << 62, -(1 << 63), False, True])
+                yield_row = found.setdefault((url, p), [0, 0, True, 0, 0, (1 << 63) - 1, -(1 << 63), False, True])
                 c, print_ = counts.get(p, 1), _hash(*said)
                 yield_row[0] += 1
                 yield_row[1] ^= _hash(page, c)
