@@ -42,7 +42,7 @@ from .induced import equal_windows, suffix_array
 
 U = np.uint64
 LEAST, GRAM = 50, 20
-HELD = 1 << 21
+HELD, TURN_BYTES = 1 << 21, 1 << 22
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -309,8 +309,9 @@ def _segment_rows(slots: int):
             shard = ((col["key"][one] >> U(32)) * U(slots) >> U(32)).astype(np.int64)
             for s, at in _by_slot(shard, slots):
                 own = one[at]
-                text = b"".join(held["raw"][chunk[i]][0][los[i] : los[i] + col["size"][i]].tobytes() for i in own)
-                head = np.stack([col["id"][own], col["start"][own], col["size"][own], col["print"][own].view(np.int64)]).astype("<i8").tobytes()
+                _, text_of = np.unique(col["print"][own], return_index=True)  # a text that its document repeats is sent once
+                text = b"".join(held["raw"][chunk[i]][0][los[i] : los[i] + col["size"][i]].tobytes() for i in own[text_of])
+                head = np.stack([col["id"][own], col["start"][own], col["size"][own], col["print"][own].view(np.int64), col["key"][own].view(np.int64)]).astype("<i8").tobytes()
                 out.append((s, SEGMENT, head, text, b""))
             yield _rows(out)
 
@@ -354,16 +355,34 @@ def _shards(slots: int):
             own = [r for r in rows if r[0] == SEGMENT]
             if not own:
                 continue
-            head = np.concatenate([np.frombuffer(r[1], "<i8").reshape(4, -1) for r in own], 1)
-            ids, start, size, prints = head
-            at = np.concatenate([[0], np.cumsum(size)])
-            raw = np.frombuffer(b"".join(r[2] for r in own), np.uint8)
+            heads = [np.frombuffer(r[1], "<i8").reshape(5, -1) for r in own]
+            texts = {}
+            for h, r in zip(heads, own, strict=True):
+                prints, first = np.unique(h[3].view(U), return_index=True)
+                at = np.concatenate([[0], np.cumsum(h[2][first])]).tolist()
+                texts.update(zip(prints.tolist(), (r[2][x:y] for x, y in zip(at[:-1], at[1:], strict=True)), strict=True))
+            ids, start, size, prints, keys = np.concatenate(heads, 1)
+            prints, keys = prints.view(U), keys.view(U)
             one, again = _collapse(prints, ids)
             yield _rows(_cut_rows(ids[again], start[again], start[again] + size[again], slots))
-            one = np.sort(one)
-            pieces = np.concatenate([np.arange(at[i], at[i + 1]) for i in one])
-            seg, a, b = repeated_windows(ids[one], size[one], raw[pieces])
-            yield _rows(_cut_rows(ids[one][seg], start[one][seg] + a, start[one][seg] + b, slots))
+            # Distinct texts by anchor; equal windows have one anchor, so anchors can be sorted in turns.
+            one = one[np.lexsort((prints[one], keys[one]))]
+            lead = _firsts(prints[one])
+            count = np.diff(np.append(lead, len(one)))
+            turn, held = [0], 0
+            for i, (k, n) in enumerate(zip(keys[one[lead]].tolist(), size[one[lead]].tolist(), strict=True)):
+                if held > TURN_BYTES and k != before:
+                    turn.append(i)
+                    held = 0
+                held, before = held + n, k
+            for x, y in zip(turn, [*turn[1:], len(lead)], strict=True):
+                rep = one[lead[x:y]]
+                raw = np.frombuffer(b"".join(texts[p] for p in prints[rep].tolist()), np.uint8)
+                seg, a, b = repeated_windows(ids[rep], size[rep], raw)
+                # What holds for a text holds wherever its document has it.
+                times = count[x + seg]
+                at = one[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lead[x + seg], times)]
+                yield _rows(_cut_rows(ids[at], start[at] + np.repeat(a, times), start[at] + np.repeat(b, times), slots))
 
     return run
 
