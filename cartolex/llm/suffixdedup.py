@@ -434,7 +434,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, ``kept`` (bytes) for every row."""
     spark = docs.sparkSession
     tasks = _shared.n_partitions(spark)
-    slots = 4 * tasks
+    slots = tasks
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     deal = lambda df: df.repartition(tasks, "slot").sortWithinPartitions("slot", "kind")
 
