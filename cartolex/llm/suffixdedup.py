@@ -57,7 +57,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _slot(x: np.ndarray, slots: int) -> np.ndarray:
-    """The slot of an id or hash."""
+    """The slot of an id or hash; mixed first, as an anchor is the least hash of its window and so small."""
     return ((_text.mix(x.astype(U)) >> U(32)) * U(slots) >> U(32)).astype(np.int64)
 
 
@@ -149,7 +149,7 @@ def _anchor_rows(slots: int):
         send = ~own | tell
         where = np.where(own, np.iinfo(np.int64).min, ids)[send]
         keys, prints, ordinals = keys[send], prints[send], ordinals[send]
-        for s, at in _by_slot(((keys >> U(32)) * U(slots) >> U(32)).astype(np.int64), slots):
+        for s, at in _by_slot(_slot(keys, slots), slots):
             at = at[np.argsort(where[at], kind="stable")]
             text = _firsts(where[at])  # ids once for all their anchors
             told = where[at][text], np.diff(np.append(text, len(at)))
@@ -306,7 +306,7 @@ def _segment_rows(slots: int):
             los = np.concatenate([x[1] for x in held["raw"]])
             one, again = _collapse(col["print"], col["id"])
             out = _cut_rows(col["id"][again], col["start"][again], col["start"][again] + col["size"][again], slots)
-            shard = ((col["key"][one] >> U(32)) * U(slots) >> U(32)).astype(np.int64)
+            shard = _slot(col["key"][one], slots)
             for s, at in _by_slot(shard, slots):
                 own = one[at]
                 _, text_of = np.unique(col["print"][own], return_index=True)  # a text that its document repeats is sent once
