@@ -42,7 +42,7 @@ from .induced import equal_windows, suffix_array
 
 U = np.uint64
 LEAST, GRAM = 50, 20
-HELD, TURN_BYTES = 1 << 21, 1 << 22
+HELD, TURN_BYTES = 1 << 21, 1 << 21
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -268,6 +268,7 @@ def _segment_rows(slots: int):
     """Segments of the shared anchors of a slot's texts, by the shard of the anchor."""
 
     def run(batches):
+        packer = zstandard.ZstdCompressor(level=1)  # segments overlap
         for _, rows in _by_group(batches):
             wanted = [r for r in rows if r[0] == SHARED]
             if not wanted:
@@ -276,44 +277,50 @@ def _segment_rows(slots: int):
             want_at = np.concatenate([np.frombuffer(r[2], "<u4") for r in wanted]).astype(np.int64)
             order = np.lexsort((want_at, want_id))
             want_id, want_at = want_id[order], want_at[order]
+            # (id, ordinal) as one number; ids repeat only by repeated rows, so a few places at most are tried beyond the exact one.
+            some, wide = np.unique(want_id), int(want_at.max()) + 2
+            pairs = np.searchsorted(some, want_id) * wide + want_at
+            del wanted, order, want_id, want_at
             held = {}
             for row in (r for r in rows if r[0] == TEXT):
                 ids, known, at, raw = _texts(row)
-                has = known & (np.searchsorted(want_id, ids, "right") > np.searchsorted(want_id, ids))
+                rank_of = np.minimum(np.searchsorted(some, ids), len(some) - 1)
+                has = known & (some[rank_of] == ids)
                 if not has.any():
                     continue
                 sums = Sums(raw)
                 doc, key, lo, hi = anchors(raw, at, sums)
                 ordinal, keep = _ordinals(doc), has[doc]
                 doc, key, lo, hi, ordinal = doc[keep], key[keep], lo[keep], hi[keep] + LEAST, ordinal[keep]
-                a, b = np.searchsorted(want_id, ids[doc]), np.searchsorted(want_id, ids[doc], "right")
-                # Is (id, ordinal) wanted? Ids repeat only by repeated rows, so a few places at most are tried beyond the exact one.
-                found = np.zeros(len(doc), bool)
-                wide = int(want_at.max()) + 2 if len(want_at) else 1
-                rank = np.searchsorted(np.unique(want_id), ids[doc])
-                pairs = np.searchsorted(np.unique(want_id), want_id) * wide + want_at
-                asked = rank * wide + np.minimum(ordinal, wide - 1)
-                where = np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)
-                found = (pairs[where] == asked) & (b > a)
+                asked = rank_of[doc] * wide + np.minimum(ordinal, wide - 1)
+                found = pairs[np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)] == asked
                 doc, key, lo, hi = doc[found], key[found], lo[found], hi[found]
                 for name, x in (("id", ids[doc]), ("start", lo - at[doc]), ("size", hi - lo), ("print", sums.of(lo, hi)), ("key", key)):
                     held.setdefault(name, []).append(x)
                 held.setdefault("raw", []).append((raw, lo, hi))
             if not held:
                 continue
-            col = {k: np.concatenate(held[k]) for k in ("id", "start", "size", "print", "key")}
-            chunk = np.concatenate([np.full(len(x[1]), i) for i, x in enumerate(held["raw"])])
-            los = np.concatenate([x[1] for x in held["raw"]])
+            del pairs, rows
+            texts = held.pop("raw")
+            col = {k: np.concatenate(held.pop(k)) for k in ("id", "start", "size", "print", "key")}
+            chunk = np.concatenate([np.full(len(x[1]), i, np.int32) for i, x in enumerate(texts)])
+            los = np.concatenate([x[1] for x in texts])
             one, again = _collapse(col["print"], col["id"])
-            out = _cut_rows(col["id"][again], col["start"][again], col["start"][again] + col["size"][again], slots)
+            yield _rows(_cut_rows(col["id"][again], col["start"][again], col["start"][again] + col["size"][again], slots))
+            out, size = [], 0
             shard = _slot(col["key"][one], slots)
             for s, at in _by_slot(shard, slots):
                 own = one[at]
                 _, text_of = np.unique(col["print"][own], return_index=True)  # a text that its document repeats is sent once
-                text = b"".join(held["raw"][chunk[i]][0][los[i] : los[i] + col["size"][i]].tobytes() for i in own[text_of])
+                text = b"".join(texts[chunk[i]][0][los[i] : los[i] + col["size"][i]].tobytes() for i in own[text_of])
                 head = np.stack([col["id"][own], col["start"][own], col["size"][own], col["print"][own].view(np.int64), col["key"][own].view(np.int64)]).astype("<i8").tobytes()
-                out.append((s, SEGMENT, head, text, b""))
-            yield _rows(out)
+                out.append((s, SEGMENT, head, packer.compress(text), b""))
+                size += len(head) + len(out[-1][3])
+                if size >= HELD:
+                    yield _rows(out)
+                    out, size = [], 0
+            if out:
+                yield _rows(out)
 
     return run
 
@@ -355,13 +362,24 @@ def _shards(slots: int):
             own = [r for r in rows if r[0] == SEGMENT]
             if not own:
                 continue
-            heads = [np.frombuffer(r[1], "<i8").reshape(5, -1) for r in own]
-            texts = {}
-            for h, r in zip(heads, own, strict=True):
-                prints, first = np.unique(h[3].view(U), return_index=True)
-                at = np.concatenate([[0], np.cumsum(h[2][first])]).tolist()
-                texts.update(zip(prints.tolist(), (r[2][x:y] for x, y in zip(at[:-1], at[1:], strict=True)), strict=True))
+            unpacker = zstandard.ZstdDecompressor()
+            heads, known, sizes, raws = [], [], [], []
+            for _, a, b, _ in own:
+                h = np.frombuffer(a, "<i8").reshape(5, -1)
+                own_prints, first = np.unique(h[3].view(U), return_index=True)
+                heads.append(h)
+                known.append(own_prints)
+                sizes.append(h[2][first])
+                raws.append(np.frombuffer(unpacker.decompress(b, max_output_size=int(sizes[-1].sum())), np.uint8))
+            del own, rows
+            # Where the text of each print begins; several rows may bring it.
+            known, lie = np.concatenate(known), np.concatenate([[0], np.cumsum(np.concatenate(sizes))[:-1]])
+            texts = np.concatenate(raws)
+            known, first = np.unique(known, return_index=True)
+            lie = lie[first]
+            del raws
             ids, start, size, prints, keys = np.concatenate(heads, 1)
+            del heads
             prints, keys = prints.view(U), keys.view(U)
             one, again = _collapse(prints, ids)
             yield _rows(_cut_rows(ids[again], start[again], start[again] + size[again], slots))
@@ -377,7 +395,8 @@ def _shards(slots: int):
                 held, before = held + n, k
             for x, y in zip(turn, [*turn[1:], len(lead)], strict=True):
                 rep = one[lead[x:y]]
-                raw = np.frombuffer(b"".join(texts[p] for p in prints[rep].tolist()), np.uint8)
+                ends = np.cumsum(size[rep])
+                raw = texts[np.arange(ends[-1]) + np.repeat(lie[np.searchsorted(known, prints[rep])] - ends + size[rep], size[rep])]
                 seg, a, b = repeated_windows(ids[rep], size[rep], raw)
                 # What holds for a text holds wherever its document has it.
                 times = count[x + seg]
