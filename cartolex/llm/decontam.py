@@ -8,7 +8,8 @@
    matrix whose right singular vectors come from a distributed randomised SVD:
    one pass sums A'(A W) for a random W, and the Nystrom form yields the vectors.
 3. In the latent space, each passage is compared with all pieces by cosine.
-4. A candidate is checked by the longest common subsequence of words. An item's
+4. A candidate is checked by the longest common subsequence of words that lie
+   within ``SPREAD`` times the length of the piece. An item's
    coverage is the share of its words so found in a document; it is a leak if the
    coverage is ``COVER`` or more, or ``PARTLY`` or more with its answer (the last
    sentence, or the last words of an item of one sentence) found as well.
@@ -36,7 +37,7 @@ from .toxicity import tokens
 U = np.uint64
 BLOCK, RAREST, GROUP, EXTRA = 32, 12, 400, 32
 COSINE, MARGIN = 0.3, 16
-COVER, PARTLY, ANSWER, ANSWER_WORDS = 0.75, 0.5, 0.6, 8
+COVER, PARTLY, ANSWER, ANSWER_WORDS, SPREAD = 0.75, 0.5, 0.6, 8, 1.5
 
 
 class Bench:
@@ -233,6 +234,21 @@ def common(piece: np.ndarray, text: np.ndarray) -> int:
     return len(piece) - v.bit_count()
 
 
+def closest(piece: np.ndarray, text: np.ndarray) -> tuple[int, np.ndarray]:
+    """The longest common subsequence within ``SPREAD`` times the piece's length of text, and that text.
+
+    Common words in order are met in any long text; those of a copy or a
+    paraphrase are met close together.
+    """
+    size, step = -(-int(SPREAD * 4) * len(piece) // 4), max(1, len(piece) // 4)
+    best = (-1, text[:0])
+    for a in range(0, max(1, len(text) - size + step), step):
+        n = common(piece, text[a : a + size])
+        if n > best[0]:
+            best = n, text[a : a + size]
+    return best
+
+
 _FOUND = "doc_id long, item int, piece int, matched int, answer int, cosine double"
 
 
@@ -261,6 +277,9 @@ def _search(shared):
                             text = w.hash[x : min(int(w.first[d + 1]), base + (int(block[lo + r]) + 2) * BLOCK + MARGIN)]
                             own = bench.words[i]
                             n = common(own[a:e], text)
+                            if 3 * n < e - a:
+                                continue
+                            n, text = closest(own[a:e], text)
                             if 3 * n < e - a:
                                 continue
                             answer = common(own[max(a, bench.answers[i]) : e], text) if e > bench.answers[i] else 0

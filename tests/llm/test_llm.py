@@ -245,6 +245,17 @@ def test_decontamination(spark):
     assert decontam.common(np.array([1, 2, 3, 4], np.uint64), np.array([9, 1, 3, 8, 4], np.uint64)) == 3
 
 
+def test_decontamination_wants_close_words(spark):
+    rng = random.Random(8)
+    common, rare = "the of to and is was that it for on".split(), ["".join(rng.choice("abcdeghilmnorstu") for _ in range(7)) for _ in range(40)]
+    item = rng.choices(common, k=14) + rare[:4]
+    scattered = [x for w in item for x in (w, *rng.choices(rare[10:], k=5))]
+    bench = spark.createDataFrame([(1, " ".join(item) + ".")], "item_id long, text string")
+    texts = [" ".join(rng.choices(common + rare[10:], k=200)) for _ in range(20)] + [" ".join(scattered), "x y z " + " ".join(item) + " z y"]
+    assert [(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, texts), bench).collect()] == [(21, 1)]
+    assert decontam.closest(np.arange(4, dtype=np.uint64), np.array([0, 9, 1, 9, 2, 9, 3, 0, 1, 2], np.uint64))[0] == 3
+
+
 def test_html(spark):
     page = "<html><body><nav><a href=/>Home</a></nav><div class='ad'>Buy</div><article><h1>Title &amp; more</h1><p>One <b>two</b>\n three<p>Four<div class=comments><p>nice</div></article><footer>foot</footer><script>x='<p>'</script>"
     plain = "<body><div class=top>Site</div><div class=text><p>Words of page {0} that differ.</p></div><div class=foot>Same end</div></body>"
