@@ -35,7 +35,7 @@ from . import _shared, _text
 from .toxicity import tokens
 
 U = np.uint64
-BLOCK, RAREST, GROUP, EXTRA = 32, 12, 400, 32
+BLOCK, RAREST, GROUP, EXTRA = 32, 6, 400, 32
 COSINE, MARGIN = 0.3, 16
 COVER, PARTLY, ANSWER, ANSWER_WORDS, SPREAD = 0.75, 0.5, 0.6, 8, 1.5
 
