@@ -84,6 +84,36 @@ def windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, a, np.minimum(a + WINDOW, at[doc + 1])
 
 
+def encode(column, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``subwords`` of all texts, and their numbers of words; a part of about ``most`` bytes at a time."""
+    count, hashes, seen, slots, owners = [], [], np.zeros(0, U), [], []
+    for part in _text.slices(pa.RecordBatch.from_arrays([column], ["text"]), most=most):
+        w = tokens(part.column("text"))
+        count.append(w.count)
+        hashes.append(w.hash)
+        own, of, _ = subwords(w)
+        words = np.unique(w.hash)
+        fresh = ~np.isin(words, seen)
+        keep = fresh[of]
+        slots.append(own[keep].astype(np.int32))
+        owners.append(words[of[keep]])
+        seen = np.concatenate([seen, words[fresh]])
+    words = np.sort(seen)
+    empty = [np.zeros(0, np.int64)]
+    slots, owner = np.concatenate(slots or empty), np.searchsorted(words, np.concatenate(owners or empty))
+    order = np.argsort(owner, kind="stable")
+    return slots[order], owner[order], np.searchsorted(words, np.concatenate(hashes or empty)), np.concatenate(count or empty)
+
+
+def window_margins(slope: np.ndarray, offset: float, slots, owner, inverse, count) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word, end, margin) of every window."""
+    n = int(inverse.max()) + 1 if len(inverse) else 0
+    total, size = np.bincount(owner, slope[slots], n), np.bincount(owner, minlength=n)
+    sums, sizes = np.concatenate([[0.0], np.cumsum(total[inverse])]), np.concatenate([[0], np.cumsum(size[inverse])])
+    doc, a, b = windows(count)
+    return doc, a, b, (sums[b] - sums[a]) / np.maximum(1, sizes[b] - sizes[a]) + offset
+
+
 class Model:
     """Embeddings, softmax weights and bias; ``slope`` is each slot's share of the margin."""
 
@@ -95,12 +125,7 @@ class Model:
     def margins(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, first word, end, margin) of every window."""
         w = tokens(column)
-        slots, owner, inverse = subwords(w)
-        n = int(inverse.max()) + 1 if len(inverse) else 0
-        total, size = np.bincount(owner, self.slope[slots], n), np.bincount(owner, minlength=n)
-        sums, sizes = np.concatenate([[0.0], np.cumsum(total[inverse])]), np.concatenate([[0], np.cumsum(size[inverse])])
-        doc, a, b = windows(w.count)
-        return doc, a, b, (sums[b] - sums[a]) / np.maximum(1, sizes[b] - sizes[a]) + self.offset
+        return window_margins(self.slope, self.offset, *subwords(w), w.count)
 
     def score(self, column) -> np.ndarray:
         if self.prior is not None:
@@ -116,28 +141,27 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         return Model(None, None, None, float(y.mean()) if len(y) else 0.0)
-    column = pa.array(texts, pa.large_string())
-    w = tokens(column)
-    slots, owner, inverse = subwords(w)
-    at = np.searchsorted(owner, np.arange(owner[-1] + 2))
+    slots, owner, inverse, count = encode(pa.array(texts, pa.large_string()))
+    at = np.searchsorted(owner, np.arange((owner[-1] if len(owner) else -1) + 2))
     rng = np.random.default_rng(5)
     emb = rng.uniform(-1 / WIDTH, 1 / WIDTH, (SLOTS, WIDTH)).astype(np.float32)
     soft, bias = rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
     seen, seen_soft, seen_bias = np.full((SLOTS, 1), 1e-8, np.float32), np.full_like(soft, 1e-8), np.full_like(bias, 1e-8)
     # Start: the first dimension of a slot is how much oftener it is in documents of label 1, in standard deviations.
-    doc_of = np.repeat(np.arange(len(y)), w.count)
-    pairs = np.unique(doc_of * (int(inverse.max()) + 1) + inverse) if len(inverse) else np.zeros(0, np.int64)
-    held_doc, held_word = np.divmod(pairs, int(inverse.max()) + 1) if len(pairs) else (pairs, pairs)
-    reps = np.diff(at)[held_word]
-    flat = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(at[held_word], reps)
-    has = np.unique(np.repeat(held_doc, reps) * SLOTS + slots[flat])
-    n1, n = np.bincount(has[y[has // SLOTS] == 1] % SLOTS, minlength=SLOTS), np.bincount(has % SLOTS, minlength=SLOTS)
+    n1, n, first, grams = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64), np.concatenate([[0], np.cumsum(count)]), np.diff(at)
+    for i in range(len(y)):
+        words = np.unique(inverse[first[i] : first[i + 1]])
+        reps = grams[words]
+        has = np.unique(slots[np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(at[words], reps)])
+        n[has] += 1
+        n1[has] += y[i]
     share = y.mean()
     emb[:, 0] += START * np.clip((n1 - n * share) / np.sqrt(n * share * (1 - share) + 1), 0, 8)
     soft[0] += [-1, 1]
     weight = np.where(y == 1, (y == 0).sum() / (y == 1).sum(), 1.0).astype(np.float32)
     for e in range(epochs):
-        doc, a, b, m = Model(emb, soft, bias).margins(column)
+        now = Model(emb, soft, bias)
+        doc, a, b, m = window_margins(now.slope, now.offset, slots, owner, inverse, count)
         order = np.lexsort((-m, doc))
         top = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])]
         begin, end = a[top], b[top]
