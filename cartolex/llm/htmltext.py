@@ -7,8 +7,9 @@ valid; nested by their paths they are the host's template, and the innermost
 template token around a block is the block's slot. Slots that the template or
 the markup shows to be something else (menus, page headers and footers,
 sidebars, notices, adverts, forms, reader comments, or the same text on every
-page, or mostly links) are left out; what remains is the article. A host whose
-template has article or main elements has its text there.
+page, or mostly links) are left out; what remains is the article. A page with
+text in article or main elements has its text there. A block whose own tokens
+repeat on a page, as paragraphs do, counts for the slot around them.
 
 Vectors are compared by a hash that is summed over pages, so a host of any size
 is counted map-side and costs one row per token.
@@ -143,76 +144,106 @@ def host(url):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-_TOKENS = "host string, path string, vector long, one boolean, chars long, linked long, low long, high long, inside boolean, outside boolean"
+_TOKENS = "host string, path string, vector long, one boolean, chars long, linked long, low long, high long, inside boolean"
+
+
+def candidates(blocks: list[Block]) -> list[tuple[Block, str]]:
+    """The blocks that the markup does not rule out, with their text: on a page with text in article or main, those in it."""
+    said = [(b, t) for b in blocks if not b.outside and (t := b.text())]
+    own = any(b.inside for b, _ in said)
+    return [(b, t) for b, t in said if b.inside or not own]
+
+
+def innermost(path: str, known) -> str:
+    """The nearest of the path and those around it that is in ``known``; the root is "" always."""
+    while path and path not in known:
+        path = path.rpartition("/")[0]
+    return path
 
 
 def _tokens(batches):
-    """Rows of structure tokens and of the text right under them, summed over a batch."""
+    """Rows of structure tokens, summed over a batch. A block counts for the innermost token around it that is once on its page."""
     for b in batches:
         found: dict[tuple, list] = {}
         for page, url, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             paths, blocks = parse(text or "")
-            counts: dict[str, int] = {}
+            if not paths and not blocks:
+                continue
+            counts: dict[str, int] = {"": 1}
             for p in paths:
                 counts[p] = counts.get(p, 0) + 1
-            texts: dict[str, list[Block]] = {}
-            for k in blocks:
-                texts.setdefault(k.path, []).append(k)
-            for p in {*counts, *texts}:
+            once = {p for p, c in counts.items() if c == 1}
+            texts: dict[str, list[tuple[Block, str]]] = {}
+            for k, t in candidates(blocks):
+                texts.setdefault(innermost(k.path, once), []).append((k, t))
+            for p, c in counts.items():
                 own = texts.get(p, [])
-                said = [t for k in own if (t := k.text())]
-                yield_row = found.setdefault((url, p), [0, 0, True, 0, 0, (1 << 63) - 1, -(1 << 63), False, True])
-                c, print_ = counts.get(p, 1), _hash(*said)
+                yield_row = found.setdefault((url, p), [0, 0, True, 0, 0, (1 << 63) - 1, -(1 << 63), False])
+                print_ = _hash(*(t for _, t in own))
                 yield_row[0] += 1
                 yield_row[1] ^= _hash(page, c)
                 yield_row[2] &= c == 1
-                yield_row[3] += sum(map(len, said))
-                yield_row[4] += sum(k.linked for k in own)
+                yield_row[3] += sum(len(t) for _, t in own)
+                yield_row[4] += sum(k.linked for k, _ in own)
                 yield_row[5], yield_row[6] = min(yield_row[5], print_), max(yield_row[6], print_)
-                yield_row[7] |= any(k.inside for k in own)
-                yield_row[8] &= bool(own) and all(k.outside for k in own)
+                yield_row[7] |= any(k.inside for k, _ in own)
         rows = [(u, p, *v) for (u, p), v in found.items()]
-        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "path", "pages", *[f.split()[0] for f in _TOKENS.split(", ")][2:]])
 
 
+def slots_of(tokens: list[dict]) -> dict[str, bool]:
+    """Whether the text in each template token of a host is left out, from the host's tokens (path, valid, pages, chars, linked, low, high, inside).
+
+    Text of a token that is not valid is that of the innermost valid token around
+    it. A slot is constant if each of the tokens whose text it has is on all of its
+    pages with the same text.
+    """
+    valid = {t["path"]: t["pages"] for t in tokens if t["valid"]}
+    slots = {p: [0, 0, n >= 3, False] for p, n in valid.items()}  # chars, linked, constant, inside
+    for t in tokens:
+        if t["chars"]:
+            p = innermost(t["path"], valid)
+            own = slots.setdefault(p, [0, 0, False, False])
+            own[0] += t["chars"]
+            own[1] += t["linked"]
+            own[2] &= t["low"] == t["high"] and t["pages"] == valid.get(p)
+            own[3] |= t["inside"]
+    return {p: not inside and chars > 0 and (constant or 2 * linked > chars) for p, (chars, linked, constant, inside) in slots.items()}
+
+
+_SLOTS = "host string, slots array<struct<path: string, out: boolean>>"
+
+
+def _slots(batches):
+    for b in batches:
+        out = [[{"path": p, "out": o} for p, o in slots_of(tokens).items()] for tokens in b.column("tokens").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(out, pa.list_(pa.struct([("path", pa.string()), ("out", pa.bool_())])))], ["host", "slots"])
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """host, and ``slots``: its template tokens as (path, whether text in that slot is left out); ``main``: it has article or main elements with text."""
+    """host, and ``slots``: its template tokens as (path, whether text in that slot is left out)."""
     rows = pages.mapInArrow(_tokens, _TOKENS.replace("vector", "pages long, vector", 1))
     token = rows.groupBy("host", "path").agg(
         F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.bool_and("one").alias("one"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
-        F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("inside").alias("inside"), F.bool_and("outside").alias("outside"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("inside").alias("inside"),
     )
     # Classes: tokens of a host of one vector. Valid: once a page, on at least half of the pages (those of the host's most frequent class).
     classes = token.groupBy("host", "vector").agg(
         F.max("pages").alias("support"), F.bool_and("one").alias("once"),
-        F.collect_list(F.struct("path", "chars", "linked", "low", "high", "pages", "inside", "outside")).alias("tokens"),
+        F.collect_list(F.struct("path", "chars", "linked", "low", "high", "pages", "inside")).alias("tokens"),
     )
     host_ = classes.groupBy("host").agg(F.max("support").alias("all"), F.collect_list(F.struct("support", "once", "tokens")).alias("classes"))
-    valid = F.flatten(F.transform(F.filter("classes", lambda c: c["once"] & (2 * c["support"] >= F.col("all"))), lambda c: c["tokens"]))
-    constant = lambda t: (t["low"] == t["high"]) & (t["pages"] >= 3) & (t["chars"] > 0)
-    left_out = lambda t: ~t["inside"] & (t["outside"] | constant(t) | (2 * t["linked"] > t["chars"]))
-    slots = F.transform(valid, lambda t: F.struct(t["path"].alias("path"), left_out(t).alias("out")))
-    main = F.exists(F.flatten(F.transform("classes", lambda c: c["tokens"])), lambda t: t["inside"] & (t["chars"] > 0))
-    return host_.select("host", slots.alias("slots"), main.alias("main"))
+    valid = lambda c: c["once"] & (2 * c["support"] >= F.col("all"))
+    tokens = F.flatten(F.transform("classes", lambda c: F.transform(c["tokens"], lambda t: t.withField("valid", valid(c)))))
+    # A token that is neither valid nor has text decides nothing.
+    tokens = F.filter(tokens, lambda t: t["valid"] | (t["chars"] > 0))
+    return host_.select("host", tokens.alias("tokens")).mapInArrow(_slots, _SLOTS)
 
 
-def article(page: str, slots: dict[str, bool], main: bool) -> str:
+def article(page: str, slots: dict[str, bool]) -> str:
     """The blocks that lie in slots of the article, joined by spaces."""
-    _, blocks = parse(page)
-    own = main and any(b.inside and not b.outside for b in blocks)
-    out = []
-    for b in blocks:
-        if b.outside or own and not b.inside:
-            continue
-        if not b.inside:
-            path = b.path
-            while path and path not in slots:
-                path = path.rpartition("/")[0]
-            if slots.get(path, False):
-                continue
-        if text := b.text():
-            out.append(text)
+    out = [t for b, t in candidates(parse(page)[1]) if b.inside or not slots.get(innermost(b.path, slots), False)]
     return " ".join(out)
 
 
@@ -224,13 +255,13 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             out, last, kept = [], None, None
-            for text, slots, main, h in zip(*(b.column(c).to_pylist() if c != "slots" else b.column(c) for c in ("html", "slots", "main", "host")), strict=True):
+            for text, slots, h in zip(*(b.column(c).to_pylist() if c != "slots" else b.column(c) for c in ("html", "slots", "host")), strict=True):
                 if h != last or kept is None:
                     last, kept = h, {s["path"]: s["out"] for s in slots.as_py() or ()}
-                out.append(article(text, kept, bool(main)))
+                out.append(article(text, kept))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array(np.array([len(t) for t in out], np.int64))], ["page_id", "url", "text", "n_chars"])
 
-    return own.join(found, "host", "left").select("page_id", "url", "host", "html", "slots", "main").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return own.join(found, "host", "left").select("page_id", "url", "host", "html", "slots").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op9_html_text(spark, sf_dir: str) -> DataFrame:

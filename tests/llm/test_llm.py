@@ -266,6 +266,17 @@ def test_html(spark):
     assert all(got[10 + i] == f"Words of page {i} that differ." for i in range(5))
 
 
+def test_html_slots_of_several_blocks(spark):
+    page = (
+        "<body><ul class=m>{links}</ul><div class=c7><p>Same first words</p><p>Same second words</p><ul><li>and<li>points</ul></div>"
+        "<div class=c8><p>Own words {0}.</p><p>Same in all.</p><ul><li>Point {0}<li>more</ul></div></body>"
+    )
+    links = lambda i: "".join(f"<li><a href=/{i}/{k}>Topic {i * k}</a>" for k in range(6))
+    rows = [(i, f"http://b.org/{i}", page.format(i, links=links(i))) for i in range(5)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own words {i}. Same in all. Point {i} more" for i in range(5)}
+
+
 def test_empty_tables(spark):
     none = empty(spark)
     assert jaccard.similarity_components(none).count() == 0
