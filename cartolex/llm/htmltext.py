@@ -7,9 +7,10 @@ valid; nested by their paths they are the host's template, and the innermost
 template token around a block is the block's slot. Slots that the template or
 the markup shows to be something else (menus, page headers and footers,
 sidebars, notices, adverts, forms, reader comments, or the same text on every
-page, or mostly links) are left out; what remains is the article. A page with
-text in article or main elements has its text there. A block whose own tokens
-repeat on a page, as paragraphs do, counts for the slot around them.
+page, or mostly links) are left out; what remains is the article. Article and
+main elements are a hint: on a page with text in them, text elsewhere is out, and
+text in them is judged by its slot. A block whose own tokens repeat on a page, as
+paragraphs do, counts for the slot around them.
 
 Vectors are compared by a hash that is summed over pages, so a host of any size
 is counted map-side and costs one row per token.
@@ -197,7 +198,9 @@ def slots_of(tokens: list[dict]) -> dict[str, bool]:
 
     Text of a token that is not valid is that of the innermost valid token around
     it. A slot is constant if each of the tokens whose text it has is on all of its
-    pages with the same text.
+    pages with the same text. Slots in article or main are judged as the others,
+    but where that would leave out all of them, as on a host of one repeated page,
+    the element decides and they stay.
     """
     valid = {t["path"]: t["pages"] for t in tokens if t["valid"]}
     slots = {p: [0, 0, n >= 3, False] for p, n in valid.items()}  # chars, linked, constant, inside
@@ -209,7 +212,9 @@ def slots_of(tokens: list[dict]) -> dict[str, bool]:
             own[1] += t["linked"]
             own[2] &= t["low"] == t["high"] and t["pages"] == valid.get(p)
             own[3] |= t["inside"]
-    return {p: not inside and chars > 0 and (constant or 2 * linked > chars) for p, (chars, linked, constant, inside) in slots.items()}
+    out = {p: chars > 0 and (constant or 2 * linked > chars) for p, (chars, linked, constant, _) in slots.items()}
+    inside = [p for p, s in slots.items() if s[3]]
+    return out | dict.fromkeys(inside, False) if all(out[p] for p in inside) else out
 
 
 _SLOTS = "host string, slots array<struct<path: string, out: boolean>>"
@@ -243,7 +248,7 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def article(page: str, slots: dict[str, bool]) -> str:
     """The blocks that lie in slots of the article, joined by spaces."""
-    out = [t for b, t in candidates(parse(page)[1]) if b.inside or not slots.get(innermost(b.path, slots), False)]
+    out = [t for b, t in candidates(parse(page)[1]) if not slots.get(innermost(b.path, slots), False)]
     return " ".join(out)
 
 

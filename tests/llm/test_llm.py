@@ -277,6 +277,15 @@ def test_html_slots_of_several_blocks(spark):
     assert got == {i: f"Own words {i}. Same in all. Point {i} more" for i in range(5)}
 
 
+@pytest.mark.parametrize("element", ["article", "main", "div", ""])
+def test_html_slots_in_an_article(spark, element):
+    body = "<div class=x1><p>Same words</p><p>on all pages</p></div><h1>Title {0}</h1><p>Own words {0}.</p><p>More {0}.</p><ul class=x2><li><a href=/a>Topic {0}</a><li><a href=/b>Other</a></ul>"
+    page = "<body><nav>Site</nav>" + (f"<{element}>{body}</{element}>" if element else body) + "<footer>Foot {0}</footer></body>"
+    rows = [(i, f"http://b.org/{i}", page.format(i)) for i in range(5)] + [(10 + i, f"http://c.org/{i}", "<article><h1>One</h1><p>page</p></article>") for i in range(4)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i} Own words {i}. More {i}." for i in range(5)} | {10 + i: "One page" for i in range(4)}
+
+
 def test_empty_tables(spark):
     none = empty(spark)
     assert jaccard.similarity_components(none).count() == 0
