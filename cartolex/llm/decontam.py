@@ -8,7 +8,11 @@
    matrix whose right singular vectors come from a distributed randomised SVD:
    one pass sums A'(A W) for a random W, and the Nystrom form yields the vectors.
 3. In the latent space, each passage is compared with all pieces by cosine.
-4. A candidate is checked by the longest common subsequence of words that lie
+4. The vocabulary leaves common words out, so a paraphrase that replaces the rare
+   ones escapes the cosine. Windows that share as many words with a piece as a
+   leak must, counted over all its words, are therefore candidates as well
+   (``Overlap``).
+5. A candidate is checked by the longest common subsequence of words that lie
    within ``SPREAD`` times the length of the piece. An item's
    coverage is the share of its words so found in a document; it is a leak if the
    coverage is ``COVER`` or more, or ``PARTLY`` or more with its answer (the last
@@ -26,6 +30,8 @@ benchmark or corpus gives no leaks.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,6 +64,9 @@ class Bench:
             k = max(1, -(-len(own) // BLOCK)) if len(own) else 0
             cut = np.linspace(0, len(own), k + 1).astype(int)
             self.pieces += [(i, int(a), int(b)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        self.own = [[] for _ in self.words]  # numbers of an item's pieces
+        for p, (i, _, _) in enumerate(self.pieces):
+            self.own[i].append(p)
         self.terms = np.unique(np.concatenate([*self.words, np.zeros(0, U)]))
 
 
@@ -103,11 +112,93 @@ def _frequency(look):
     return run
 
 
+class Overlap:
+    """Windows that share so many words with a piece of a group that a match is possible; it loses none.
+
+    A match lies within ``SPREAD`` pieces of text, so in one of the windows of five
+    half blocks that begin a block apart, and that window shares as many words. Of a
+    piece's words the ``skip`` most frequent in the corpus are not looked up; the
+    window must share the rest of the match with the others. A leak has a piece
+    matched by ``PARTLY`` or more, as its pieces are matched by that on the whole.
+    """
+
+    def __init__(self, bench: Bench, pieces: list[int], frequency: np.ndarray):
+        size = np.array([bench.pieces[p][2] - bench.pieces[p][1] for p in pieces])
+        need = np.ceil(PARTLY * size).astype(np.int64)
+        skip = need // 2
+        self.length, self.need = size, need - skip
+        words = [np.searchsorted(bench.terms, bench.words[i][a:b]) for i, a, b in (bench.pieces[p] for p in pieces)]
+        owner = np.repeat(np.arange(len(pieces)), size)
+        used, self.words = np.unique(np.concatenate(words), return_inverse=True)
+        self.look = Lookup(bench.terms[used])
+        # Words by piece, rarest first; the last ``skip`` of each are not looked up.
+        order = np.lexsort((self.words, frequency[used][self.words], owner))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+        order = order[rank < np.repeat(size - skip, size)]
+        key, self.tf = np.unique(self.words[order] * len(pieces) + owner[order], return_counts=True)
+        self.owner = key % len(pieces)
+        self.size = np.bincount(key // len(pieces), minlength=len(used))
+        self.begin = np.cumsum(self.size) - self.size
+
+    def matched(self, w: _text.Words, doc, block, piece) -> np.ndarray:
+        """``common`` of each piece and the text around its window, all at once."""
+        at, term = self.look.of(w.hash)
+        none = len(self.size)
+        terms = np.full(len(w.hash) + 1, none, np.int64)
+        terms[at] = term
+        bits = np.zeros((len(self.length), none + 1), U)
+        rank = np.arange(len(self.words)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
+        np.bitwise_or.at(bits, (np.repeat(np.arange(len(self.length)), self.length), self.words), U(1) << rank.astype(U))
+        out = np.zeros(len(doc), np.int64)
+        for lo in range(0, len(doc), 8192):
+            d, p = doc[lo : lo + 8192], piece[lo : lo + 8192]
+            start, end = w.first[d], w.first[d + 1]
+            begin = start + block[lo : lo + 8192] * BLOCK - MARGIN
+            full = (U(1) << self.length[p].astype(U)) - U(1)
+            v = full.copy()
+            for j in range(2 * BLOCK + 2 * MARGIN):
+                x = begin + j
+                u = v & bits[p, np.where((x >= start) & (x < end), terms[np.clip(x, 0, len(w.hash))], none)]
+                v = ((v + u) | (v - u)) & full
+            out[lo : lo + 8192] = self.length[p] - np.bitwise_count(v)
+        return out
+
+    def pairs(self, w: _text.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first block, number of the piece in the group) where a match of ``PARTLY`` of the piece is possible."""
+        n, first = _blocks(w)
+        at, term = self.look.of(w.hash)
+        at, term = at[self.size[term] > 0], term[self.size[term] > 0]
+        doc = w.doc[at]
+        half = (at - w.first[doc]) // (BLOCK // 2)
+        keys = []
+        for back in range(3):
+            k = half // 2 - back
+            ok = (k >= 0) & (k <= np.maximum(n[doc] - 2, 0)) & (half <= 2 * k + 4)
+            keys.append((first[doc] + k)[ok] * len(self.size) + term[ok])
+        key, tf = np.unique(np.concatenate(keys), return_counts=True)
+        window, term = np.divmod(key, max(1, len(self.size)))
+        own, number, size = np.unique(window, return_inverse=True, return_counts=True)
+        edges = np.concatenate([[0], np.cumsum(size)])
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for lo in range(0, len(own), 2048):
+            hi = min(lo + 2048, len(own))
+            a, b = edges[lo], edges[hi]
+            reps = self.size[term[a:b]]
+            place = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps - self.begin[term[a:b]], reps)
+            shared = np.minimum(self.tf[place], np.repeat(tf[a:b], reps))
+            total = np.bincount(np.repeat(number[a:b] - lo, reps) * len(self.need) + self.owner[place], shared, (hi - lo) * len(self.need)).reshape(hi - lo, -1)
+            r, c = np.nonzero(total >= self.need)
+            found.append((own[lo + r], c))
+        window, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc = np.searchsorted(first, window, "right") - 1
+        return doc, window - first[doc], piece
+
+
 class Space:
     """A group of pieces: vocabulary, idf, and after fitting the latent vectors of terms and pieces."""
 
     def __init__(self, bench: Bench, pieces: list[int], frequency: np.ndarray, blocks: int):
-        self.pieces = pieces
+        self.pieces, self.overlap = pieces, Overlap(bench, pieces, frequency)
         place = lambda i, a, b: np.searchsorted(bench.terms, np.unique(bench.words[i][a:b]))
         rare = [(t := place(*bench.pieces[p]))[np.lexsort((t, frequency[t]))][:RAREST] for p in pieces]
         own = np.unique(np.concatenate(rare))
@@ -219,11 +310,18 @@ def _add(batches):
         yield from row()
 
 
-def common(piece: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence, in bit-parallel form."""
+@lru_cache(1 << 14)
+def _masks(piece: bytes) -> dict[int, int]:
+    """Positions of each word of a piece, as bits."""
     masks: dict[int, int] = {}
-    for i, h in enumerate(piece.tolist()):
+    for i, h in enumerate(np.frombuffer(piece, U).tolist()):
         masks[h] = masks.get(h, 0) | 1 << i
+    return masks
+
+
+def common(piece: np.ndarray, text: np.ndarray) -> int:
+    """Length of the longest common subsequence, in bit-parallel form."""
+    masks = _masks(piece.tobytes())
     full, v = (1 << len(piece)) - 1, (1 << len(piece)) - 1
     for h in text.tolist():
         m = masks.get(h)
@@ -253,7 +351,7 @@ _FOUND = "doc_id long, item int, piece int, matched int, answer int, cosine doub
 
 
 def _search(shared):
-    """Best match of each (document, piece) that the cosine search brings up."""
+    """Best match of each (document, piece) that the cosine search or the overlap brings up."""
 
     def run(batches):
         bench, spaces = shared.value
@@ -261,30 +359,66 @@ def _search(shared):
             for part in _text.slices(b, most=1 << 22):
                 w = tokens(part.column("text"))
                 best: dict[tuple, tuple] = {}
+                leaky, done = set(), set()  # (text, item) with a piece matched by PARTLY; (text, block, piece) checked
+                count, first = _blocks(w)
+                latent = []
+
+                def check(d: int, block: int, p: int, cosine: float) -> None:
+                    if (d, block, p) in done:
+                        return
+                    done.add((d, block, p))
+                    i, a, e = bench.pieces[p]
+                    base = int(w.first[d])
+                    x = max(base, base + block * BLOCK - MARGIN)
+                    text = w.hash[x : min(int(w.first[d + 1]), base + (block + 2) * BLOCK + MARGIN)]
+                    own = bench.words[i]
+                    n, text = closest(own[a:e], text)
+                    if 3 * n < e - a:
+                        return
+                    answer = common(own[max(a, bench.answers[i]) : e], text) if e > bench.answers[i] else 0
+                    old = best.get((d, p), (0, 0, 0.0))
+                    best[d, p] = (max(n, old[0]), max(answer, old[1]), max(cosine, old[2]))
+                    if n >= PARTLY * (e - a):
+                        leaky.add((d, i))
+
+                def likely(s: Space, place, d, k, c, share: float) -> None:
+                    """Check windows and pieces whose words in common are ``share`` of the piece or more."""
+                    ok = s.overlap.matched(w, d, k, c) >= share * s.overlap.length[c] - 1e-9
+                    known, q = place
+                    for t, block, piece in zip(d[ok].tolist(), k[ok].tolist(), c[ok].tolist(), strict=True):
+                        at = int(np.searchsorted(known, first[t] + block))
+                        # A passage without two terms of the vocabulary has no place in the latent space.
+                        cosine = float(q[at] @ s.latent[piece]) if at < len(known) and known[at] == first[t] + block else 0.0
+                        check(t, block, s.pieces[piece], cosine)
+
                 for s in spaces:
                     rows, doc, block = s.passages(w)
-                    if not len(doc):
-                        continue
-                    q = s.project(rows, s.vectors)
+                    q = s.project(rows, s.vectors) if len(doc) else np.zeros((0, s.vectors.shape[1]), np.float32)
                     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+                    d, k, c, close = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
                     for lo in range(0, len(q), 4096):
                         cos = q[lo : lo + 4096] @ s.latent.T
-                        for r, c in zip(*np.nonzero(cos >= COSINE), strict=True):
-                            d, p = int(doc[lo + r]), s.pieces[c]
-                            i, a, e = bench.pieces[p]
-                            base = int(w.first[d])
-                            x = max(base, base + int(block[lo + r]) * BLOCK - MARGIN)
-                            text = w.hash[x : min(int(w.first[d + 1]), base + (int(block[lo + r]) + 2) * BLOCK + MARGIN)]
-                            own = bench.words[i]
-                            n = common(own[a:e], text)
-                            if 3 * n < e - a:
-                                continue
-                            n, text = closest(own[a:e], text)
-                            if 3 * n < e - a:
-                                continue
-                            answer = common(own[max(a, bench.answers[i]) : e], text) if e > bench.answers[i] else 0
-                            old = best.get((d, p), (0, 0, 0.0))
-                            best[d, p] = (max(n, old[0]), max(answer, old[1]), max(float(cos[r, c]), old[2]))
+                        r, own = np.nonzero(cos >= COSINE)
+                        d.append(doc[lo + r])
+                        k.append(block[lo + r])
+                        c.append(own)
+                        close.append(cos[r, own])
+                    d, k, c, close = map(np.concatenate, (d, k, c, close))
+                    n = s.overlap.matched(w, d, k, c)
+                    for x in np.flatnonzero(3 * n >= s.overlap.length[c]).tolist():
+                        check(int(d[x]), int(k[x]), s.pieces[c[x]], float(close[x]))
+                    latent.append((first[doc] + block, q))
+                    d, k, c = s.overlap.pairs(w)
+                    likely(s, latent[-1], d, k, c, PARTLY)
+                found = [(t, i) for t, i in sorted(leaky) if len(bench.own[i]) > 1]
+                for s, place in zip(spaces, latent, strict=True):  # the other pieces of items found
+                    number = {p: c for c, p in enumerate(s.pieces)}
+                    todo = [(np.zeros(0, np.int64),) * 3]
+                    for t, i in found:
+                        c = np.array([number[p] for p in bench.own[i] if p in number], np.int64)
+                        k = np.arange(max(1, count[t] - 1))
+                        todo.append((np.full(len(k) * len(c), t), np.tile(k, len(c)), np.repeat(c, len(k))))
+                    likely(s, place, *map(np.concatenate, zip(*todo, strict=True)), 1 / 3)
                 ids = part.column("doc_id")
                 keys = list(best)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([k[0] for k in keys], pa.int64())), pa.array([bench.pieces[k[1]][0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([best[k][j] for k in keys], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.float64())))], [f.split()[0] for f in _FOUND.split(", ")])

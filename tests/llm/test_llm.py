@@ -277,6 +277,31 @@ def test_html_slots_of_several_blocks(spark):
     assert got == {i: f"Own words {i}. Same in all. Point {i} more" for i in range(5)}
 
 
+def test_decontamination_without_the_rare_words(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdeghilmnorstu") for _ in range(n))
+    common, rare = [word(5) for _ in range(150)], [word(8) for _ in range(400)]
+    items, texts = [], [" ".join(rng.choices(common, k=200)) for _ in range(30)]
+    for i in range(12):
+        own = [w for a, b in zip(rng.sample(common, 24), rng.sample(rare, 24), strict=True) for w in (a, b)][: 30 if i % 2 else 48]
+        items.append((i, " ".join(own)))
+        kept = [w if w in common or k >= len(own) - 8 else word(9) for k, w in enumerate(own)]  # the answer stays
+        texts.append(" ".join([*rng.choices(common, k=60), *kept, *rng.choices(common, k=40)]))
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    words = lambda t: np.array([hash(w) & 0xFFFFFFFF for w in t.split()], np.uint64)
+    want = set()
+    for d, text in enumerate(texts):
+        for i, item in items:
+            own, said = words(item), words(text)
+            cuts = np.linspace(0, len(own), -(-len(own) // decontam.BLOCK) + 1).astype(int)
+            found = [decontam.closest(own[a:b], said) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            n = sum(m for (m, _), a, b in zip(found, cuts[:-1], cuts[1:], strict=True) if 3 * m >= b - a)
+            answer = decontam.common(own[-8:], found[-1][1])
+            if n >= 0.75 * len(own) or n >= 0.5 * len(own) and answer >= 0.6 * 8:
+                want.add((d, i))
+    assert {(30 + i, i) for i in range(12)} <= want and got == want
+
+
 @pytest.mark.parametrize("element", ["article", "main", "div", ""])
 def test_html_slots_in_an_article(spark, element):
     body = "<div class=x1><p>Same words</p><p>on all pages</p></div><h1>Title {0}</h1><p>Own words {0}.</p><p>More {0}.</p><ul class=x2><li><a href=/a>Topic {0}</a><li><a href=/b>Other</a></ul>"
