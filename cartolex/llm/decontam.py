@@ -459,9 +459,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a leak, with their columns."""
-    bad = _shared.materialize(leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"] == bad["doc_id"], "left_anti")
+    """The rows of ``docs`` without a leak, with their columns; a row of null id is judged as a document of its own."""
+    row = "leak_row"
+    while row in docs.columns:
+        row += "_"
+    bad = _shared.materialize(leaks(docs.where(F.col("doc_id").isNotNull()), benchmark).select("doc_id").distinct(), "leaks")
+    kept = docs.where(F.col("doc_id").isNotNull()).join(bad, docs["doc_id"] == bad["doc_id"], "left_anti")
+    nameless = _shared.materialize(docs.where(F.col("doc_id").isNull()).withColumn(row, F.monotonically_increasing_id()), "nameless")  # stored: the keys must not change
+    if nameless.isEmpty():
+        return kept
+    bad = _shared.materialize(leaks(nameless.select(F.col(row).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("bad_row")).distinct(), "leaks")
+    return kept.unionByName(nameless.join(bad, nameless[row] == bad["bad_row"], "left_anti").drop(row))
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

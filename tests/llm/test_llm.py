@@ -277,6 +277,16 @@ def test_html_slots_of_several_blocks(spark):
     assert got == {i: f"Own words {i}. Same in all. Point {i} more" for i in range(5)}
 
 
+def test_clean_judges_rows_of_null_id_one_by_one(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(6)) for _ in range(300)]
+    item, other = (" ".join(rng.choices(words, k=40)) for _ in range(2))
+    rows = [(None, f"a b {item} c"), (None, other), (None, other), (None, None), (None, f"a b {item} c"), (1, f"x {item}"), (2, other), (0, "y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, other), (None, other), (None, None), (2, other), (0, "y z")], key=str)
+
+
 def test_decontamination_without_the_rare_words(spark):
     rng = random.Random(9)
     word = lambda n: "".join(rng.choice("abcdeghilmnorstu") for _ in range(n))
