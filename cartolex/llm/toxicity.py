@@ -11,8 +11,8 @@ As the softmax is linear, each subword has one scalar at scoring time and a
 window is a difference of prefix sums.
 
 Fitted on a bounded sample: at most ``positives`` and ``negatives`` labelled
-rows, those with the smallest hash of the id, each cut to ``FIT_CHARS``
-characters. All rows and whole texts are scored.
+rows, those with the smallest hash of the id, with their whole texts. All rows
+and whole texts are scored.
 
 Defined cases: null and empty texts score as a window without words (the bias
 alone); without labels of both kinds every score is the share of label 1, or 0;
@@ -32,7 +32,7 @@ from .langid import fold
 U = np.uint64
 SLOTS, WIDTH, GRAMS = 1 << 16, 16, (3, 4, 5)
 WINDOW, STRIDE = 12, 6
-POSITIVES, NEGATIVES, FIT_CHARS = 1000, 2000, 20_000
+POSITIVES, NEGATIVES = 1000, 2000
 EPOCHS, BATCH, RATE, START = 4, 64, 0.5, 1.0
 THRESHOLD = 0.3
 
@@ -199,7 +199,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     pick = lambda kind, n: known.where(F.col("toxic") == kind).orderBy("h", "doc_id").limit(n)
     ids = pick(1, positives).unionByName(pick(0, negatives)).drop("h")  # at most positives + negatives rows
-    return docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

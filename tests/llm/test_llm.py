@@ -277,6 +277,13 @@ def test_html_slots_of_several_blocks(spark):
     assert got == {i: f"Own words {i}. Same in all. Point {i} more" for i in range(5)}
 
 
+def test_toxicity_fits_on_whole_texts(spark):
+    docs = spark.createDataFrame([(i, "plain words " * 4000 + f"dreadfulword {i}") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(docs, labels).collect()
+    assert rows and all(r.text.endswith(f"dreadfulword {r.doc_id}") for r in rows)
+
+
 def test_clean_judges_rows_of_null_id_one_by_one(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(6)) for _ in range(300)]
