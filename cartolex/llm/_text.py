@@ -23,18 +23,22 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept between batches."""
+    """base**0 .. base**(n-1) modulo 2**64; kept between the batches of a task."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
         have = np.full(size, base, U)
         have[0] = 1
         have = np.cumprod(have, dtype=U)
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[base] = have
     return have[:n]
 
 
+def forget() -> None:
+    _powers.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> U(32))
@@ -55,7 +59,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Rows of ``batch`` in runs of about ``most`` bytes of text; a longer text is a run alone."""
     at = utf8(batch.column(text))[1]
     i, n = 0, batch.num_rows

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _shared, _text
 from .langid import fold
 
 U = np.uint64
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in _text.slices(b):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(shared.value.score(part.column("text")), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return _shared.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

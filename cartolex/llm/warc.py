@@ -41,11 +41,13 @@ def base32(digest: bytes) -> str:
 def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, html, record_type, refers_to: of equal payloads of ``least`` bytes or more, that of the largest id is the response."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("k"), F.octet_length(html).alias("n"))
-    # One row per payload, counted map-side; ids are all that moves.
-    first = pages.select(F.sha1(html.cast("binary")).alias("k"), F.octet_length(html).alias("n"), F.col("page_id").cast("long").alias("page_id")).where(F.col("n") >= least).groupBy("k", "n").agg(F.max("page_id").alias("response"))
-    again = F.coalesce(F.col("response") != F.col("page_id"), F.lit(False))
-    return own.join(first, ["k", "n"], "left").select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("response")).alias("refers_to"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("k"))
+    # Payloads are compared by digest and length alone; a page then meets its own mark, so equal pages are spread over all tasks.
+    prints = pages.select(F.sha1(html.cast("binary")).alias("k"), F.octet_length(html).alias("n"), F.col("page_id").cast("long").alias("page_id")).where(F.col("n") >= least)
+    first = prints.groupBy("k", "n").agg(F.max("page_id").alias("response"), F.min("page_id").alias("least")).where("least < response").drop("least")
+    marks = prints.join(first, ["k", "n"]).where(F.col("response") != F.col("page_id")).select("page_id", "k", "response").distinct()
+    again = F.col("response").isNotNull()
+    return own.join(marks, ["page_id", "k"], "left").select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("response")).alias("refers_to"))
 
 
 def _head(page_id, url: str, kind: str, refers_to, size: int, digest: str) -> bytes:
@@ -114,7 +116,7 @@ def _writer(chunk_bytes: int):
 
 def write_archive(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES, least: int = 0) -> None:
     """Write every page as one record into the table at ``path``."""
-    plan_records(pages, least).mapInArrow(_writer(chunk_bytes), TABLE).write.option("compression", "zstd").parquet(path)
+    _shared.map_arrow(plan_records(pages, least), _writer(chunk_bytes), TABLE).write.option("compression", "zstd").parquet(path)
 
 
 class RecordReader:
@@ -172,8 +174,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per record. A record of one chunk is parsed where it lies; only longer ones are gathered, in order of their chunks."""
     table = spark.read.schema(TABLE).parquet(path)
     alone = (F.col("chunk") == 0) & F.col("last")
-    short = table.where(alone).select("data", "last").mapInArrow(_read, RECORDS)
-    long = table.where(~alone).repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk").select("data", "last").mapInArrow(_read, RECORDS)
+    short = _shared.map_arrow(table.where(alone).select("data", "last"), _read, RECORDS)
+    long = _shared.map_arrow(table.where(~alone).repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk").select("data", "last"), _read, RECORDS)
     return short.unionByName(long)
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cartolex.llm import _text, decontam, htmltext, jaccard, kneser, langid, packing, quality, suffixdedup, toxicity, warc
+from cartolex.llm import _text, decontam, htmltext, jaccard, packing, quality, suffixdedup, toxicity, warc
 from cartolex.llm.components import components
 from cartolex.llm.induced import suffix_array
 
@@ -174,40 +174,6 @@ def test_packing(spark):
         assert sum(r.padded for r in own) <= 100 and sorted(r.slot for r in own) == list(range(len(own)))
 
 
-def test_kneser_is_a_distribution(spark):
-    texts = ["the cat sat on the mat", "the cat ran", "a dog sat", "the dog ran on", None]
-    model = kneser.train(frame(spark, texts), 4)
-    vocabulary = sorted({w for t in texts for w in (t or "").split()})
-    for context in ("the", "sat", "unseen"):
-        column = pa.array([f"{context} {w}" for w in [*vocabulary, "unknown"]])
-        v, w, doc = kneser.token_stream(column)
-        at = np.flatnonzero(np.diff(doc, prepend=-1)) + 1  # the second token
-        p, _ = model.log10(v[at], w[at])
-        end_p, _ = model.log10(v[at][:1], np.array([kneser.END]))
-        assert (10**p).sum() + 10 ** end_p[0] == pytest.approx(1.0)
-    rows = {r.doc_id: r for r in kneser.score(frame(spark, texts), model).collect()}
-    assert rows[4].n_tokens == 1 and rows[0].train_tokens == sum(len((t or "").split()) + 1 for t in texts)
-    counts = {}
-    for t in texts:
-        for w in [*(t or "").split(), None]:
-            counts[w] = counts.get(w, 0) + 1
-    n, v = sum(counts.values()), len(counts)
-    assert rows[1].base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ["the", "cat", "ran", None]))
-
-
-def test_language(spark):
-    en, de = "the quick house and with that this ", "der schnelle und nicht die haus mit "
-    docs = [(i, (en if i % 2 else de) * (1 + i % 5), "en" if i % 2 else "de") for i in range(40)] + [(90, None, "en"), (91, "123 !", None)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
-    model = langid.fit([d[1].encode() for d in docs[:20]], [d[2] for d in docs[:20]])
-    got = {r.doc_id: r for r in langid.identify(df, model).collect()}
-    assert all(got[i].lang_pred == docs[i][2] and 0 <= got[i].score <= 1 for i in range(40))
-    assert got[90].lang_pred == got[91].lang_pred == "und"
-    code = langid.codewords(6)
-    assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= 7
-    assert langid.Model([], None, None, None, None).predict(np.frombuffer(b"x", np.uint8))[0] == "und"
-
-
 def test_toxicity_finds_words_and_misspellings():
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdeghilmnorstu") for _ in range(5)) for _ in range(200)]
@@ -334,5 +300,4 @@ def test_empty_tables(spark):
     assert suffixdedup.remove_repeats(none).count() == 0
     assert quality.ledger(none).count() == 0
     assert packing.pack(none).count() == 0
-    assert kneser.score(none, kneser.train(none, 2)).count() == 0
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
