@@ -12,8 +12,11 @@
    components form blocks. A block becomes a signature tree: nodes hold the OR
    (and AND) of token bitmaps and the range of set sizes, and a dual traversal
    drops node pairs by the largest overlap they could have. Blocks beyond
-   ``CHUNK`` rows are split, and all pairs of chunks are traversed.
-5. Surviving pairs of different components are verified on the full sets.
+   ``CHUNK`` rows are split into parts, and all pairs of parts that can hold rows
+   of two components are traversed.
+5. Surviving pairs of different components are verified on the full sets, for
+   each component the likeliest first, and those that the links found put into one
+   component no more.
 
 The prefix bound and both tree bounds are necessary conditions of a link, so no
 link between components is lost; within a component links add nothing.
@@ -38,9 +41,10 @@ U = np.uint64
 NUM, DEN = 3, 4  # links: DEN * intersection >= NUM * union
 HASHES, AGREE = 6, 3
 NARROW, WIDE = 256, 1 << 17  # bits of a bitmap: the power of two from twice the size of the set, within these
-HOT_LOCAL, HOT_LEAST, HOT_MOST, HOT_SLICES = 2, 32, 1 << 21, 8
+HOT_LOCAL, HOT_LEAST, HOT_MOST, HOT_SLICES = 2, 32, 1 << 21, 32
 LEAF, FANOUT, CHUNK, STAR_ROWS = 64, 4, 2048, 2000
 MARKS = 1 << 20
+TURNS, CROWD, FEW = 4, 1, 0.1
 
 _FEATURES = "doc_id long, n int, fp1 long, fp2 long, mh array<long>, bits binary, token long, seen long"
 
@@ -211,7 +215,10 @@ class Rows:
         for w in np.unique(self.width).tolist():
             rows = np.flatnonzero(self.width == w)
             self.place[rows] = np.arange(len(rows))
-            self.own[w] = raw[(at[rows][:, None] + np.arange(w // 8)).reshape(-1)].view(U).reshape(len(rows), w // 64)
+            self.own[w] = np.empty((len(rows), w // 64), U)
+            flat = self.own[w].view(np.uint8)
+            for k, a in enumerate(at[rows].tolist()):
+                flat[k] = raw[a : a + w // 8]
             self.half[w // 2] = np.bitwise_or(self.own[w][:, : w // 128], self.own[w][:, w // 128 :])
 
     def bits(self, rows: np.ndarray, w: int) -> np.ndarray:
@@ -224,11 +231,11 @@ class Rows:
             out[~same] = self.half[w][self.place[rows[~same]]]
         return out
 
-    def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which pairs of rows are of two components and could be linked."""
+    def fits(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs of rows are of two components and could be linked, and their largest overlap in thousandths of the sizes' sum."""
         n, comp = self.col["n"].astype(np.int64), self.col["comp"]
         ok = np.flatnonzero((comp[i] != comp[j]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])))
-        out = []
+        out = [(ok[:0], ok[:0])]
         narrow = np.minimum(self.width[i[ok]], self.width[j[ok]])
         for w in np.unique(narrow).tolist():
             at = ok[narrow == w]
@@ -236,14 +243,16 @@ class Rows:
                 p = at[lo : lo + 4096]
                 a, b = self.bits(i[p], w), self.bits(j[p], w)
                 m1, m2 = np.bitwise_count(a & ~b).sum(1, dtype=np.int64), np.bitwise_count(b & ~a).sum(1, dtype=np.int64)
-                out.append(p[_possible(n[i[p]], n[i[p]], m1, n[j[p]], n[j[p]], m2)])
-        return np.concatenate(out) if out else ok[:0]
+                may = _possible(n[i[p]], n[i[p]], m1, n[j[p]], n[j[p]], m2)
+                most = np.minimum(n[i[p]] - m1, n[j[p]] - m2)
+                out.append((p[may], (1000 * most // (n[i[p]] + n[j[p]]))[may]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def pairs(self, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        p = self.fits(i, j)
+        p, most = self.fits(i, j)
         a, b = self.col["rep"][i[p]], self.col["rep"][j[p]]
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), most]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["a", "b", "most"])
 
     def large(self, rows: np.ndarray):
         """Pairs of one block by signature trees, one for each side and width."""
@@ -356,14 +365,14 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     members = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).join(texts.withColumnRenamed("doc_id", "b"), "b")
     leaders = degree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts.withColumnRenamed("doc_id", "a"), "a")
     rows = members.select("a", "salt", "b", "text").unionByName(leaders.select("a", "salt", F.lit(None).cast("long").alias("b"), "text"))
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_check(k), "a long, b long")
+    return _shared.map_arrow(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()), _check(k), "a long, b long")
 
 
 def similarity_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    both = _shared.materialize(docs.mapInArrow(_features(k), _FEATURES), "features")
+    both = _shared.materialize(_shared.map_arrow(docs, _features(k), _FEATURES), "features")
     rows = both.where(F.col("token").isNull())
     # Frequent shingles: at most HOT_MOST of them, as each has a share of at least 1 / HOT_MOST of all.
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -389,27 +398,69 @@ def similarity_components(docs: DataFrame, k: int = 5) -> DataFrame:
     known = classes.select("rep", "n", F.col("mh")[0].alias("mh0"), "bits").join(first, F.col("rep") == F.col("node"), "left").select("rep", "n", "mh0", "bits", F.coalesce("component", "rep").alias("comp"))
     known = _shared.materialize(known, "known")
 
-    prefixes = docs.where(F.col("doc_id").isNotNull()).mapInArrow(_prefixes(k, shared), "token long, doc_id long")
-    met = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_met, "token long, doc_id long")
+    prefixes = _shared.map_arrow(docs.where(F.col("doc_id").isNotNull()), _prefixes(k, shared), "token long, doc_id long")
+    met = _shared.map_arrow(prefixes.repartition("token").sortWithinPartitions("token"), _met, "token long, doc_id long")
     held = met.join(members, "doc_id").select("token", "rep").join(known.select("rep", "comp"), "rep").select("token", "rep", "comp")
     held = _shared.materialize(held, "met")
-    mixed = held.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("token", F.ceil(F.col("c") / CHUNK).cast("int").alias("parts"))
-    open_ = held.join(mixed, "token").distinct().withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # A block in one part is a pair (0, 0); a larger one is dealt to all pairs of its parts.
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = open_.withColumn("o", other).select("token", "rep", F.least("own", "o").alias("ci"), F.greatest("own", "o").alias("cj"), (F.col("own") > F.col("o")).cast("int").alias("side")).join(known, "rep")
-    dealt = dealt.select("token", "ci", "cj", "side", "rep", "comp", "n", "mh0", "bits")
-    pairs = dealt.repartition("token", "ci", "cj").sortWithinPartitions("token", "ci", "cj", "side").mapInArrow(_blocks, "a long, b long")
-    more = verify(pairs, docs, k)
-    comp = known.select("rep", "comp")
-    joined = more.join(comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    last = components(_shared.materialize(joined.distinct(), "joined"))
-    final = comp.join(last, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("component", "comp").alias("component_id"))
-    named = members.join(final, "rep").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    pairs = _shared.map_arrow(_dealt(held, known).repartition("token", "ci", "cj").sortWithinPartitions("token", "ci", "cj", "side"), _blocks, "a long, b long, most long")
+    comp = _contracted(_shared.materialize(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "candidates"), known.select("rep", "comp"), docs, k)
+    named = members.join(comp, "rep").groupBy("doc_id").agg(F.min("comp").alias("component_id"))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(named, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _dealt(held: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of blocks: of each token that two components hold, every pair of rows of two components in one block at least.
+
+    A token's rows are in parts of ``CHUNK``, those of its largest component (if
+    that is beyond ``CHUNK``) apart from the others: parts of that component are
+    never paired with each other, so its size adds rows, not pairs of parts.
+    """
+    held = held.distinct()
+    each = held.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    mixed = each.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("comps")).where("comps > 1")
+    apart = F.col("top.c") > CHUNK
+    rest = F.col("c") - F.when(apart, F.col("top.c")).otherwise(0)
+    parts = lambda n: F.ceil(n / CHUNK).cast("int")
+    mixed = mixed.select("token", F.when(apart, F.col("top.comp")).alias("large"), parts(rest).alias("light"), F.when(apart, parts(F.col("top.c"))).otherwise(0).alias("heavy"))
+    rows = held.join(mixed, "token").withColumn("heavy_row", F.coalesce(F.col("comp") == F.col("large"), F.lit(False)))
+    place = F.xxhash64("rep")
+    rows = rows.withColumn("own", F.when(F.col("heavy_row"), F.col("light") + F.pmod(place, F.greatest("heavy", F.lit(1)))).otherwise(F.pmod(place, "light")).cast("int"))
+    # A block of one part is a pair (i, i); a row of the large component meets the parts of the others only.
+    others = F.when(F.col("heavy_row"), F.col("light")).otherwise(F.col("light") + F.col("heavy"))
+    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), others - 1)))
+    dealt = dealt.select("token", "rep", F.least("own", "o").alias("ci"), F.greatest("own", "o").alias("cj"), (F.col("own") > F.col("o")).cast("int").alias("side"))
+    return dealt.join(known, "rep").select("token", "ci", "cj", "side", "rep", "comp", "n", "mh0", "bits")
+
+
+def _contracted(pairs: DataFrame, comp: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(rep, comp) after all links among the candidate pairs (a, b, most).
+
+    While candidates outnumber the texts and a turn finds links, each component
+    verifies its likeliest pair only: true links join components, and the pairs
+    inside a joined one need no texts. The pairs left over are verified all.
+    """
+    most, share = CROWD * comp.count(), 1.0
+    for turn in range(TURNS + 1):
+        ca, cb = comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
+        open_ = _shared.materialize(pairs.join(ca, "a").join(cb, "b").where("ca != cb").select("a", "b", "most", "ca", "cb"), "open")
+        ends = open_.select(F.col("ca").alias("c"), "most", "a", "b").unionByName(open_.select(F.col("cb").alias("c"), "most", "a", "b"))
+        best = _shared.materialize(ends.groupBy("c").agg(F.max(F.struct("most", "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "best")
+        left, first = open_.count(), best.count()
+        if not left:
+            return comp
+        last = turn == TURNS or left <= most or share < FEW
+        links = _shared.materialize(verify(open_.select("a", "b") if last else best, docs, k), "links")
+        joined = links.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        new = components(_shared.materialize(joined, "joined"))
+        comp = _shared.materialize(comp.join(new, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("component", "comp").alias("comp")), "comp")
+        if last:
+            return comp
+        share = links.count() / first
+        pairs = open_.select("a", "b", "most").join(best, ["a", "b"], "left_anti")
+    raise AssertionError("the last turn returns")
+
+
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
