@@ -5,15 +5,17 @@ positions (LMS) are sorted by inducing their substrings, named, and sorted as
 suffixes through the string of names, recursively; from them all L and then all
 S suffixes are induced. Inducing from one bucket is a handful of array
 operations, since a suffix is only ever moved to a later bucket or, by runs of
-one symbol, to a later round of its own. A string of names whose alphabet is too
-large to be walked bucket by bucket is ranked by doubling instead.
+one symbol, to a later round of its own. So that buckets stay few, a string of
+more than ``WALK`` names is recursed on with each name written as two digits: the
+suffixes that begin at a name keep their order. Names that occur once are left
+out of the recursion but for those that end a comparison.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-WALK = 1024  # largest alphabet walked bucket by bucket
+WALK = 256  # names of one digit
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -28,80 +30,91 @@ def _types(t: np.ndarray) -> np.ndarray:
     return smaller[nxt]
 
 
-def _deal(pos: np.ndarray, symbol: np.ndarray, queues: list[list[np.ndarray]]) -> None:
-    if not len(pos):
-        return
-    order = np.argsort(symbol, kind="stable")
-    pos, symbol = pos[order], symbol[order]
-    cut = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
-    for part, c in zip(np.split(pos, cut), symbol[np.concatenate([[0], cut])].tolist(), strict=True):
-        queues[c].append(part)
+def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """The suffix array that follows from LMS positions ``lms`` in order (by bucket at least).
 
+    A bucket is its L suffixes, then its S suffixes. Whatever precedes the suffixes
+    of one bucket is dealt to the fronts (L) or, backwards, to the ends (S) of the
+    buckets of its symbols.
+    """
+    size = np.bincount(t, minlength=k)
+    end = np.cumsum(size)
+    start = end - size
+    out = np.empty(len(t), np.int32)
+    seeds = lms[np.argsort(t[lms], kind="stable")]
+    seed_at = np.concatenate([[0], np.cumsum(np.bincount(t[lms], minlength=k))])
+
+    def before(now, s):
+        now = now[now > 0] - 1
+        return now[is_s[now] == s]
+
+    front = start.copy()
+
+    def deal(pos):
+        if not len(pos):
+            return
+        symbol = t[pos]
+        order = np.argsort(symbol, kind="stable")
+        symbol, count = symbol[order], np.bincount(symbol, minlength=k)
+        out[(front - np.cumsum(count) + count)[symbol] + np.arange(len(pos))] = pos[order]
+        np.add(front, count, out=front)
 
-def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
-    """The suffix array that follows from LMS positions ``lms`` in order (by bucket at least)."""
-    seeds, queue, lists = [[] for _ in range(k)], [[] for _ in range(k)], [[] for _ in range(k)]
-    _deal(lms, t[lms], seeds)
-    empty = np.zeros(0, np.int32)
-    join = lambda parts: np.concatenate(parts) if len(parts) > 1 else parts[0] if parts else empty
     for c in range(k):
-        now = join(queue[c])
-        while len(now):
-            lists[c].append(now)
-            before = now[now > 0] - 1
-            before = before[~is_s[before]]
-            symbol = t[before]
-            own = symbol == c
-            _deal(before[~own], symbol[~own], queue)
-            now = before[own]
-        if seeds[c]:
-            before = join(seeds[c])
-            before = before[before > 0] - 1
-            before = before[~is_s[before]]
-            _deal(before, t[before], queue)
-    queue, out = [[] for _ in range(k)], [empty] * k
+        at = start[c]
+        while at < front[c]:
+            now, at = out[at : front[c]], front[c]
+            deal(before(now, False))
+        deal(before(seeds[seed_at[c] : seed_at[c + 1]], False))
+    back = end.copy()
+
+    def deal_back(pos):
+        if not len(pos):
+            return
+        symbol = t[pos]
+        order = np.argsort(symbol, kind="stable")
+        symbol, count = symbol[order], np.bincount(symbol, minlength=k)
+        out[(back - 1 + np.cumsum(count) - count)[symbol] - np.arange(len(pos))] = pos[order]
+        np.subtract(back, count, out=back)
+
     for c in range(k - 1, -1, -1):
-        large, small, now = join(lists[c]), [], join(queue[c])
-        while len(now):
-            small.append(now)
-            before = now[now > 0] - 1
-            before = before[is_s[before]]
-            symbol = t[before]
-            own = symbol == c
-            _deal(before[~own], symbol[~own], queue)
-            now = before[own]
-        if len(large):
-            before = large[::-1]
-            before = before[before > 0] - 1
-            before = before[is_s[before]]
-            _deal(before, t[before], queue)
-        if c == 0:
-            small.append(np.array([len(t) - 1], np.int32))
-        out[c] = np.concatenate([large, join(small)[::-1]])
-    return np.concatenate(out)
-
-
-def _doubling(t: np.ndarray) -> np.ndarray:
-    """Ranks by 1, 2, 4, ... symbols; each round sorts only what is still tied. A rank is the place of its group's first suffix."""
-    n, h = len(t), 1
-    order = np.argsort(t)
-    first = np.concatenate([[True], t[order][1:] != t[order][:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    while not first.all():
-        tied = np.flatnonzero(~(first & np.append(first[1:], True)))  # places in groups of two and more
-        pos = order[tied]
-        own = rank[pos]
-        follow = np.where(pos + h < n, rank[np.minimum(pos + h, n - 1)] + 1, 0)
-        key = own * (n + 2) + follow
-        by = np.argsort(key)
-        pos, key = pos[by], key[by]
-        order[tied] = pos
-        begins = np.concatenate([[True], key[1:] != key[:-1]])
-        first[tied] = begins
-        rank[pos] = tied[np.maximum.accumulate(np.where(begins, np.arange(len(tied)), 0))]
-        h *= 2
-    return order
+        if c == 0:  # the last suffix is that of the symbol 0 alone
+            out[0] = len(t) - 1
+            back[0] = 0
+        at = end[c]
+        while at > back[c]:
+            now, at = out[back[c] : at][::-1], back[c]
+            deal_back(before(now, True))
+        deal_back(before(out[start[c] : front[c]][::-1], True))
+    return out
+
+
+def _ordered(names: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of names, of which the last is 0 and only it.
+
+    A name that occurs once ends every comparison that reaches it, so of a run of
+    such names the first stays in the string and the others are in order already.
+    """
+    times = np.bincount(names)
+    keep = times[names] > 1
+    keep[1:] |= keep[:-1]
+    keep[-1] = True
+    if not keep.all():
+        rank, own = np.zeros(len(names), np.int64), np.flatnonzero(keep)
+        rank[own[_digits(np.unique(names[own], return_inverse=True)[1].astype(np.int32))]] = np.arange(len(own))
+        return np.lexsort((rank, names))
+    return _digits(names)
+
+
+def _digits(names: np.ndarray) -> np.ndarray:
+    """As ``_ordered``, by the recursion alone."""
+    k = int(names.max()) + 1
+    if k <= WALK:
+        return suffix_array(names, k)
+    base = int(np.ceil(np.sqrt(k)))
+    digits = np.zeros(2 * len(names) - 1, np.int32)
+    digits[:-1:2], digits[1::2] = names[:-1] // base + 1, names[:-1] % base + 1
+    order = suffix_array(digits, base + 2)
+    return order[order % 2 == 0] // 2
 
 
 def _names(t: np.ndarray, lms: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -124,9 +137,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     n = len(t)
     if n < 3:
         return np.arange(n)[::-1].copy()
-    if k > WALK:
-        return _doubling(t)
-    t = t.astype(np.uint16)  # sorted by radix
+    t = t.astype(np.uint16 if k <= 1 << 16 else np.int32)  # 16 bits are sorted by radix
     is_s = _types(t)
     lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)
     mark = np.full(n, -1, np.int32)
@@ -141,7 +152,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         return _induce(t, is_s, lms[order], k)
     reduced = np.empty(len(lms), np.int32)
     reduced[order] = names
-    return _induce(t, is_s, lms[suffix_array(reduced, int(names[-1]) + 1)], k)
+    return _induce(t, is_s, lms[_ordered(reduced)], k)
 
 
 def same_prefix(raw: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:

@@ -19,12 +19,14 @@ input.
 4. The marked intervals meet their texts again and are cut out.
 
 Texts travel compressed, twice. Texts equal as a whole are compared by
-fingerprint first and count as one text for step 2.
+fingerprint first and count as one text for step 2. A row is addressed by a hash
+of its id and text (``row``), so rows of one id with different texts are judged
+one by one.
 
 Defined cases: a null or empty text has nothing to remove; texts below ``LEAST``
-bytes lose nothing; rows of one id never remove each other; a row of null id
-neither removes nor loses anything; extra columns are dropped; an empty table
-gives an empty result.
+bytes lose nothing; rows of one id never remove each other, and each loses what
+rows of smaller ids have; a row of null id neither removes nor loses anything;
+extra columns are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from .induced import equal_windows, suffix_array
 
 U = np.uint64
 LEAST, GRAM = 50, 20
-HELD, TURN_BYTES = 1 << 21, 1 << 21
+HELD, TURN_BYTES = 1 << 20, 1 << 20
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -126,32 +128,32 @@ def _ordinals(doc: np.ndarray) -> np.ndarray:
     return np.arange(len(doc)) - np.repeat(first, np.diff(np.append(first, len(doc))))
 
 
-def _shared_rows(ids: np.ndarray, ordinal: np.ndarray, slots: int) -> list[tuple]:
-    return [(s, SHARED, ids[at].tobytes(), ordinal[at].astype("<u4").tobytes(), b"") for s, at in _by_slot(_slot(ids, slots), slots)]
+def _shared_rows(row: np.ndarray, ordinal: np.ndarray, slots: int) -> list[tuple]:
+    return [(s, SHARED, row[at].tobytes(), ordinal[at].astype("<u4").tobytes(), b"") for s, at in _by_slot(_slot(row, slots), slots)]
 
 
 def _anchor_rows(slots: int):
     """Anchors for comparison; those shared among the texts of one task are answered here."""
 
-    def reduced(ids, prints, ordinals, keys):
-        ids, prints, ordinals, keys = map(np.concatenate, (ids, prints, ordinals, keys))
+    def reduced(row, prints, ordinals, keys):
+        row, prints, ordinals, keys = map(np.concatenate, (row, prints, ordinals, keys))
         order = np.lexsort((prints, keys))
-        ids, prints, ordinals, keys = ids[order], prints[order], ordinals[order], keys[order]
+        row, prints, ordinals, keys = row[order], prints[order], ordinals[order], keys[order]
         first = _firsts(keys)
         if not len(first):
             return []
         size = np.diff(np.append(first, len(keys)))
         own = np.repeat(prints[first] != prints[first + size - 1], size)
-        out = _shared_rows(ids[own], ordinals[own], slots)
-        # Of what is answered, two rows without an id tell the others.
+        out = _shared_rows(row[own], ordinals[own], slots)
+        # Of what is answered, two rows without an address tell the others.
         tell = np.zeros(len(keys), bool)
         tell[first] = tell[first + size - 1] = True
         send = ~own | tell
-        where = np.where(own, np.iinfo(np.int64).min, ids)[send]
+        where = np.where(own, np.iinfo(np.int64).min, row)[send]
         keys, prints, ordinals = keys[send], prints[send], ordinals[send]
         for s, at in _by_slot(_slot(keys, slots), slots):
             at = at[np.argsort(where[at], kind="stable")]
-            text = _firsts(where[at])  # ids once for all their anchors
+            text = _firsts(where[at])  # addresses once for all their anchors
             told = where[at][text], np.diff(np.append(text, len(at)))
             same = np.concatenate([told[0].astype("<i8").view(np.uint8), told[1].astype("<u4").view(np.uint8)]).tobytes()
             out.append((s, ANCHOR, same, (keys[at] & U(0xFFFFFFFF)).astype("<u4").tobytes(), np.concatenate([(prints[at] & U(0xFFFFFFFF)).astype("<u4"), ordinals[at].astype("<u4")]).tobytes()))
@@ -162,19 +164,20 @@ def _anchor_rows(slots: int):
         for b in batches:
             for part in _text.slices(b):
                 raw, at = _text.utf8(part.column("text"))
-                ids, known = _ids(part.column("doc_id"))
+                _, known = _ids(part.column("doc_id"))
+                row = part.column("row").to_numpy()
                 sums = Sums(raw)
                 doc, key, _, _ = anchors(raw, at, sums)
                 if not len(doc):
                     continue
-                prints = np.zeros(len(ids), U)
+                prints = np.zeros(part.num_rows, U)
                 some = np.flatnonzero(np.diff(at))
                 prints[some] = sums.of(at[:-1][some], at[1:][some])
                 ordinal, keep = _ordinals(doc), known[doc]
-                for h, x in zip(held, (ids[doc], prints[doc], ordinal, key), strict=True):
+                for h, x in zip(held, (row[doc], prints[doc], ordinal, key), strict=True):
                     h.append(x[keep])
                 size += len(raw)
-                if size >= 4 * HELD:
+                if size >= 8 * HELD:
                     yield _rows(reduced(*held))
                     held, size = ([], [], [], []), 0
         if size:
@@ -203,22 +206,22 @@ def _compare(slots: int):
     def run(batches):
         for s, rows in _by_group(batches):
             out = [(s, *r) for r in rows if r[0] == SHARED]
-            ids, keys, prints, ordinals = [], [], [], []
+            row, keys, prints, ordinals = [], [], [], []
             for _, a, b, c in (r for r in rows if r[0] == ANCHOR):
                 m = len(a) // 12
-                ids.append(np.repeat(np.frombuffer(a[: 8 * m], "<i8"), np.frombuffer(a[8 * m :], "<u4")))
+                row.append(np.repeat(np.frombuffer(a[: 8 * m], "<i8"), np.frombuffer(a[8 * m :], "<u4")))
                 keys.append(np.frombuffer(b, "<u4"))
                 both = np.frombuffer(c, "<u4")
                 prints.append(both[: len(both) // 2])
                 ordinals.append(both[len(both) // 2 :])
-            if ids:
-                ids, keys, prints, ordinals = map(np.concatenate, (ids, keys, prints, ordinals))
+            if row:
+                row, keys, prints, ordinals = map(np.concatenate, (row, keys, prints, ordinals))
                 order = np.argsort(keys, kind="stable")
-                ids, keys, prints, ordinals = ids[order], keys[order], prints[order], ordinals[order]
+                row, keys, prints, ordinals = row[order], keys[order], prints[order], ordinals[order]
                 first = _firsts(keys)
                 size = np.diff(np.append(first, len(keys)))
-                met = np.repeat(np.minimum.reduceat(prints, first) != np.maximum.reduceat(prints, first), size) & (ids != np.iinfo(np.int64).min)
-                out += _shared_rows(ids[met], ordinals[met].astype(np.int64), slots)
+                met = np.repeat(np.minimum.reduceat(prints, first) != np.maximum.reduceat(prints, first), size) & (row != np.iinfo(np.int64).min)
+                out += _shared_rows(row[met], ordinals[met].astype(np.int64), slots)
             if out:
                 yield _rows(out)
 
@@ -226,7 +229,7 @@ def _compare(slots: int):
 
 
 def _text_rows(slots: int):
-    """Texts by the slot of their id, compressed."""
+    """Texts by the slot of their row, compressed."""
 
     def run(batches):
         packer = zstandard.ZstdCompressor(level=1)
@@ -234,22 +237,25 @@ def _text_rows(slots: int):
             for part in _text.slices(b, most=4 * HELD):
                 raw, at = _text.utf8(part.column("text"))
                 ids, known = _ids(part.column("doc_id"))
+                row = part.column("row").to_numpy()
                 out = []
-                for s, own in _by_slot(_slot(ids, slots), slots):
+                for s, own in _by_slot(_slot(row, slots), slots):
                     texts = b"".join(raw[at[i] : at[i + 1]].tobytes() for i in own)
                     sizes = np.where(known[own], np.diff(at)[own], -1 - np.diff(at)[own])  # a null id shows in the sign
-                    out.append((s, TEXT, ids[own].tobytes(), sizes.astype("<i8").tobytes(), packer.compress(texts)))
+                    out.append((s, TEXT, np.stack([ids[own], row[own]]).tobytes(), sizes.astype("<i8").tobytes(), packer.compress(texts)))
                 yield _rows(out)
 
     return run
 
 
-def _texts(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, known, offsets, bytes) of a TEXT row."""
-    _, a, b, c = row
+def _texts(packed) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, rows, known, offsets, bytes) of a TEXT row."""
+    _, a, b, c = packed
     size = np.frombuffer(b, "<i8")
     known = size >= 0
-    return np.frombuffer(a, "<i8"), known, np.concatenate([[0], np.cumsum(np.where(known, size, -1 - size))]), np.frombuffer(zstandard.ZstdDecompressor().decompress(c, max_output_size=max(1, int(np.where(known, size, -1 - size).sum()))), np.uint8)
+    size = np.where(known, size, -1 - size)
+    ids, row = np.frombuffer(a, "<i8").reshape(2, -1)
+    return ids, row, known, np.concatenate([[0], np.cumsum(size)]), np.frombuffer(zstandard.ZstdDecompressor().decompress(c, max_output_size=max(1, int(size.sum()))), np.uint8)
 
 
 def _collapse(prints: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,8 +266,8 @@ def _collapse(prints: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[ids[order] == least], order[ids[order] > least]
 
 
-def _cut_rows(ids: np.ndarray, start: np.ndarray, end: np.ndarray, slots: int) -> list[tuple]:
-    return [(s, CUT, ids[at].tobytes(), start[at].astype("<i8").tobytes(), end[at].astype("<i8").tobytes()) for s, at in _by_slot(_slot(ids, slots), slots)]
+def _cut_rows(row: np.ndarray, start: np.ndarray, end: np.ndarray, slots: int) -> list[tuple]:
+    return [(s, CUT, row[at].tobytes(), start[at].astype("<i8").tobytes(), end[at].astype("<i8").tobytes()) for s, at in _by_slot(_slot(row, slots), slots)]
 
 
 def _segment_rows(slots: int):
@@ -273,19 +279,18 @@ def _segment_rows(slots: int):
             wanted = [r for r in rows if r[0] == SHARED]
             if not wanted:
                 continue
-            want_id = np.concatenate([np.frombuffer(r[1], "<i8") for r in wanted])
+            want_row = np.concatenate([np.frombuffer(r[1], "<i8") for r in wanted])
             want_at = np.concatenate([np.frombuffer(r[2], "<u4") for r in wanted]).astype(np.int64)
-            order = np.lexsort((want_at, want_id))
-            want_id, want_at = want_id[order], want_at[order]
-            # (id, ordinal) as one number; ids repeat only by repeated rows, so a few places at most are tried beyond the exact one.
-            some, wide = np.unique(want_id), int(want_at.max()) + 2
-            pairs = np.searchsorted(some, want_id) * wide + want_at
-            del wanted, order, want_id, want_at
+            order = np.lexsort((want_at, want_row))
+            want_row, want_at = want_row[order], want_at[order]
+            some, wide = np.unique(want_row), int(want_at.max()) + 2
+            pairs = np.searchsorted(some, want_row) * wide + want_at  # (row, ordinal) as one number
+            del wanted, order, want_row, want_at
             held = {}
-            for row in (r for r in rows if r[0] == TEXT):
-                ids, known, at, raw = _texts(row)
-                rank_of = np.minimum(np.searchsorted(some, ids), len(some) - 1)
-                has = known & (some[rank_of] == ids)
+            for packed in (r for r in rows if r[0] == TEXT):
+                ids, row, known, at, raw = _texts(packed)
+                rank_of = np.minimum(np.searchsorted(some, row), len(some) - 1)
+                has = known & (some[rank_of] == row)
                 if not has.any():
                     continue
                 sums = Sums(raw)
@@ -295,25 +300,25 @@ def _segment_rows(slots: int):
                 asked = rank_of[doc] * wide + np.minimum(ordinal, wide - 1)
                 found = pairs[np.minimum(np.searchsorted(pairs, asked), len(pairs) - 1)] == asked
                 doc, key, lo, hi = doc[found], key[found], lo[found], hi[found]
-                for name, x in (("id", ids[doc]), ("start", lo - at[doc]), ("size", hi - lo), ("print", sums.of(lo, hi)), ("key", key)):
+                for name, x in (("id", ids[doc]), ("row", row[doc]), ("start", lo - at[doc]), ("size", hi - lo), ("print", sums.of(lo, hi)), ("key", key)):
                     held.setdefault(name, []).append(x)
                 held.setdefault("raw", []).append((raw, lo, hi))
             if not held:
                 continue
             del pairs, rows
             texts = held.pop("raw")
-            col = {k: np.concatenate(held.pop(k)) for k in ("id", "start", "size", "print", "key")}
+            col = {k: np.concatenate(held.pop(k)) for k in ("id", "row", "start", "size", "print", "key")}
             chunk = np.concatenate([np.full(len(x[1]), i, np.int32) for i, x in enumerate(texts)])
             los = np.concatenate([x[1] for x in texts])
             one, again = _collapse(col["print"], col["id"])
-            yield _rows(_cut_rows(col["id"][again], col["start"][again], col["start"][again] + col["size"][again], slots))
+            yield _rows(_cut_rows(col["row"][again], col["start"][again], col["start"][again] + col["size"][again], slots))
             out, size = [], 0
             shard = _slot(col["key"][one], slots)
             for s, at in _by_slot(shard, slots):
                 own = one[at]
                 _, text_of = np.unique(col["print"][own], return_index=True)  # a text that its document repeats is sent once
                 text = b"".join(texts[chunk[i]][0][los[i] : los[i] + col["size"][i]].tobytes() for i in own[text_of])
-                head = np.stack([col["id"][own], col["start"][own], col["size"][own], col["print"][own].view(np.int64), col["key"][own].view(np.int64)]).astype("<i8").tobytes()
+                head = np.stack([col["id"][own], col["row"][own], col["start"][own], col["size"][own], col["print"][own].view(np.int64), col["key"][own].view(np.int64)]).astype("<i8").tobytes()
                 out.append((s, SEGMENT, head, packer.compress(text), b""))
                 size += len(head) + len(out[-1][3])
                 if size >= HELD:
@@ -365,11 +370,11 @@ def _shards(slots: int):
             unpacker = zstandard.ZstdDecompressor()
             heads, known, sizes, raws = [], [], [], []
             for _, a, b, _ in own:
-                h = np.frombuffer(a, "<i8").reshape(5, -1)
-                own_prints, first = np.unique(h[3].view(U), return_index=True)
+                h = np.frombuffer(a, "<i8").reshape(6, -1)
+                own_prints, first = np.unique(h[4].view(U), return_index=True)
                 heads.append(h)
                 known.append(own_prints)
-                sizes.append(h[2][first])
+                sizes.append(h[3][first])
                 raws.append(np.frombuffer(unpacker.decompress(b, max_output_size=int(sizes[-1].sum())), np.uint8))
             del own, rows
             # Where the text of each print begins; several rows may bring it.
@@ -378,11 +383,11 @@ def _shards(slots: int):
             known, first = np.unique(known, return_index=True)
             lie = lie[first]
             del raws
-            ids, start, size, prints, keys = np.concatenate(heads, 1)
+            ids, row, start, size, prints, keys = np.concatenate(heads, 1)
             del heads
             prints, keys = prints.view(U), keys.view(U)
             one, again = _collapse(prints, ids)
-            yield _rows(_cut_rows(ids[again], start[again], start[again] + size[again], slots))
+            yield _rows(_cut_rows(row[again], start[again], start[again] + size[again], slots))
             # Distinct texts by anchor; equal windows have one anchor, so anchors can be sorted in turns.
             one = one[np.lexsort((prints[one], keys[one]))]
             lead = _firsts(prints[one])
@@ -401,16 +406,16 @@ def _shards(slots: int):
                 # What holds for a text holds wherever its document has it.
                 times = count[x + seg]
                 at = one[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lead[x + seg], times)]
-                yield _rows(_cut_rows(ids[at], start[at] + np.repeat(a, times), start[at] + np.repeat(b, times), slots))
+                yield _rows(_cut_rows(row[at], start[at] + np.repeat(a, times), start[at] + np.repeat(b, times), slots))
 
     return run
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
 
 
 def _kept(with_text: bool):
-    """Texts without their cuts."""
+    """Texts without their cuts; as ``kept``, if asked for, a text from which a character cut in two is gone whole."""
 
     def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(a, kind="stable")
@@ -423,18 +428,18 @@ def _kept(with_text: bool):
         for _, rows in _by_group(batches):
             cuts = [r for r in rows if r[0] == CUT]
             join = lambda i, cuts=cuts: np.concatenate([np.frombuffer(r[i], "<i8") for r in cuts]) if cuts else np.zeros(0, np.int64)
-            cut_id, start, end = join(1), join(2), join(3)
-            order = np.argsort(cut_id, kind="stable")
-            cut_id, start, end = cut_id[order], start[order], end[order]
+            cut_row, start, end = join(1), join(2), join(3)
+            order = np.argsort(cut_row, kind="stable")
+            cut_row, start, end = cut_row[order], start[order], end[order]
             copies = np.unique(np.concatenate([np.frombuffer(r[1], "<i8") for r in rows if r[0] == COPY] or [np.zeros(0, np.int64)]))
-            for row in (r for r in rows if r[0] == TEXT):
-                ids, known, at, raw = _texts(row)
+            for packed in (r for r in rows if r[0] == TEXT):
+                ids, row, known, at, raw = _texts(packed)
                 out = []
                 for i in range(len(ids)):
                     text = raw[at[i] : at[i + 1]]
-                    lo, hi = np.searchsorted(cut_id, ids[i]), np.searchsorted(cut_id, ids[i], "right")
+                    lo, hi = np.searchsorted(cut_row, row[i]), np.searchsorted(cut_row, row[i], "right")
                     n, removed, spans = len(text), 0, 0
-                    if known[i] and n >= LEAST and len(copies) and copies[min(np.searchsorted(copies, ids[i]), len(copies) - 1)] == ids[i]:
+                    if known[i] and n >= LEAST and len(copies) and copies[min(np.searchsorted(copies, row[i]), len(copies) - 1)] == row[i]:
                         kept, removed, spans = b"", n, 1
                     elif known[i] and hi > lo:
                         a, b = merged(start[lo:hi], end[lo:hi])
@@ -442,39 +447,44 @@ def _kept(with_text: bool):
                         kept = b"".join(text[x:y].tobytes() for x, y in zip([0, *b.tolist()], [*a.tolist(), n], strict=True))
                     else:
                         kept = text.tobytes()
-                    out.append((int(ids[i]) if known[i] else None, n, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-                types = (pa.int64(),) * 4 + (pa.string(), pa.binary())
+                    out.append((int(ids[i]) if known[i] else None, int(row[i]), n, removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
+                types = (pa.int64(),) * 5 + (pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
 
     return run
 
 
+def row_key():
+    """The address of a row: a hash of its id and text. Rows of one address are alike in both."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, ``kept`` (bytes) for every row."""
+    """doc_id, row (``row_key``), n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, ``kept`` for every row."""
     spark = docs.sparkSession
     tasks = _shared.n_partitions(spark)
     slots = tasks
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), row_key().alias("row"))
     deal = lambda df: df.repartition(tasks, "slot").sortWithinPartitions("slot", "kind")
 
     # Rows that repeat the whole text of a smaller id, by fingerprint; the ids are all that moves.
-    prints = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LEAST)).select("doc_id", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), F.octet_length("text").alias("n"))
+    prints = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LEAST)).select("doc_id", "row", F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), F.octet_length("text").alias("n"))
     least = prints.groupBy("x", "y", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last"))
-    copies = prints.join(least, ["x", "y", "n"]).where(F.col("doc_id") > F.col("first")).select("doc_id")
+    copies = prints.join(least, ["x", "y", "n"]).where(F.col("doc_id") > F.col("first")).select("row")
 
     def copy_rows(batches):
         for b in batches:
-            ids, _ = _ids(b.column("doc_id"))
-            yield _rows([(s, COPY, ids[at].tobytes(), b"", b"") for s, at in _by_slot(_slot(ids, slots), slots)])
+            row = b.column("row").to_numpy()
+            yield _rows([(s, COPY, row[at].tobytes(), b"", b"") for s, at in _by_slot(_slot(row, slots), slots)])
 
-    shared = deal(docs.mapInArrow(_anchor_rows(slots), ROW)).mapInArrow(_compare(slots), ROW)
+    shared = _shared.map_arrow(deal(_shared.map_arrow(docs, _anchor_rows(slots), ROW)), _compare(slots), ROW)
     shared = _shared.materialize(shared, "anchors")
-    segments = deal(shared.unionByName(docs.mapInArrow(_text_rows(slots), ROW))).mapInArrow(_segment_rows(slots), ROW)
-    cuts = _shared.materialize(deal(segments).mapInArrow(_shards(slots), ROW), "cuts")
-    last = cuts.unionByName(copies.mapInArrow(copy_rows, ROW)).unionByName(docs.mapInArrow(_text_rows(slots), ROW))
-    out = deal(last).mapInArrow(_kept(with_text), RESULT)
+    segments = _shared.map_arrow(deal(shared.unionByName(_shared.map_arrow(docs, _text_rows(slots), ROW))), _segment_rows(slots), ROW)
+    cuts = _shared.materialize(_shared.map_arrow(deal(segments), _shards(slots), ROW), "cuts")
+    last = cuts.unionByName(_shared.map_arrow(copies, copy_rows, ROW)).unionByName(_shared.map_arrow(docs, _text_rows(slots), ROW))
+    out = _shared.map_arrow(deal(last), _kept(with_text), RESULT)
     return out if with_text else out.drop("kept")
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row")
