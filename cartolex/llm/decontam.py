@@ -1,26 +1,26 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Items are cut into pieces of at most ``BLOCK`` words. Each piece contributes
-   its ``RAREST`` rarest terms (document frequency over all passages of the
-   corpus) to the vocabulary of its group of pieces.
+1. Items are cut into pieces of at most ``BLOCK`` words; their words are the
+   vocabulary. One pass over the texts keeps of each the places of vocabulary
+   words, as a work table, and counts in how many blocks each word occurs.
 2. Passages are windows of two blocks of words, a block apart, over whole texts,
    so a piece lies wholly in one. Their TF-IDF rows, with the pieces' own, form a
-   matrix whose right singular vectors come from a distributed randomised SVD:
-   one pass sums A'(A W) for a random W, and the Nystrom form yields the vectors.
+   matrix whose right singular vectors come from a distributed randomised SVD of
+   rank ``RANK``: one pass sums A'(A W) for a random W, and the Nystrom form
+   yields the vectors. No word is left out of it, so a paraphrase without a
+   piece's rare words is met by the others, and by words that occur with them.
 3. In the latent space, each passage is compared with all pieces by cosine.
-4. The vocabulary leaves common words out, so a paraphrase that replaces the rare
-   ones escapes the cosine. Windows that share as many words with a piece as a
-   leak must, counted over all its words, are therefore candidates as well
-   (``Overlap``).
-5. A candidate is checked by the longest common subsequence of words that lie
-   within ``SPREAD`` times the length of the piece. An item's
-   coverage is the share of its words so found in a document; it is a leak if the
-   coverage is ``COVER`` or more, or ``PARTLY`` or more with its answer (the last
-   sentence, or the last words of an item of one sentence) found as well.
-
-What is sent to workers grows with the benchmark only. Pieces are handled in
-groups of ``GROUP``, each with its own vectors, whatever their number; an item of
-any length is a run of pieces.
+4. A candidate is checked by the longest common subsequence of words that lie
+   within ``SPREAD`` times the length of the piece. An item's coverage is the
+   share of its words so found in a document; it is a leak if the coverage is
+   ``COVER`` or more, or ``PARTLY`` or more with its answer (the last sentence, or
+   the last words of an item of one sentence) found as well. A leak has a piece
+   matched by ``PARTLY`` or more, as its pieces are matched by that on the whole;
+   where such a piece is found, the item's other pieces are searched in the text.
+
+The benchmark is handled in parts of at most ``PART`` pieces, so what the driver
+holds and sends to workers is bounded (``PART * BLOCK`` words by ``RANK``) whatever
+its size; an item of any length is a run of pieces of one part.
 
 Defined cases: null or empty texts and items without words match nothing; an
 item given twice is reported once for each id; rows of one document id are one
@@ -30,7 +30,8 @@ benchmark or corpus gives no leaks.
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +42,20 @@ from . import _shared, _text
 from .toxicity import tokens
 
 U = np.uint64
-BLOCK, RAREST, GROUP, EXTRA = 32, 6, 400, 32
-COSINE, MARGIN = 0.3, 16
+BLOCK, RANK, PART, GROUP = 32, 128, 2048, 256
+COSINE, MARGIN, WEIGHT = 0.1, 16, 0.01
 COVER, PARTLY, ANSWER, ANSWER_WORDS, SPREAD = 0.75, 0.5, 0.6, 8, 1.5
+WORDS, STEP = 1 << 18, 1 << 12  # of texts handled at once; of hits projected at once
 
 
 class Bench:
-    """Items as words; ``pieces`` are (item, first word, end)."""
+    """Items as words, numbered in the order of their hashes; ``pieces`` are (item, first word, end)."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids = [r[0] for r in rows]
-        column = pa.array([r[1] or "" for r in rows], pa.large_string())
-        w = tokens(column)
-        self.words = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        w = tokens(pa.array([r[1] or "" for r in rows], pa.large_string()))
+        self.terms, number = np.unique(w.hash, return_inverse=True)
+        self.words = [number[a:b].astype(np.int32) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         self.answers = []
         for (_, text), own in zip(rows, self.words, strict=True):
             last = [s for s in (text or "").replace("?", ".").replace("\n", ".").split(".") if s.strip()]
@@ -61,13 +63,17 @@ class Bench:
             self.answers.append(max(0, len(own) - max(n, min(ANSWER_WORDS, len(own)))))  # its first word
         self.pieces = []
         for i, own in enumerate(self.words):
-            k = max(1, -(-len(own) // BLOCK)) if len(own) else 0
+            k = -(-len(own) // BLOCK)
             cut = np.linspace(0, len(own), k + 1).astype(int)
             self.pieces += [(i, int(a), int(b)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         self.own = [[] for _ in self.words]  # numbers of an item's pieces
         for p, (i, _, _) in enumerate(self.pieces):
             self.own[i].append(p)
-        self.terms = np.unique(np.concatenate([*self.words, np.zeros(0, U)]))
+        self.length = np.array([b - a for _, a, b in self.pieces], np.int64)
+
+    def piece(self, p: int) -> np.ndarray:
+        i, a, b = self.pieces[p]
+        return self.words[i][a:b]
 
 
 class Lookup:
@@ -88,243 +94,194 @@ class Lookup:
         return at[ok], place[ok]
 
 
-def _blocks(w: _text.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(blocks of each text, first block of each text)"""
-    n = -(-w.count // BLOCK)
-    return n, np.cumsum(n) - n
+_SPOTS = "doc_id long, n int, place binary, term binary, hit long, blocks long"
+_SPOT_NAMES = [f.split()[0] for f in _SPOTS.split(", ")]
+
 
+def _spots(look):
+    """Of each text the places of vocabulary words; and (hit, blocks that hold it), where hit -1 counts all blocks."""
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
 
-def _frequency(look):
-    """(term, blocks that hold it); term -1 counts all blocks."""
+    def batch(columns, n):
+        return pa.RecordBatch.from_arrays([c if c is not None else pa.nulls(n, t) for c, t in zip(columns, types, strict=True)], _SPOT_NAMES)
 
     def run(batches):
+        size = len(look.value.terms)
+        total, all_blocks = np.zeros(size, np.int64), 0
         for b in batches:
-            for part in _text.slices(b, most=1 << 22):
+            for part in _text.slices(b, most=1 << 20):
                 w = tokens(part.column("text"))
-                n, first = _blocks(w)
                 at, term = look.value.of(w.hash)
-                block = first[w.doc[at]] + (at - w.first[w.doc[at]]) // BLOCK
-                seen = np.unique(block * len(look.value.terms) + term) % max(1, len(look.value.terms))
-                count = np.bincount(seen, minlength=len(look.value.terms))
-                some = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(count[some], n.sum()))], ["term", "n"])
+                doc = w.doc[at]
+                place = at - w.first[doc]
+                n = -(-w.count // BLOCK)
+                block = (np.cumsum(n) - n)[doc] + place // BLOCK
+                total += np.bincount(np.unique(block * size + term) % max(1, size), minlength=size)
+                all_blocks += int(n.sum())
+                cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                own = np.flatnonzero(np.diff(cut))
+                if len(own):
+                    packed = lambda x, own=own, cut=cut: pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.append(cut[own], cut[-1]).astype("<i4") * 4), pa.py_buffer(x.astype("<i4"))])
+                    yield batch([part.column("doc_id").take(pa.array(own)).cast(pa.int64()), pa.array(w.count[own].astype(np.int32)), packed(place), packed(term), None, None], len(own))
+        some = np.flatnonzero(total)
+        yield batch([None] * 4 + [pa.array(np.append(some, -1)), pa.array(np.append(total[some], all_blocks))], len(some) + 1)
 
     return run
 
 
-class Overlap:
-    """Windows that share so many words with a piece of a group that a match is possible; it loses none.
+class Hits:
+    """Vocabulary words of some texts: ``doc``, ``place`` and ``term`` of each; ``first`` word of each text among all, ``dense`` terms of all words (-1: no term)."""
 
-    A match lies within ``SPREAD`` pieces of text, so in one of the windows of five
-    half blocks that begin a block apart, and that window shares as many words. Of a
-    piece's words the ``skip`` most frequent in the corpus are not looked up; the
-    window must share the rest of the match with the others. A leak has a piece
-    matched by ``PARTLY`` or more, as its pieces are matched by that on the whole.
-    """
+    def __init__(self, batch: pa.RecordBatch):
+        column = lambda name: _text.utf8(batch.column(name))
+        raw, at = column("place")
+        self.place, self.term = raw.view("<i4").astype(np.int64), column("term")[0].view("<i4").astype(np.int64)
+        self.count = batch.column("n").to_numpy().astype(np.int64)
+        self.doc = np.repeat(np.arange(batch.num_rows), np.diff(at) // 4)
+        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        self.dense = np.full(self.first[-1], -1, np.int32)
+        self.dense[self.first[self.doc] + self.place] = self.term
+        self.blocks = -(-self.count // BLOCK)
+        self.block = np.cumsum(self.blocks) - self.blocks  # the first of each text
 
-    def __init__(self, bench: Bench, pieces: list[int], frequency: np.ndarray):
-        size = np.array([bench.pieces[p][2] - bench.pieces[p][1] for p in pieces])
-        need = np.ceil(PARTLY * size).astype(np.int64)
-        skip = need // 2
-        self.length, self.need = size, need - skip
-        words = [np.searchsorted(bench.terms, bench.words[i][a:b]) for i, a, b in (bench.pieces[p] for p in pieces)]
-        owner = np.repeat(np.arange(len(pieces)), size)
-        used, self.words = np.unique(np.concatenate(words), return_inverse=True)
-        self.look = Lookup(bench.terms[used])
-        # Words by piece, rarest first; the last ``skip`` of each are not looked up.
-        order = np.lexsort((self.words, frequency[used][self.words], owner))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-        order = order[rank < np.repeat(size - skip, size)]
-        key, self.tf = np.unique(self.words[order] * len(pieces) + owner[order], return_counts=True)
-        self.owner = key % len(pieces)
-        self.size = np.bincount(key // len(pieces), minlength=len(used))
-        self.begin = np.cumsum(self.size) - self.size
-
-    def matched(self, w: _text.Words, doc, block, piece) -> np.ndarray:
-        """``common`` of each piece and the text around its window, all at once."""
-        at, term = self.look.of(w.hash)
-        none = len(self.size)
-        terms = np.full(len(w.hash) + 1, none, np.int64)
-        terms[at] = term
-        bits = np.zeros((len(self.length), none + 1), U)
-        rank = np.arange(len(self.words)) - np.repeat(np.cumsum(self.length) - self.length, self.length)
-        np.bitwise_or.at(bits, (np.repeat(np.arange(len(self.length)), self.length), self.words), U(1) << rank.astype(U))
-        out = np.zeros(len(doc), np.int64)
-        for lo in range(0, len(doc), 8192):
-            d, p = doc[lo : lo + 8192], piece[lo : lo + 8192]
-            start, end = w.first[d], w.first[d + 1]
-            begin = start + block[lo : lo + 8192] * BLOCK - MARGIN
-            full = (U(1) << self.length[p].astype(U)) - U(1)
-            v = full.copy()
-            for j in range(2 * BLOCK + 2 * MARGIN):
-                x = begin + j
-                u = v & bits[p, np.where((x >= start) & (x < end), terms[np.clip(x, 0, len(w.hash))], none)]
-                v = ((v + u) | (v - u)) & full
-            out[lo : lo + 8192] = self.length[p] - np.bitwise_count(v)
+    @staticmethod
+    def of(batches) -> Iterator[tuple[Hits, pa.RecordBatch]]:
+        for b in batches:
+            at, i = np.concatenate([[0], np.cumsum(b.column("n").to_numpy())]), 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(at, at[i] + WORDS, "right")) - 1)
+                part = b.slice(i, j - i)
+                yield Hits(part), part
+                i = j
+
+
+def summed(row: np.ndarray, term: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
+    """For each of ``n`` rows, named in ascending order, the sum of the matrix rows of its terms."""
+    out = np.zeros((n, matrix.shape[1]), matrix.dtype)
+    size = np.bincount(row, minlength=n)
+    if not len(row):
         return out
-
-    def pairs(self, w: _text.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first block, number of the piece in the group) where a match of ``PARTLY`` of the piece is possible."""
-        n, first = _blocks(w)
-        at, term = self.look.of(w.hash)
-        at, term = at[self.size[term] > 0], term[self.size[term] > 0]
-        doc = w.doc[at]
-        half = (at - w.first[doc]) // (BLOCK // 2)
-        keys = []
-        for back in range(3):
-            k = half // 2 - back
-            ok = (k >= 0) & (k <= np.maximum(n[doc] - 2, 0)) & (half <= 2 * k + 4)
-            keys.append((first[doc] + k)[ok] * len(self.size) + term[ok])
-        key, tf = np.unique(np.concatenate(keys), return_counts=True)
-        window, term = np.divmod(key, max(1, len(self.size)))
-        own, number, size = np.unique(window, return_inverse=True, return_counts=True)
-        edges = np.concatenate([[0], np.cumsum(size)])
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for lo in range(0, len(own), 2048):
-            hi = min(lo + 2048, len(own))
-            a, b = edges[lo], edges[hi]
-            reps = self.size[term[a:b]]
-            place = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps - self.begin[term[a:b]], reps)
-            shared = np.minimum(self.tf[place], np.repeat(tf[a:b], reps))
-            total = np.bincount(np.repeat(number[a:b] - lo, reps) * len(self.need) + self.owner[place], shared, (hi - lo) * len(self.need)).reshape(hi - lo, -1)
-            r, c = np.nonzero(total >= self.need)
-            found.append((own[lo + r], c))
-        window, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        doc = np.searchsorted(first, window, "right") - 1
-        return doc, window - first[doc], piece
+    if size.max() > BLOCK:  # long rows in parts, whose sums are summed
+        parts = -(-size // BLOCK)
+        begin, first = np.cumsum(size) - size, np.cumsum(parts) - parts
+        part = first[row] + (np.arange(len(row)) - begin[row]) // BLOCK
+        return summed(np.repeat(np.arange(n), parts), np.arange(parts.sum()), n, summed(part, term, int(parts.sum()), matrix))
+    order = np.argsort(-size, kind="stable")
+    begin, left = (np.cumsum(size) - size)[order], np.cumsum(np.bincount(size, minlength=BLOCK + 1)[::-1])[::-1]
+    for lo in range(0, n, STEP):  # by places of terms in rows: whole matrix rows are added
+        own = np.zeros((min(STEP, n - lo), matrix.shape[1]), matrix.dtype)
+        for k in range(BLOCK):
+            m = min(int(left[k + 1]) - lo, len(own))
+            if m <= 0:
+                break
+            own[:m] += matrix[term[begin[lo : lo + m] + k]]
+        out[order[lo : lo + len(own)]] = own
+    return out
 
 
 class Space:
-    """A group of pieces: vocabulary, idf, and after fitting the latent vectors of terms and pieces."""
-
-    def __init__(self, bench: Bench, pieces: list[int], frequency: np.ndarray, blocks: int):
-        self.pieces, self.overlap = pieces, Overlap(bench, pieces, frequency)
-        place = lambda i, a, b: np.searchsorted(bench.terms, np.unique(bench.words[i][a:b]))
-        rare = [(t := place(*bench.pieces[p]))[np.lexsort((t, frequency[t]))][:RAREST] for p in pieces]
-        own = np.unique(np.concatenate(rare))
-        self.look = Lookup(bench.terms[own])
-        self.idf = np.log((1 + blocks) / (1 + frequency[own])) + 1
-        rows, cols, tf = [], [], []
-        for r, p in enumerate(pieces):
-            i, a, b = bench.pieces[p]
-            at, term = self.look.of(bench.words[i][a:b])
-            t, c = np.unique(term, return_counts=True)
-            rows.append(np.full(len(t), r))
-            cols.append(t)
-            tf.append(c)
-        self.rows = self.weights(np.concatenate(rows), np.concatenate(cols), np.concatenate(tf))
-        self.rank = min(len(own), len(pieces) + EXTRA)
-        self.random = np.random.default_rng(3).normal(size=(len(own), self.rank)).astype(np.float32)
+    """TF-IDF weights of the vocabulary and, after fitting, the latent vectors of terms and pieces.
+
+    A passage's row is the sum of its two blocks' rows, so blocks are projected
+    once and added; cosines do not depend on the rows' lengths.
+    """
+
+    def __init__(self, bench: Bench, frequency: np.ndarray, blocks: int):
+        # The root of the idf: a paraphrase may lack the rare words, which would else outweigh all others together.
+        self.idf = np.sqrt(np.log((1 + blocks) / (1 + frequency)) + 0.1).astype(np.float32)
+        self.row, self.term = np.repeat(np.arange(len(bench.pieces)), bench.length), np.concatenate([bench.piece(p) for p in range(len(bench.pieces))])
+        # Of a piece's words, those but the ``skip`` most frequent in the corpus; a match has ``need`` of them.
+        need = np.ceil(PARTLY * bench.length).astype(np.int64)
+        skip = need // 2
+        order = np.lexsort((self.term, frequency[self.term], self.row))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(bench.length) - bench.length, bench.length)
+        order = order[rank < np.repeat(bench.length - skip, bench.length)]
+        self.rare, self.need = (self.row[order], self.term[order]), (need - skip).astype(np.uint8)
+        self.rank = min(len(self.idf), RANK)
+        self.random = np.random.default_rng(3).normal(size=(len(self.idf), self.rank)).astype(np.float32)
         self.vectors = self.latent = None
 
-    def weights(self, row, term, tf):
-        """(row, term, TF-IDF of unit row length)"""
-        v = (1 + np.log(tf)) * self.idf[term]
-        n = int(row.max()) + 1 if len(row) else 0
-        return row, term, v / np.sqrt(np.bincount(row, v * v, n))[row] if n else v
-
-    def passages(self, w: _text.Words):
-        """(passage, term, weight) of passages that hold two terms or more, and (text, first block) of each passage."""
-        n, first = _blocks(w)
-        at, term = self.look.of(w.hash)
-        doc = w.doc[at]
-        block = (at - w.first[doc]) // BLOCK
-        starts = block <= np.maximum(n[doc] - 2, 0)
-        ends = block >= 1
-        key = np.concatenate([(first[doc] + block)[starts], (first[doc] + block - 1)[ends]]) * len(self.idf) + np.concatenate([term[starts], term[ends]])
-        key, tf = np.unique(key, return_counts=True)
-        passage, term = key // len(self.idf), key % len(self.idf)
-        own, number, size = np.unique(passage, return_inverse=True, return_counts=True)
-        keep = size[number] >= min(2, len(self.idf))
-        used, number = np.unique(passage[keep], return_inverse=True)
-        doc = np.searchsorted(first, used, "right") - 1
-        return self.weights(number, term[keep], tf[keep]), doc, used - first[doc]
-
-    def project(self, rows, matrix) -> np.ndarray:
-        row, term, v = rows
-        begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        return np.add.reduceat(matrix[term] * v[:, None].astype(np.float32), begin, axis=0)
+    def blocks(self, h: Hits, matrix) -> tuple[np.ndarray, np.ndarray]:
+        """(projected rows of all blocks, whether a block has one after it in its text)"""
+        more = np.ones(int(h.blocks.sum()), bool)
+        more[np.cumsum(h.blocks) - 1] = False
+        return summed(h.block[h.doc] + h.place // BLOCK, h.term, len(more), matrix), more
 
     def fit(self, product: np.ndarray, passages: int) -> None:
-        """Singular vectors from A'(A W), to which the pieces' own rows are added with a weight that keeps each of them in the space."""
-        row, term, v = self.rows
-        p = self.project(self.rows, self.random)
-        weight = max(1.0, 0.01 * passages)
-        np.add.at(product, term, weight * v[:, None] * p[row])
+        """Singular vectors from A'(A W), to which the pieces' own rows are added with a weight that keeps them in the space."""
+        n, weighted = int(self.row[-1]) + 1, self.random * self.idf[:, None]
+        np.add.at(product, self.term, max(1.0, WEIGHT * passages / n) * summed(self.row, self.term, n, weighted)[self.row])
+        product *= self.idf[:, None]
         shift = 1e-6 * np.linalg.norm(product) + 1e-12
         y = product + shift * self.random
         core = self.random.T.astype(np.float64) @ y
         vals, vecs = np.linalg.eigh((core + core.T) / 2)
         good = vals > vals.max() * 1e-10
         u, _, _ = np.linalg.svd(y @ (vecs[:, good] / np.sqrt(vals[good])), full_matrices=False)
-        self.vectors = u.astype(np.float32)
-        q = self.project(self.rows, self.vectors)
-        self.latent = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+        self.vectors = (u * self.idf[:, None]).astype(np.float32)
+        self.latent = unit(summed(self.row, self.term, n, self.vectors))
+
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-def _sketch(spaces):
-    """Rows of A'(A W) of each space, summed over a task; term -1 counts passages."""
+
+def _sketch(shared):
+    """Rows of A'(A W) but for the weight of their term, summed over a task; term -1 counts passages."""
 
     def run(batches):
-        held = [np.zeros_like(s.random) for s in spaces.value]
-        seen = [0] * len(held)
-        for b in batches:
-            for part in _text.slices(b, most=1 << 22):
-                w = tokens(part.column("text"))
-                for g, s in enumerate(spaces.value):
-                    rows, doc, _ = s.passages(w)
-                    if not len(doc):
-                        continue
-                    seen[g] += len(doc)
-                    p = s.project(rows, s.random)
-                    row, term, v = rows
-                    order = np.argsort(term, kind="stable")
-                    begin = np.flatnonzero(np.concatenate([[True], term[order][1:] != term[order][:-1]]))
-                    held[g][term[order][begin]] += np.add.reduceat(p[row[order]] * v[order, None].astype(np.float32), begin, axis=0)
-        for g, m in enumerate(held):
-            used = np.flatnonzero(m.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used) + 1, g), pa.int32()), pa.array(np.append(used, -1)), pa.array([m[t].tobytes() for t in used] + [np.int64(seen[g]).tobytes()], pa.binary())], ["space", "term", "sums"])
+        s = shared.value
+        held, seen = np.zeros((len(s.idf), s.rank), np.float64), 0
+        weighted = s.random * s.idf[:, None]
+        for h, _ in Hits.of(batches):
+            p, more = s.blocks(h, weighted)
+            # A block's row meets the passages that it is in: its own and the one before. A text of one block is a passage.
+            own = p.copy()
+            two = np.flatnonzero(more)
+            own[two] += p[two + 1]
+            own[two + 1] += p[two] + np.where(more[two + 1, None], p[two + 1], 0)
+            seen += len(two) + int((h.blocks == 1).sum())
+            order = np.argsort(h.term, kind="stable")
+            used, number = np.unique(h.term[order], return_inverse=True)
+            held[used] += summed(number, (h.block[h.doc] + h.place // BLOCK)[order], len(used), own)
+        used = np.flatnonzero(held.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array([held[t].astype(np.float32).tobytes() for t in used] + [np.int64(seen).tobytes()], pa.binary())], ["term", "sums"])
 
     return run
 
 
 def _add(batches):
-    """Sums by (space, term) of sorted rows."""
-    key, total = None, None
-    out: list[tuple] = []
-
-    def row():
-        return [pa.RecordBatch.from_arrays([pa.array([o[0][0] for o in out], pa.int32()), pa.array([o[0][1] for o in out]), pa.array([o[1].tobytes() for o in out], pa.binary())], ["space", "term", "sums"])]
-
+    """Sums by term of sorted rows."""
+    key, total, out = None, None, []
     for b in batches:
-        for g, t, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for t, s in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True):
             own = np.frombuffer(s, np.int64 if t < 0 else np.float32).astype(np.int64 if t < 0 else np.float64)
-            if (g, t) == key:
+            if t == key:
                 total = total + own
                 continue
             if key is not None:
-                out.append((key, total))
-            key, total = (g, t), own
+                out.append((key, total.tobytes()))
+            key, total = t, own
     if key is not None:
-        out.append((key, total))
-        yield from row()
+        out.append((key, total.tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], ["term", "sums"])
 
 
 @lru_cache(1 << 14)
 def _masks(piece: bytes) -> dict[int, int]:
     """Positions of each word of a piece, as bits."""
     masks: dict[int, int] = {}
-    for i, h in enumerate(np.frombuffer(piece, U).tolist()):
-        masks[h] = masks.get(h, 0) | 1 << i
+    for i, t in enumerate(np.frombuffer(piece, np.int32).tolist()):
+        masks[t] = masks.get(t, 0) | 1 << i
     return masks
 
 
 def common(piece: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence, in bit-parallel form."""
-    masks = _masks(piece.tobytes())
+    """Length of the longest common subsequence of two runs of terms, in bit-parallel form."""
+    masks = _masks(piece.astype(np.int32).tobytes())
     full, v = (1 << len(piece)) - 1, (1 << len(piece)) - 1
-    for h in text.tolist():
-        m = masks.get(h)
+    for t in text.tolist():
+        m = masks.get(t)
         if m:
             u = v & m
             v = (v + u) | (v - u)
@@ -332,6 +289,39 @@ def common(piece: np.ndarray, text: np.ndarray) -> int:
     return len(piece) - v.bit_count()
 
 
+def matched(bench: Bench, h: Hits, doc: np.ndarray, block: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """``common`` of each piece and the text around its window, for all candidates at once; pieces by groups of ``GROUP``."""
+    out = np.zeros(len(doc), np.int64)
+    order = np.argsort(piece, kind="stable")
+    cuts = np.searchsorted(piece[order], np.arange(0, len(bench.pieces) + GROUP, GROUP))
+    for g in np.flatnonzero(np.diff(cuts)):
+        low = g * GROUP
+        own = range(low, min(low + GROUP, len(bench.pieces)))
+        words = np.concatenate([bench.piece(p) for p in own])
+        local = np.zeros(len(bench.terms) + 1, np.int32)  # the last stands for -1, no term
+        some = np.unique(words)
+        local[some] = np.arange(1, len(some) + 1)
+        size = bench.length[low : low + len(own)]
+        rank = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
+        bits = np.zeros((len(own), len(some) + 1), U)
+        np.bitwise_or.at(bits, (np.repeat(np.arange(len(own)), size), local[words]), U(1) << rank.astype(U))
+        dense = local[h.dense]
+        mine = order[cuts[g] : cuts[g + 1]]
+        for lo in range(0, len(mine), STEP):
+            at = mine[lo : lo + STEP]
+            p, start, end = piece[at] - low, h.first[doc[at]], h.first[doc[at] + 1]
+            begin = start + block[at] * BLOCK - MARGIN
+            full = (U(1) << size[p].astype(U)) - U(1)
+            v = full.copy()
+            x = begin + np.arange(2 * BLOCK + 2 * MARGIN)[:, None]
+            near = np.where((x >= start) & (x < end), dense[np.clip(x, 0, len(dense) - 1)], 0)
+            for t in near:
+                u = v & bits[p, t]
+                v = ((v + u) | (v - u)) & full
+            out[at] = size[p] - np.bitwise_count(v)
+    return out
+
+
 def closest(piece: np.ndarray, text: np.ndarray) -> tuple[int, np.ndarray]:
     """The longest common subsequence within ``SPREAD`` times the piece's length of text, and that text.
 
@@ -350,114 +340,136 @@ def closest(piece: np.ndarray, text: np.ndarray) -> tuple[int, np.ndarray]:
 _FOUND = "doc_id long, item int, piece int, matched int, answer int, cosine double"
 
 
-def _search(shared):
-    """Best match of each (document, piece) that the cosine search or the overlap brings up."""
+def candidates(bench: Bench, space: Space, h: Hits):
+    """(text, first block, piece, cosine) of all passages and pieces that the latent space holds alike, if the passage has words enough of the piece."""
+    p, more = space.blocks(h, space.vectors)
+    two = np.flatnonzero(more)
+    p[two] += p[two + 1]
+    first = np.sort(np.concatenate([two, h.block[h.blocks == 1]]))  # blocks that passages start with
+    own, doc = unit(p[first]), np.searchsorted(h.block, first, "right") - 1
+    # Words of each piece in each half block: a match lies in four halves, of the six that the check of a passage looks at.
+    half = 2 * h.block[h.doc] + h.place // (BLOCK // 2)
+    out = [(doc[:0], doc[:0], doc[:0], np.zeros(0, np.float32))]
+    for low in range(0, len(space.latent), GROUP):
+        latent, need = space.latent[low : low + GROUP], space.need[low : low + GROUP]
+        member = np.zeros((len(space.idf), len(latent)), np.uint8)
+        row, term = space.rare
+        mine = (row >= low) & (row < low + GROUP)
+        member[term[mine], row[mine] - low] = 1
+        some = np.flatnonzero(member.any(1)[h.term])
+        which, at = half[some], h.term[some]
+        has = np.zeros((2 * len(more) + 5, len(latent)), np.uint8)
+        has[1 : 2 * len(more) + 1] = summed(which, at, 2 * len(more), member)
+        for lo in range(0, len(first), STEP):
+            f = first[lo : lo + STEP]
+            run = has[2 * f] + has[2 * f + 1] + has[2 * f + 2] + has[2 * f + 3]
+            around = run.copy()
+            for j in range(2):
+                run += has[2 * f + 4 + j] - has[2 * f + j]
+                np.maximum(around, run, out=around)
+            cosine = own[lo : lo + STEP] @ latent.T
+            r, c = np.nonzero((cosine >= COSINE) & (around >= need))
+            out.append((doc[lo + r], f[r] - h.block[doc[lo + r]], c + low, cosine[r, c]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def matches(bench: Bench, space: Space, h: Hits) -> dict[tuple[int, int], tuple[int, int, float]]:
+    """(words, words of the answer, cosine) of the best match of each (text, piece)."""
+    best: dict[tuple, tuple] = {}
+    leaky = set()  # (text, item) with a piece matched by PARTLY
+
+    def check(d: int, block: int, p: int, cosine: float) -> None:
+        i, a, e = bench.pieces[p]
+        base = int(h.first[d])
+        text = h.dense[max(base, base + block * BLOCK - MARGIN) : min(int(h.first[d + 1]), base + (block + 2) * BLOCK + MARGIN)]
+        n, text = closest(bench.words[i][a:e], text)
+        if 3 * n < e - a:
+            return
+        answer = common(bench.words[i][max(a, bench.answers[i]) : e], text) if e > bench.answers[i] else 0
+        old = best.get((d, p), (0, 0, 0.0))
+        best[d, p] = (max(n, old[0]), max(answer, old[1]), max(cosine, old[2]))
+        if n >= PARTLY * (e - a):
+            leaky.add((d, i))
+
+    def likely(d, block, p, cosine, share: float) -> None:
+        """Check candidates that have ``share`` of the piece's words in order, while they can be better than what was found."""
+        bound = matched(bench, h, d, block, p)
+        ok = np.flatnonzero(bound >= share * bench.length[p] - 1e-9)
+        for x in ok[np.lexsort((-bound[ok], p[ok], d[ok]))].tolist():
+            if bound[x] >= best.get((int(d[x]), int(p[x])), (0,))[0]:
+                check(int(d[x]), int(block[x]), int(p[x]), float(cosine[x]))
+
+    likely(*candidates(bench, space, h), PARTLY)
+    todo = [(np.zeros(0, np.int64),) * 3]
+    for t, i in sorted(leaky):  # the other pieces of items found
+        if len(bench.own[i]) > 1:
+            k, own = np.arange(max(1, h.blocks[t] - 1)), np.array(bench.own[i])
+            todo.append((np.full(len(k) * len(own), t), np.tile(k, len(own)), np.repeat(own, len(k))))
+    d, block, p = (np.concatenate(x) for x in zip(*todo, strict=True))
+    likely(d, block, p, np.zeros(len(d)), 1 / 3)
+    return best
 
+
+def _search(shared):
     def run(batches):
-        bench, spaces = shared.value
-        for b in batches:
-            for part in _text.slices(b, most=1 << 22):
-                w = tokens(part.column("text"))
-                best: dict[tuple, tuple] = {}
-                leaky, done = set(), set()  # (text, item) with a piece matched by PARTLY; (text, block, piece) checked
-                count, first = _blocks(w)
-                latent = []
-
-                def check(d: int, block: int, p: int, cosine: float) -> None:
-                    if (d, block, p) in done:
-                        return
-                    done.add((d, block, p))
-                    i, a, e = bench.pieces[p]
-                    base = int(w.first[d])
-                    x = max(base, base + block * BLOCK - MARGIN)
-                    text = w.hash[x : min(int(w.first[d + 1]), base + (block + 2) * BLOCK + MARGIN)]
-                    own = bench.words[i]
-                    n, text = closest(own[a:e], text)
-                    if 3 * n < e - a:
-                        return
-                    answer = common(own[max(a, bench.answers[i]) : e], text) if e > bench.answers[i] else 0
-                    old = best.get((d, p), (0, 0, 0.0))
-                    best[d, p] = (max(n, old[0]), max(answer, old[1]), max(cosine, old[2]))
-                    if n >= PARTLY * (e - a):
-                        leaky.add((d, i))
-
-                def likely(s: Space, place, d, k, c, share: float) -> None:
-                    """Check windows and pieces whose words in common are ``share`` of the piece or more."""
-                    ok = s.overlap.matched(w, d, k, c) >= share * s.overlap.length[c] - 1e-9
-                    known, q = place
-                    for t, block, piece in zip(d[ok].tolist(), k[ok].tolist(), c[ok].tolist(), strict=True):
-                        at = int(np.searchsorted(known, first[t] + block))
-                        # A passage without two terms of the vocabulary has no place in the latent space.
-                        cosine = float(q[at] @ s.latent[piece]) if at < len(known) and known[at] == first[t] + block else 0.0
-                        check(t, block, s.pieces[piece], cosine)
-
-                for s in spaces:
-                    rows, doc, block = s.passages(w)
-                    q = s.project(rows, s.vectors) if len(doc) else np.zeros((0, s.vectors.shape[1]), np.float32)
-                    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-                    d, k, c, close = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-                    for lo in range(0, len(q), 4096):
-                        cos = q[lo : lo + 4096] @ s.latent.T
-                        r, own = np.nonzero(cos >= COSINE)
-                        d.append(doc[lo + r])
-                        k.append(block[lo + r])
-                        c.append(own)
-                        close.append(cos[r, own])
-                    d, k, c, close = map(np.concatenate, (d, k, c, close))
-                    n = s.overlap.matched(w, d, k, c)
-                    for x in np.flatnonzero(3 * n >= s.overlap.length[c]).tolist():
-                        check(int(d[x]), int(k[x]), s.pieces[c[x]], float(close[x]))
-                    latent.append((first[doc] + block, q))
-                    d, k, c = s.overlap.pairs(w)
-                    likely(s, latent[-1], d, k, c, PARTLY)
-                found = [(t, i) for t, i in sorted(leaky) if len(bench.own[i]) > 1]
-                for s, place in zip(spaces, latent, strict=True):  # the other pieces of items found
-                    number = {p: c for c, p in enumerate(s.pieces)}
-                    todo = [(np.zeros(0, np.int64),) * 3]
-                    for t, i in found:
-                        c = np.array([number[p] for p in bench.own[i] if p in number], np.int64)
-                        k = np.arange(max(1, count[t] - 1))
-                        todo.append((np.full(len(k) * len(c), t), np.tile(k, len(c)), np.repeat(c, len(k))))
-                    likely(s, place, *map(np.concatenate, zip(*todo, strict=True)), 1 / 3)
-                ids = part.column("doc_id")
-                keys = list(best)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array([k[0] for k in keys], pa.int64())), pa.array([bench.pieces[k[1]][0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([best[k][j] for k in keys], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.float64())))], [f.split()[0] for f in _FOUND.split(", ")])
+        bench, space = shared.value
+        for h, part in Hits.of(batches):
+            best = matches(bench, space, h)
+            keys = list(best)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array([k[0] for k in keys], pa.int64())), pa.array([bench.pieces[k[1]][0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([best[k][j] for k in keys], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.float64())))], [f.split()[0] for f in _FOUND.split(", ")])
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, coverage, answer_found, cosine of every leak."""
+def _parts(benchmark: DataFrame) -> Iterator[Bench]:
+    """Items in parts of at most ``PART`` pieces (of one item, if it has more)."""
+    rows, held = [], 0
+    for r in benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator():
+        n = 1 + len(r[1].split()) // BLOCK
+        if rows and held + n > PART:
+            yield Bench(rows)
+            rows, held = [], 0
+        rows.append((r[0], r[1]))
+        held += n
+    if rows:
+        yield Bench(rows)
+
+
+def _leaks(docs: DataFrame, bench: Bench) -> DataFrame:
+    """``leaks`` of one part of the benchmark."""
     spark = docs.sparkSession
-    result = "doc_id long, item_id long, coverage double, answer_found boolean, cosine double"
-    bench = Bench([(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator()])
-    if not bench.pieces:
-        return spark.createDataFrame([], result)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    look = spark.sparkContext.broadcast(Lookup(bench.terms))
-    counted = dict(docs.mapInArrow(_frequency(look), "term long, n long").groupBy("term").agg(F.sum("n")).collect())  # a row per benchmark term
+    spots = _shared.materialize(_shared.map_arrow(docs, _spots(spark.sparkContext.broadcast(Lookup(bench.terms))), _SPOTS), "spots")
+    counted = {r[0]: r[1] for r in spots.where("hit is not null").groupBy("hit").agg(F.sum("blocks")).collect()}  # a row per benchmark term
     frequency = np.array([counted.get(t, 0) for t in range(len(bench.terms))])
-    groups = [list(range(a, min(a + GROUP, len(bench.pieces)))) for a in range(0, len(bench.pieces), GROUP)]
-    spaces = [Space(bench, g, frequency, counted.get(-1) or 0) for g in groups]
-    sums = docs.mapInArrow(_sketch(spark.sparkContext.broadcast(spaces)), "space int, term long, sums binary")
-    added = sums.repartition("space", "term").sortWithinPartitions("space", "term").mapInArrow(_add, "space int, term long, sums binary")
-    products, passages = [np.zeros(s.random.shape) for s in spaces], [0] * len(spaces)
-    for r in added.toLocalIterator():  # a row per term of a vocabulary
+    space = Space(bench, frequency, counted.get(-1) or 0)
+    spots = spots.where("hit is null").select("doc_id", "n", "place", "term")
+    sums = _shared.map_arrow(spots, _sketch(spark.sparkContext.broadcast(space)), "term long, sums binary")
+    added = _shared.map_arrow(sums.repartition("term").sortWithinPartitions("term"), _add, "term long, sums binary")
+    product, passages = np.zeros(space.random.shape), 0
+    for r in added.toLocalIterator():  # a row per term
         if r.term < 0:
-            passages[r.space] = int(np.frombuffer(r.sums, np.int64)[0])
+            passages = int(np.frombuffer(r.sums, np.int64)[0])
         else:
-            products[r.space][r.term] = np.frombuffer(r.sums, np.float64)
-    for s, m, n in zip(spaces, products, passages, strict=True):
-        s.fit(m, n)
-        s.random = None
-    found = docs.mapInArrow(_search(spark.sparkContext.broadcast((bench, spaces))), _FOUND)
+            product[r.term] = np.frombuffer(r.sums, np.float64)
+    space.fit(product, passages)
+    space.random = None
+    found = _shared.map_arrow(spots, _search(spark.sparkContext.broadcast((bench, space))), _FOUND)
     items = spark.createDataFrame([(i, bench.ids[i], len(w), len(w) - a) for i, (w, a) in enumerate(zip(bench.words, bench.answers, strict=True))], "item int, item_id long, words int, answer_words int")
     best = found.groupBy("doc_id", "item", "piece").agg(F.max("matched").alias("matched"), F.max("answer").alias("answer"), F.max("cosine").alias("cosine"))
-    whole = best.groupBy("doc_id", "item").agg(F.sum("matched").alias("matched"), F.sum("answer").alias("answer"), F.max("cosine").alias("cosine")).join(items, "item")
+    whole = best.groupBy("doc_id", "item").agg(F.sum("matched").alias("matched"), F.sum("answer").alias("answer"), F.max("cosine").alias("cosine")).join(F.broadcast(items), "item")
     scored = whole.select("doc_id", "item_id", (F.col("matched") / F.col("words")).alias("coverage"), (F.col("answer") >= ANSWER * F.col("answer_words")).alias("answer_found"), "cosine")
     return scored.where((F.col("coverage") >= COVER) | ((F.col("coverage") >= PARTLY) & F.col("answer_found")))
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, coverage, answer_found, cosine of every leak."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = [_leaks(docs, bench) for bench in _parts(benchmark) if bench.pieces]
+    if not parts:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, coverage double, answer_found boolean, cosine double")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak, with their columns; a row of null id is judged as a document of its own."""
     row = "leak_row"
