@@ -12,25 +12,33 @@ main elements are a hint: on a page with text in them, text elsewhere is out, an
 text in them is judged by its slot. A block whose own tokens repeat on a page, as
 paragraphs do, counts for the slot around them.
 
-Vectors are compared by a hash that is summed over pages, so a host of any size
-is counted map-side and costs one row per token.
+Vectors are compared by two sums over pages of a mixed hash of the page and the
+token's count on it, so a host of any size is counted map-side and costs one row
+per token. Pages find their host's slots by a broadcast where all slots are below
+``SMALL`` bytes, which moves no page; else pages and slots are dealt by host, and
+those of large hosts by salted hosts, and a worker reads a host's slots before its
+pages.
 
 Defined cases: a null or empty page has no text; markup that is not closed ends
 with the page; a null or unparsable url is the host ""; repeated rows are pages
-of their own; extra columns are dropped; an empty table gives an empty result.
+of their own, each counted; a null id is kept as null; extra columns are dropped;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _shared
+
+SMALL, LARGE, MOST_LARGE = 16 << 20, 20_000, 10_000  # bytes of slots; pages of a large host; large hosts
+
 # Element names of the HTML standard, and words that name what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math textarea select option iframe object canvas audio video title button datalist".split())
@@ -138,14 +146,25 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
 
 def _hash(*x) -> int:
     s = "\0".join(map(str, x)).encode("utf-8", "surrogatepass")
-    return (zlib.crc32(s) << 32 | zlib.crc32(s[::-1] + b"#")) - (1 << 63)
+    return int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)
+
+
+def _mixed(page: int, count: int) -> int:
+    """64 bits of a page and a count on it."""
+    x = (page ^ count * 0x9E3779B97F4A7C15) & _ALL
+    x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & _ALL
+    x = (x ^ x >> 29) * 0xA0761D6478BD642F & _ALL
+    return x ^ x >> 32
+
+
+_ALL = (1 << 64) - 1
 
 
 def host(url):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-_TOKENS = "host string, path string, vector long, one boolean, chars long, linked long, low long, high long, inside boolean"
+_TOKENS = "host string, path string, pages long, high_sum long, low_sum long, one boolean, chars long, linked long, low long, high long, inside boolean"
 
 
 def candidates(blocks: list[Block]) -> list[tuple[Block, str]]:
@@ -166,7 +185,7 @@ def _tokens(batches):
     """Rows of structure tokens, summed over a batch. A block counts for the innermost token around it that is once on its page."""
     for b in batches:
         found: dict[tuple, list] = {}
-        for page, url, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for page, url, text in zip(*(b.column(c).to_pylist() for c in ("key", "host", "html")), strict=True):
             paths, blocks = parse(text or "")
             if not paths and not blocks:
                 continue
@@ -179,18 +198,19 @@ def _tokens(batches):
                 texts.setdefault(innermost(k.path, once), []).append((k, t))
             for p, c in counts.items():
                 own = texts.get(p, [])
-                yield_row = found.setdefault((url, p), [0, 0, True, 0, 0, (1 << 63) - 1, -(1 << 63), False])
-                print_ = _hash(*(t for _, t in own))
-                yield_row[0] += 1
-                yield_row[1] ^= _hash(page, c)
-                yield_row[2] &= c == 1
-                yield_row[3] += sum(len(t) for _, t in own)
-                yield_row[4] += sum(k.linked for k, _ in own)
-                yield_row[5], yield_row[6] = min(yield_row[5], print_), max(yield_row[6], print_)
-                yield_row[7] |= any(k.inside for k, _ in own)
+                row = found.setdefault((url, p), [0, 0, 0, True, 0, 0, (1 << 63) - 1, -(1 << 63), False])
+                print_, here = _hash(*(t for _, t in own)), _mixed(page, c)
+                row[0] += 1
+                row[1] += here >> 32
+                row[2] += here & 0xFFFFFFFF
+                row[3] &= c == 1
+                row[4] += sum(len(t) for _, t in own)
+                row[5] += sum(k.linked for k, _ in own)
+                row[6], row[7] = min(row[6], print_), max(row[7], print_)
+                row[8] |= any(k.inside for k, _ in own)
         rows = [(u, p, *v) for (u, p), v in found.items()]
-        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["host", "path", "pages", *[f.split()[0] for f in _TOKENS.split(", ")][2:]])
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [f.split()[0] for f in _TOKENS.split(", ")])
 
 
 def slots_of(tokens: list[dict]) -> dict[str, bool]:
@@ -227,14 +247,13 @@ def _slots(batches):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, and ``slots``: its template tokens as (path, whether text in that slot is left out)."""
-    rows = pages.mapInArrow(_tokens, _TOKENS.replace("vector", "pages long, vector", 1))
-    token = rows.groupBy("host", "path").agg(
-        F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.bool_and("one").alias("one"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
-        F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("inside").alias("inside"),
+    """host, and ``slots``: its template tokens as (path, whether text in that slot is left out). ``pages``: key, host, html."""
+    token = _shared.map_arrow(pages, _tokens, _TOKENS).groupBy("host", "path").agg(
+        F.sum("pages").alias("pages"), F.sum("high_sum").alias("high_sum"), F.sum("low_sum").alias("low_sum"), F.bool_and("one").alias("one"), F.sum("chars").alias("chars"),
+        F.sum("linked").alias("linked"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("inside").alias("inside"),
     )
     # Classes: tokens of a host of one vector. Valid: once a page, on at least half of the pages (those of the host's most frequent class).
-    classes = token.groupBy("host", "vector").agg(
+    classes = token.groupBy("host", "high_sum", "low_sum").agg(
         F.max("pages").alias("support"), F.bool_and("one").alias("once"),
         F.collect_list(F.struct("path", "chars", "linked", "low", "high", "pages", "inside")).alias("tokens"),
     )
@@ -243,7 +262,7 @@ def templates(pages: DataFrame) -> DataFrame:
     tokens = F.flatten(F.transform("classes", lambda c: F.transform(c["tokens"], lambda t: t.withField("valid", valid(c)))))
     # A token that is neither valid nor has text decides nothing.
     tokens = F.filter(tokens, lambda t: t["valid"] | (t["chars"] > 0))
-    return host_.select("host", tokens.alias("tokens")).mapInArrow(_slots, _SLOTS)
+    return _shared.map_arrow(host_.select("host", tokens.alias("tokens")), _slots, _SLOTS)
 
 
 def article(page: str, slots: dict[str, bool]) -> str:
@@ -252,21 +271,58 @@ def article(page: str, slots: dict[str, bool]) -> str:
     return " ".join(out)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    found = templates(own.select("page_id", "host", "html"))
+_RESULT = "page_id long, url string, text string, n_chars long"
+
 
+def _result(page, url, out: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([page, url, pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], [f.split()[0] for f in _RESULT.split(", ")])
+
+
+def _by_broadcast(slots):
     def run(batches):
         for b in batches:
-            out, last, kept = [], None, None
-            for text, slots, h in zip(*(b.column(c).to_pylist() if c != "slots" else b.column(c) for c in ("html", "slots", "host")), strict=True):
-                if h != last or kept is None:
-                    last, kept = h, {s["path"]: s["out"] for s in slots.as_py() or ()}
-                out.append(article(text, kept))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array(np.array([len(t) for t in out], np.int64))], ["page_id", "url", "text", "n_chars"])
-
-    return own.join(found, "host", "left").select("page_id", "url", "host", "html", "slots").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            out = [article(text, slots.value.get(h, {})) for text, h in zip(b.column("html").to_pylist(), b.column("host").to_pylist(), strict=True)]
+            yield _result(b.column("page_id"), b.column("url"), out)
+
+    return run
+
+
+def _by_host(batches):
+    """Rows sorted by host, salt and kind: a host's slots (kind 0) before its pages."""
+    now, slots = None, {}
+    for b in batches:
+        out, rows = [], []
+        for i, (key, kind, text) in enumerate(zip(zip(b.column("host").to_pylist(), b.column("salt").to_pylist(), strict=True), b.column("kind").to_pylist(), b.column("html").to_pylist(), strict=True)):
+            if key != now:
+                now, slots = key, {}
+            if kind == 0:
+                slots |= {s["path"]: s["out"] for s in b.column("slots")[i].as_py() or ()}
+            else:
+                rows.append(i)
+                out.append(article(text, slots))
+        at = pa.array(rows, pa.int64())
+        yield _result(b.column("page_id").take(at), b.column("url").take(at), out)
+
+
+def extract(pages: DataFrame, small: int = SMALL, large: int = LARGE) -> DataFrame:
+    """page_id, url, text, n_chars for every row."""
+    spark = pages.sparkSession
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    found = _shared.materialize(templates(own.select(F.xxhash64("page_id", "url", "html").alias("key"), "host", "html")), "slots")
+    size = found.agg(F.sum(F.octet_length("host") + F.aggregate("slots", F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s["path"]) + 8))).first()[0] or 0
+    if size <= small:
+        slots = spark.sparkContext.broadcast({r["host"]: {s["path"]: s["out"] for s in r["slots"] or ()} for r in found.toLocalIterator()})
+        return _shared.map_arrow(own, _by_broadcast(slots), _RESULT)
+    # Hosts with more than their share of pages, MOST_LARGE at most, are dealt in salted parts.
+    counts = own.groupBy("host").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    share = max(large, -(-total // MOST_LARGE))
+    parts = counts.where(F.col("n") > share).select("host", F.ceil(F.col("n") / share).cast("int").alias("parts"))
+    salted = lambda df, salt: df.join(F.broadcast(parts), "host", "left").withColumn("salt", salt(F.coalesce("parts", F.lit(1)))).drop("parts")
+    rows = salted(own, lambda n: F.pmod(F.xxhash64("page_id", "url"), n).cast("int")).withColumn("kind", F.lit(1))
+    heads = salted(found, lambda n: F.explode(F.sequence(F.lit(0), n - 1))).withColumn("kind", F.lit(0))
+    both = rows.unionByName(heads, allowMissingColumns=True).select("host", "salt", "kind", "page_id", "url", "html", "slots")
+    return _shared.map_arrow(both.repartition("host", "salt").sortWithinPartitions("host", "salt", "kind"), _by_host, _RESULT)
 
 
 def op9_html_text(spark, sf_dir: str) -> DataFrame:
