@@ -2,12 +2,19 @@
 
 Each stage reads the documents that the one before it has written and keeps; its
 decisions take effect. All stages but the last return the columns of documents.
+
+Defined cases, in every stage: a null text is an empty one (the quality rules
+reject it); an empty table gives an empty one; extra columns, whatever their
+names, are kept as they are up to packing, which drops them; repeated rows are
+judged alike and all stay or all go. Rows of one id with different texts: the
+quality rules and the repeated passages judge each by its own text; near
+duplicates and decontamination take them as one document. A row of null id is a
+document of its own: nothing is its near duplicate, it neither gives nor loses
+repeated passages, and it goes if it leaks.
 """
 
 from __future__ import annotations
 
-import codecs
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +23,27 @@ from cartolex.llm.decontam import clean
 from cartolex.llm.jaccard import similarity_components
 from cartolex.llm.packing import pack
 from cartolex.llm.quality import apply_policy, ledger
-from cartolex.llm.suffixdedup import remove_repeats
+from cartolex.llm.suffixdedup import remove_repeats, row_key
 
 
 def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def _fresh(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality policy rejects go."""
-    book = _shared.materialize(ledger(docs), "ledger")  # stored first: a filter would repeat the rules' expressions
-    kept = apply_policy(book).where("kept").select("doc_id").distinct()
-    # Null ids cannot be joined; their rows are judged by their text, as the others are.
-    return _like(docs, docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi"))
+    """Rows that the quality policy rejects go, each judged by its own text."""
+    key, own = _fresh("row", docs), _fresh("own", docs)
+    keyed = docs.withColumn(key, row_key())
+    book = _shared.materialize(ledger(keyed, id_col=key), "ledger")  # stored first: a filter would repeat the rules' expressions
+    kept = apply_policy(book).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return _like(docs, keyed.join(kept, F.col(key) == F.col(own), "left_semi"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,21 +55,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that repeat 50 bytes of a document of a smaller id are cut out of the text; a character cut in two goes whole."""
-    cut = remove_repeats(docs, with_text=True).where(F.col("n_removed") > 0)
-
-    def decode(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            text = [codecs.decode(x or b"", "utf-8", "ignore") for x in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(text, pa.string())], ["cut_id", "cut_text"])
-
-    cut = _shared.materialize(cut.select("doc_id", "kept").mapInArrow(decode, "cut_id long, cut_text string"), "cut")
-    joined = docs.join(cut, docs["doc_id"] == cut["cut_id"], "left")
-    text = F.when(F.col("cut_id").isNotNull(), F.col("cut_text")).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
+    cut = remove_repeats(docs, with_text=True).where("n_removed > 0").select("row", "kept")
+    cut = _shared.materialize(cut.dropDuplicates(["row"]), "cut")  # rows alike in id and text lose the same
+    key, new = _fresh("row", docs), _fresh("kept", docs)
+    cut = cut.select(F.col("row").alias(key), F.col("kept").alias(new))
+    joined = docs.withColumn(_fresh("own", docs), row_key()).join(cut, F.col(_fresh("own", docs)) == F.col(key), "left")
+    lost = F.col(key).isNotNull()
+    out = joined.withColumn("text", F.when(lost, F.col(new)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cut_id").isNotNull(), F.char_length("cut_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(lost, F.char_length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return _like(docs, out)
 
 
