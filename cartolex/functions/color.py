@@ -13,11 +13,14 @@ DDL = "struct<r:double,g:double,b:double,a:double>"
 
 # CSS names.
 NAMES = {
-    "transparent": "#00000000", "black": "#000000", "white": "#ffffff", "red": "#ff0000", "green": "#008000", "blue": "#0000ff", "yellow": "#ffff00",
-    "orange": "#ffa500", "purple": "#800080", "gray": "#808080", "grey": "#808080", "silver": "#c0c0c0", "maroon": "#800000", "olive": "#808000",
-    "lime": "#00ff00", "aqua": "#00ffff", "cyan": "#00ffff", "teal": "#008080", "navy": "#000080", "fuchsia": "#ff00ff", "magenta": "#ff00ff",
-    "pink": "#ffc0cb", "brown": "#a52a2a", "gold": "#ffd700", "indigo": "#4b0082", "violet": "#ee82ee", "tan": "#d2b48c", "coral": "#ff7f50",
-    "salmon": "#fa8072", "khaki": "#f0e68c", "crimson": "#dc143c", "beige": "#f5f5dc", "ivory": "#fffff0", "lavender": "#e6e6fa", "tomato": "#ff6347",
+    "transparent": "#00000000", "aliceblue": "#f0f8ff", "aqua": "#00ffff", "beige": "#f5f5dc", "black": "#000000", "blue": "#0000ff", "brown": "#a52a2a",
+    "coral": "#ff7f50", "crimson": "#dc143c", "cyan": "#00ffff", "darkblue": "#00008b", "darkgray": "#a9a9a9", "darkgreen": "#006400", "darkgrey": "#a9a9a9",
+    "darkred": "#8b0000", "dimgray": "#696969", "dimgrey": "#696969", "fuchsia": "#ff00ff", "gainsboro": "#dcdcdc", "gold": "#ffd700", "gray": "#808080",
+    "green": "#008000", "grey": "#808080", "hotpink": "#ff69b4", "indigo": "#4b0082", "ivory": "#fffff0", "khaki": "#f0e68c", "lavender": "#e6e6fa",
+    "lightblue": "#add8e6", "lightgray": "#d3d3d3", "lightgreen": "#90ee90", "lightgrey": "#d3d3d3", "lime": "#00ff00", "magenta": "#ff00ff", "maroon": "#800000",
+    "navy": "#000080", "olive": "#808000", "orange": "#ffa500", "orangered": "#ff4500", "pink": "#ffc0cb", "purple": "#800080", "red": "#ff0000",
+    "salmon": "#fa8072", "silver": "#c0c0c0", "skyblue": "#87ceeb", "slategray": "#708090", "steelblue": "#4682b4", "tan": "#d2b48c", "teal": "#008080",
+    "tomato": "#ff6347", "violet": "#ee82ee", "wheat": "#f5deb3", "white": "#ffffff", "whitesmoke": "#f5f5f5", "yellow": "#ffff00",
 }
 _FUNCTION = re.compile(r"^(rgb|hsl)a?\(\s*(.*?)\s*\)$")
 

@@ -8,9 +8,11 @@ is emitted.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import color as colors
+from . import geo
 
 NUMBER, STRING, BOOLEAN, NULL, COLOR, VALUE = "number", "string", "boolean", "null", "color", "value"
 
@@ -57,6 +60,7 @@ class Context:
     images: frozenset[str] = frozenset()
     bound: dict[str, Node] = field(default_factory=dict)
     inputs: dict[str, Column] = field(default_factory=dict)  # elevation, heatmap-density, line-progress
+    vertices: Column | None = None  # of the feature: array of struct lon, lat (all points of points, the run of a line)
 
 
 _OPS: dict[str, tuple[int, int | None, Callable]] = {}
@@ -155,6 +159,9 @@ def sql_type(t: Any) -> str:
 
 
 def unify(nodes: list[Node], what: str) -> Any:
+    """The type of all nodes; strings beside colours are read as colours."""
+    if {COLOR, STRING} <= {n.type for n in nodes if isinstance(n.type, str)}:
+        nodes[:] = [as_color(n) if n.type == STRING else n for n in nodes]
     kinds = [n.type for n in nodes if n.type != NULL]
     for k in kinds[1:]:
         if k != kinds[0] and not (isinstance(k, Array) and isinstance(kinds[0], Array)):
@@ -207,11 +214,17 @@ def _get(name, args, cx):
             c, kind = c.cast("string"), STRING
         return Node(c, None, kind, nullable=f.nullable)
     key = textual(compile_node(args[0], cx))
-    own = [f for f in cx.schema.fields if property_type(f.dataType) in (STRING, NUMBER, BOOLEAN)]
-    bag = F.create_map(*(y for f in own for y in (F.lit(f.name), to_text(_get("get", [f.name], cx)))))
+    if not cx.schema.names:
+        return Node(F.lit(False), key.err, BOOLEAN) if name == "has" else Node(F.lit(None), key.err, NULL, nullable=True)
     if name == "has":
-        return Node(truth(F.element_at(bag, key.value) != ""), key.err, BOOLEAN)
-    return Node(F.element_at(bag, key.value), key.err, STRING, nullable=True)
+        there = F.create_map(*(y for n in cx.schema.names for y in (F.lit(n), F.col(f"`{n}`").isNotNull())))
+        return Node(truth(F.try_element_at(there, key.value)), key.err, BOOLEAN)
+    # One type if all properties have it, text otherwise.
+    own = [(f.name, _get("get", [f.name], cx)) for f in cx.schema.fields if property_type(f.dataType) in (STRING, NUMBER, BOOLEAN)]
+    kinds = {n.type for _, n in own}
+    kind = kinds.pop() if len(kinds) == 1 else STRING
+    bag = F.create_map(*(y for n, v in own for y in (F.lit(n), v.value if v.type == kind else F.when(v.value.isNotNull(), to_text(v)))))
+    return Node(F.try_element_at(bag, key.value), key.err, kind, nullable=True)
 
 
 @op("id", 0)
@@ -269,6 +282,146 @@ def _image(_, args, cx):
     return Node(F.struct(n.value.alias("name"), there.alias("available")), n.err, "resolvedImage")
 
 
+_SECTION = {"font-scale": NUMBER, "text-font": Array(STRING), "text-color": COLOR, "vertical-align": STRING}
+_ALIGN = ("bottom", "center", "top")
+
+
+@op("format", 1, None)
+def _format(_, args, cx):
+    """Sections of text or image, each with its options; to-string joins their texts."""
+    sections, errs, at = [], [], 0
+    if isinstance(args[0], dict):
+        raise CompileError("format: content first")
+    while at < len(args):
+        n = compile_node(args[at], cx)
+        if isinstance(n.type, Array) or n.type == "object":
+            raise CompileError(f"format: {n.type}")
+        options = args[at + 1] if at + 1 < len(args) and isinstance(args[at + 1], dict) else None
+        at += 1 if options is None else 2
+        given = {}
+        for name, kind in _SECTION.items():
+            o = compile_node(options[name], cx) if options and name in options else literal(None)
+            if kind == COLOR and o.type == STRING:
+                o = as_color(o)
+            if o.type != NULL and not (isinstance(kind, Array) and isinstance(o.type, Array) and o.type.item == STRING) and o.type != kind:
+                raise CompileError(f"format: {name} is {o.type}")
+            if name == "vertical-align" and o.is_const and o.type == STRING and o.const not in _ALIGN:
+                raise CompileError(f"format: no alignment {o.const!r}")
+            given[name] = cast(o, kind)
+            errs.append(o.err)
+        image = n.type == "resolvedImage"
+        errs.append(n.err)
+        sections.append(F.struct(
+            (F.lit("") if image else to_text(n)).alias("text"), (n.value["name"] if image else F.lit(None).cast("string")).alias("image"), given["font-scale"].alias("scale"),
+            F.array_join(given["text-font"], ",").alias("fontStack"), given["text-color"].alias("textColor"), given["vertical-align"].alias("verticalAlign"),
+        ))
+    return Node(F.array(*sections), any_of(*errs), "formatted")
+
+
+@op("semiliteral", 1)
+def _semiliteral(_, args, cx):
+    """An array or object whose items are expressions."""
+    if isinstance(args[0], dict):
+        nodes = {k: _item(v, cx) for k, v in args[0].items()}
+        if all(n.is_const for n in nodes.values()):
+            return Node(None, None, "object", {k: n.const for k, n in nodes.items()}, True)
+        return Node(F.struct(*(cast(n, n.type).alias(k) for k, n in nodes.items())), any_of(*(n.err for n in nodes.values())), "object")
+    if not isinstance(args[0], list):
+        return literal(args[0])
+    nodes = [_item(v, cx) for v in args[0]]
+    if all(n.is_const for n in nodes):
+        return literal([n.const for n in nodes])
+    kinds = {n.type for n in nodes if n.type != NULL}
+    if len(kinds) > 1 or not kinds <= {NUMBER, STRING, BOOLEAN}:
+        raise CompileError("semiliteral: items of several types")
+    kind = kinds.pop()
+    return Node(F.array(*(cast(n, kind) for n in nodes)), any_of(*(n.err for n in nodes)), Array(kind, len(nodes)))
+
+
+def _item(x: Any, cx: Context) -> Node:
+    if isinstance(x, list) and x and isinstance(x[0], str) and x[0] in _OPS:
+        return compile_node(x, cx)
+    return _semiliteral("semiliteral", [x], cx) if isinstance(x, list | dict) else literal(x)
+
+
+def _shapes(x: Any) -> tuple[list, list, list]:
+    """(points, lines, polygons) of a GeoJSON value."""
+    points, lines, polygons = [], [], []
+    if not isinstance(x, dict):
+        raise CompileError("a GeoJSON object is expected")
+    kind, at = x.get("type"), x.get("coordinates")
+    for part in x.get("features", x.get("geometries", [])) or []:
+        for own, more in zip((points, lines, polygons), _shapes(part), strict=True):
+            own += more
+    if kind == "Feature":
+        return _shapes(x.get("geometry"))
+    try:
+        pair = lambda p: (float(p[0]), float(p[1]))
+        run = lambda r: [pair(p) for p in r]
+        if kind == "Point":
+            points.append(pair(at))
+        elif kind == "MultiPoint":
+            points += run(at)
+        elif kind == "LineString":
+            lines.append(run(at))
+        elif kind == "MultiLineString":
+            lines += [run(r) for r in at]
+        elif kind == "Polygon":
+            polygons.append([run(r) for r in at])
+        elif kind == "MultiPolygon":
+            polygons += [[run(r) for r in p] for p in at]
+        elif kind not in ("FeatureCollection", "GeometryCollection"):
+            raise CompileError(f"no GeoJSON type {kind!r}")
+    except (TypeError, IndexError, ValueError, KeyError) as e:
+        raise CompileError("bad coordinates") from e
+    return points, lines, polygons
+
+
+@op("within", 1)
+def _within(_, args, cx):
+    """Points: all inside; lines: inside one polygon and across none of its edges."""
+    polygons = _shapes(args[0])[2]
+    if not polygons:
+        raise CompileError("within: no polygon")
+    if cx.vertices is None:
+        return Node(F.lit(False), None, BOOLEAN)
+    v, kind = cx.vertices, F.lower(F.col(cx.geometry_column)) if cx.geometry_column else F.lit("point")
+    points = F.forall(v, lambda p: geo.within(p["lon"], p["lat"], polygons))
+    pieces = F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), F.slice(v, F.lit(2), F.size(v) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def inside(polygon):
+        edges = [(p, q) for ring in polygon for p, q in zip(ring, ring[1:] + ring[:1], strict=True) if p != q]
+        crossed = lambda s: reduce(lambda m, n: m | n, (geo.crosses(s["a"], s["b"], p, q) for p, q in edges), F.lit(False))
+        return F.forall(v, lambda p: geo.within(p["lon"], p["lat"], [polygon])) & ~F.exists(pieces, crossed)
+
+    lines = reduce(lambda m, n: m | n, (inside(p) for p in polygons))
+    value = F.when(kind.isin("point", "multipoint"), points).when(kind.isin("linestring", "multilinestring"), lines).otherwise(False)
+    return Node(truth(value) & (F.size(v) > 0), None, BOOLEAN)
+
+
+@op("distance", 1)
+def _distance(_, args, cx):
+    """Metres from the nearest point of a point feature to literal shapes; other features are errors."""
+    points, lines, polygons = _shapes(args[0])
+    if not points and not lines and not polygons:
+        raise CompileError("distance: no shapes")
+    if cx.vertices is None:
+        return Node(F.lit(None).cast("double"), F.lit(True), NUMBER)
+
+    def one(p):
+        each = [geo.distance_to_points(p["lon"], p["lat"], points)] if points else []
+        each += [geo.distance_to_line(p["lon"], p["lat"], line) for line in lines]
+        for polygon in polygons:
+            rings = [geo.distance_to_line(p["lon"], p["lat"], [*ring, ring[0]]) for ring in polygon]
+            each.append(F.when(geo.within(p["lon"], p["lat"], [polygon]), 0.0).otherwise(rings[0] if len(rings) == 1 else F.least(*rings)))
+        return each[0] if len(each) == 1 else F.least(*each)
+
+    v = cx.vertices
+    kind = F.lower(F.col(cx.geometry_column)) if cx.geometry_column else F.lit("point")
+    nearest = F.array_min(F.transform(v, one))
+    return Node(nearest, truth(~kind.isin("point", "multipoint")) | nearest.isNull(), NUMBER)
+
+
 @op("let", 3, None)
 def _let(_, args, cx):
     if len(args) % 2 == 0:
@@ -576,8 +729,21 @@ def _extreme(name, args, cx):
 
 
 def number_text(x: Column) -> Column:
-    plain = (x == whole(x, F.floor)) & (F.abs(x) < 1e15)
-    return F.when(plain, x.cast("long").cast("string")).otherwise(x.cast("string"))
+    """The shortest digits that tell a number from others, without an exponent."""
+    integer = (x == whole(x, F.floor)) & (F.abs(x) < 1e15)
+    text = x.cast("string")
+    return F.when(integer, x.cast("long").cast("string")).when(F.contains(text, F.lit("E")), colors.bind(text, _unscaled)).otherwise(text)
+
+
+def _unscaled(t: Column) -> Column:
+    """``d.dddE[-]dd`` as a plain decimal."""
+    mantissa, power = F.substring_index(t, "E", 1), F.substring_index(t, "E", -1).cast("int")
+    sign = F.when(F.startswith(t, F.lit("-")), "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"[-.]", "")
+    size = F.char_length(digits)
+    large = F.when(size <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, size)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    return F.concat(sign, F.when(power >= 0, large).otherwise(small))
 
 
 def to_text(n: Node) -> Column:
@@ -589,9 +755,27 @@ def to_text(n: Node) -> Column:
         return colors.to_text(n.value)
     if n.type in (STRING, BOOLEAN):
         return F.coalesce(n.value.cast("string"), F.lit(""))
+    if n.type == "formatted":
+        return F.array_join(F.transform(n.value, lambda s: s["text"]), "")
+    if n.type == "resolvedImage":
+        return n.value["name"]
+    if n.is_const:
+        return F.lit(_json(n.const))
+    if isinstance(n.type, Array) and n.type.item in (NUMBER, BOOLEAN):
+        return F.concat(F.lit("["), F.array_join(F.transform(n.value, lambda v: to_text(Node(v, None, n.type.item))), ","), F.lit("]"))
     return F.to_json(n.value)
 
 
+def _json(x: Any) -> str:
+    if isinstance(x, bool) or x is None or isinstance(x, str):
+        return json.dumps(x, ensure_ascii=False)
+    if isinstance(x, list):
+        return "[" + ",".join(map(_json, x)) + "]"
+    if isinstance(x, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json(v)}" for k, v in x.items()) + "}"
+    return str(int(x)) if x == int(x) else format(Decimal(repr(float(x))), "f")
+
+
 @op("concat", 0, None)
 def _concat(_, args, cx):
     nodes = [compile_node(a, cx) for a in args]
@@ -682,7 +866,7 @@ def _join(_, args, cx):
     if not isinstance(a.type, Array):
         raise CompileError(f"join: {a.type}")
     text = F.transform(a.value, lambda v: to_text(Node(v, None, a.type.item)))
-    return Node(F.array_join(text, by.const if by.is_const else ","), any_of(a.err, by.err), STRING)
+    return Node(F.array_join(text, by.const) if by.is_const else F.call_function("array_join", text, by.value), any_of(a.err, by.err), STRING)
 
 
 # -- types ------------------------------------------------------------------
@@ -756,6 +940,15 @@ def _assert(name, args, cx):
     return _first_ok(nodes, name)
 
 
+@op("object", 1, None)
+def _object(_, args, cx):
+    """The first argument that is an object; an error if none is."""
+    for n in (compile_node(a, cx) for a in args):
+        if n.type == "object":
+            return n
+    return Node(F.lit(None).cast("string"), F.lit(True), "object")
+
+
 @op("typeof", 1)
 def _typeof(_, args, cx):
     n = compile_node(args[0], cx)
@@ -815,13 +1008,22 @@ def _array(_, args, cx):
     return Node(n.value, wrong, Array(n.type.item, size if size is not None else n.type.length))
 
 
+# Marks and fraction digits of currencies, suffixes of units.
+CURRENCIES = {"USD": ("$", 2), "EUR": ("€", 2), "JPY": ("¥", 0), "GBP": ("£", 2)}
+UNITS = {"meter": " m", "kilometer": " km", "celsius": "°C", "fahrenheit": "°F", "kilobyte": " kB", "megabyte": " MB", "foot": " ft", "mile": " mi"}
+
+
 @op("number-format", 2)
 def _number_format(_, args, cx):
     n, o = numeric(compile_node(args[0], cx)), args[1]
     if not isinstance(o, dict) or not set(o) <= {"locale", "currency", "min-fraction-digits", "max-fraction-digits", "unit"}:
         raise CompileError("number-format: options")
-    least = int(o.get("min-fraction-digits", 2 if "currency" in o else 0))
-    most = max(int(o.get("max-fraction-digits", 2 if "currency" in o else 3)), least)
+    mark, digits = CURRENCIES.get(o["currency"], (None, 2)) if "currency" in o else ("", None)
+    suffix = UNITS.get(o["unit"]) if "unit" in o else ""
+    if mark is None or suffix is None:
+        return Node(F.lit(None).cast("string"), F.lit(True), STRING)
+    least = int(o.get("min-fraction-digits", 0 if digits is None else digits))
+    most = max(int(o.get("max-fraction-digits", 3 if digits is None else digits)), least)
     # The shortest text of a double, as a decimal, rounds half up where the double itself would not.
     fixed = F.format_number(F.abs(n.value).cast("string").try_cast(f"decimal(38,{most + 6})").try_cast(f"decimal(32,{most})"), most)
     text = fixed
@@ -829,8 +1031,7 @@ def _number_format(_, args, cx):
         text = F.when(F.substring_index(text, ".", -1) != text, F.regexp_replace(text, rf"(\.\d{{{least},}}?)0$", "$1")).otherwise(text)
     text = F.regexp_replace(text, r"\.$", "")
     sign = F.when((n.value < 0) & fixed.rlike("[1-9]"), "-").otherwise("")
-    mark = {"USD": "$", "EUR": "€", "JPY": "¥", "GBP": "£"}.get(o.get("currency", ""), o.get("currency", ""))
-    return Node(F.concat(sign, F.lit(mark), text), any_of(n.err, F.isnan(n.value) | (F.abs(n.value) == math.inf)), STRING)
+    return Node(F.concat(sign, F.lit(mark), text, F.lit(suffix)), any_of(n.err, F.isnan(n.value) | (F.abs(n.value) == math.inf)), STRING)
 
 
 # -- curves -----------------------------------------------------------------
@@ -909,10 +1110,15 @@ def _interpolate(name, args, cx):
     else:
         raise CompileError("interpolate: outputs cannot be interpolated")
     value, err = nodes[-1].value, nodes[-1].err
+    never = lambda e: F.lit(False) if e is None else e
+    some = any(n.err is not None for n in nodes)  # only the outputs around the input can fail
     for (a, _), (b, _), n, m in zip(reversed(stops[:-1]), reversed(stops[1:]), reversed(nodes[:-1]), reversed(nodes[1:]), strict=True):
-        value = F.when(x.value < b, blend(n.value, m.value, progress(x.value, a, b, how))).otherwise(value)
+        inside = x.value <= b if b < stops[-1][0] else x.value < b  # a stop ends its bracket; the last one needs its output alone
+        value = F.when(inside, blend(n.value, m.value, progress(x.value, a, b, how))).otherwise(value)
+        err = F.when(inside, never(any_of(n.err, m.err))).otherwise(never(err)) if some else None
     value = F.when(x.value <= stops[0][0], nodes[0].value).otherwise(value)
-    return Node(value, any_of(x.err, *(n.err for n in nodes), err), kind)
+    err = F.when(x.value <= stops[0][0], never(nodes[0].err)).otherwise(never(err)) if some else None
+    return Node(value, any_of(x.err, err), kind)
 
 
 # -- entry points -----------------------------------------------------------

@@ -116,6 +116,13 @@ def within(lon: Column, lat: Column, polygons: list[list[list[tuple[float, float
     return reduce(lambda a, b: a | b, found, F.lit(False))
 
 
+def crosses(a: Column, b: Column, p: tuple[float, float], q: tuple[float, float]) -> Column:
+    """Whether the piece between structs (lon, lat) crosses the literal piece p-q, beyond a mere touch."""
+    side = lambda c: (c["lon"] - p[0]) * (q[1] - p[1]) - (c["lat"] - p[1]) * (q[0] - p[0])
+    other = lambda x, y: (x - a["lon"]) * (b["lat"] - a["lat"]) - (y - a["lat"]) * (b["lon"] - a["lon"])
+    return (side(a) * side(b) < 0) & (other(*p) * other(*q) < 0)
+
+
 # WGS84.
 _RADIUS, _FLATTENING = 6378.137, 1 / 298.257223563
 

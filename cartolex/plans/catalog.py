@@ -11,7 +11,7 @@ from cartolex.functions import expression as ex
 from cartolex.functions import geo
 from cartolex.functions.legacy import convert
 from cartolex.operators import archives, layout
-from cartolex.plans.style import Layer, Style, dependency, layer_query, run_style, zoom_pair
+from cartolex.plans.style import Layer, Style, dependency, layer_query, property_column, run_style, zoom_pair
 from cartolex.streaming.supply import supply_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,12 +95,28 @@ project("expr_to_string", "orders", ["o_orderkey"], {"s": ["to-string", ["floor"
 project("expr_to_number", "events", ["event_id"], {"v": ["to-number", get("event_type"), ["slice", get("props"), 6, -1], -1]}, r"SELECT event_id, CASE WHEN regexp_matches(trim(substr(props, 7, length(props) - 7)), '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN trim(substr(props, 7, length(props) - 7))::DOUBLE ELSE -1 END AS v FROM events")
 project("expr_to_boolean", "events", ["event_id"], {"b": ["to-boolean", ["-", get("user_id"), 5]], "s": ["to-boolean", get("event_type")]}, "SELECT event_id, user_id <> 5 AS b, event_type <> '' AS s FROM events")
 project("expr_typeof", "region", ["r_regionkey"], {"a": ["typeof", ["literal", [1, 2]]], "b": ["typeof", 1], "c": ["typeof", "x"]}, "SELECT r_regionkey, 'array<number, 2>' AS a, 'number' AS b, 'string' AS c FROM region")
-project("expr_number_format", "orders", ["o_orderkey"], {"f": ["number-format", get("o_totalprice"), {"min-fraction-digits": 1, "max-fraction-digits": 2}], "u": ["number-format", get("o_totalprice"), {"currency": "USD"}]}, None)
+project("expr_number_format", "orders", ["o_orderkey"], {"f": ["number-format", get("o_totalprice"), {"min-fraction-digits": 1, "max-fraction-digits": 2}], "u": ["number-format", get("o_totalprice"), {"currency": "USD"}]},
+        "SELECT o_orderkey, CASE WHEN right(u, 1) = '0' THEN left(u, length(u) - 1) ELSE u END AS f, '$' || u AS u FROM (SELECT o_orderkey, format('{:,}', p // 100) || '.' || lpad((p % 100)::VARCHAR, 2, '0') AS u FROM (SELECT o_orderkey, (o_totalprice::DECIMAL(18, 2) * 100)::BIGINT AS p FROM orders))")
 project("expr_collate_de", "customer", ["c_custkey"], {"same": ["==", get("c_mktsegment"), "buÌlding", ["collator", {"locale": "de"}]], "less": ["<", get("c_mktsegment"), "FURNITURE", ["collator", {"locale": "de"}]]}, "SELECT c_custkey, c_mktsegment = 'BUILDING' AS same, c_mktsegment < 'FURNITURE' AS less FROM customer")
-project("expr_collate_sv", "nation", ["n_nationkey"], {"after": [">", "Åland", get("n_name"), ["collator", {"locale": "sv"}]]}, None)
+project("expr_collate_sv", "nation", ["n_nationkey"], {"after": [">", "Åland", get("n_name"), ["collator", {"locale": "sv"}]]}, "SELECT n_nationkey, TRUE AS after FROM nation")  # å follows z
 project("expr_color_match", "lineitem", LINE, {"c": ["to-rgba", ["match", get("l_returnflag"), "A", ["rgb", 255, 0, 0], "R", ["rgba", 0, 51, 0, 0.5], ["to-color", "blue"]]]},
         "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN [255.0, 0.0, 0.0, 1.0] WHEN l_returnflag = 'R' THEN [0.0, 51.0, 0.0, 0.5] ELSE [0.0, 0.0, 255.0, 1.0] END::DOUBLE[] AS c FROM lineitem")
 project("expr_interp_lab", "orders", ["o_orderkey"], {"c": ["to-string", ["interpolate-lab", ["linear"], get("o_totalprice"), 0, "red", 500000, "blue"]], "h": ["to-string", ["interpolate-hcl", ["linear"], get("o_totalprice"), 0, "#f00", 500000, "#00f"]]}, None)
+project("expr_number_text", "orders", ["o_orderkey"], {"a": ["to-string", ["/", ["+", get("o_orderkey"), 12345678], 2]], "b": ["to-string", ["/", get("o_orderkey"), 8192]], "c": ["concat", "k", ["*", get("o_orderkey"), 1e15]]},
+        """SELECT o_orderkey, rtrim(rtrim(((o_orderkey + 12345678)::DECIMAL(38, 1) / 2)::DECIMAL(38, 1)::VARCHAR, '0'), '.') AS a,
+        rtrim(rtrim((o_orderkey::DOUBLE / 8192)::DECIMAL(38, 13)::VARCHAR, '0'), '.') AS b, 'k' || (o_orderkey::HUGEINT * 1000000000000000)::VARCHAR AS c FROM orders""")
+project("expr_join_column", "orders", ["o_orderkey"], {"j": ["join", ["split", get("o_orderpriority"), "-"], get("o_orderstatus")]}, "SELECT o_orderkey, replace(o_orderpriority, '-', o_orderstatus) AS j FROM orders")
+project("expr_interp_errors", "lineitem", LINE, {"v": ["interpolate", ["linear"], get("l_linenumber"), 1, 10, 3, 30, 5, ["to-number", get("l_returnflag")], 6, 60]},
+        "SELECT l_orderkey, l_linenumber, (CASE WHEN l_linenumber <= 3 THEN l_linenumber * 10 WHEN l_linenumber >= 6 THEN 60 END)::DOUBLE AS v FROM lineitem")
+project("expr_format", "orders", ["o_orderkey"], {"t": ["to-string", ["format", get("o_orderpriority"), {"font-scale": 1.2}, " / ", ["to-string", get("o_custkey")], {"text-color": "red"}]]}, "SELECT o_orderkey, o_orderpriority || ' / ' || o_custkey AS t FROM orders")
+project("expr_semiliteral", "lineitem", LINE, {"a": ["semiliteral", [1, ["*", get("l_linenumber"), 2], ["get", "l_quantity"]]], "n": ["length", ["semiliteral", [get("l_returnflag"), "x"]]]}, "SELECT l_orderkey, l_linenumber, [1.0, l_linenumber * 2.0, l_quantity]::DOUBLE[] AS a, 2.0::DOUBLE AS n FROM lineitem")
+project("expr_object", "region", ["r_regionkey"], {"a": ["typeof", ["object", ["literal", {"k": 1}]]], "b": ["get", "k", ["literal", {"k": 5}]], "c": ["has", "q", ["literal", {"k": 5}]]}, "SELECT r_regionkey, 'object' AS a, 5.0::DOUBLE AS b, FALSE AS c FROM region")
+project("expr_computed_get", "nation", ["n_nationkey"], {"h": ["has", ["concat", "n_na", "me"]], "m": ["has", ["concat", "no", "ne"]], "t": ["get", ["concat", "n_na", "me"]]}, "SELECT n_nationkey, TRUE AS h, FALSE AS m, n_name AS t FROM nation")
+project("expr_typeof_columns", "events", ["event_id"], {"a": ["typeof", get("event_type")], "b": ["typeof", get("value")], "c": ["typeof", get("nothing")]}, "SELECT event_id, CASE WHEN event_type IS NULL THEN 'null' ELSE 'string' END AS a, CASE WHEN value IS NULL THEN 'null' ELSE 'number' END AS b, 'null' AS c FROM events")
+project("expr_color_names", "orders", ["o_orderkey"], {"c": ["to-rgba", ["match", get("o_orderstatus"), "F", ["to-color", "hotpink"], "O", ["to-color", "steelblue"], ["to-color", "whitesmoke"]]]},
+        "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN [255.0, 105.0, 180.0, 1.0] WHEN 'O' THEN [70.0, 130.0, 180.0, 1.0] ELSE [245.0, 245.0, 245.0, 1.0] END::DOUBLE[] AS c FROM orders")
+project("expr_units", "lineitem", LINE, {"m": ["number-format", get("l_quantity"), {"unit": "kilometer"}], "j": ["number-format", get("l_extendedprice"), {"currency": "JPY"}]},
+        "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT || ' km' AS m, '¥' || format('{:,}', floor(l_extendedprice::DECIMAL(18, 2) + 0.5)::BIGINT) AS j FROM lineitem")
 project("prop_error_is_default", "events", ["event_id"], {"v": ["coalesce", ["number", get("value"), 0], 0], "e": ["to-number", get("event_type"), -1]}, "SELECT event_id, coalesce(value, 0) AS v, -1.0::DOUBLE AS e FROM events")
 
 for _name, _f, _sql in (
@@ -159,6 +175,51 @@ def _style_union(spark, sf_dir):
     return out.select("layer_idx", "layer_id", "o_orderkey", "rank", F.get_json_object("properties", "$.line_width").cast("double").alias("width"))
 
 
+PAINTED = Layer("p", "fill", settings={"fill-color": ["match", get("o_orderstatus"), "F", "red", "O", ["to-color", get("o_orderpriority")], "blue"], "fill-opacity": ["/", get("o_totalprice"), 100000]})
+
+
+@query("layer_paint", """
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END::DOUBLE AS r, round(least(greatest(o_totalprice / 100000, 0), 1), 9)::DOUBLE AS a
+FROM orders WHERE o_orderstatus <> 'O'""")
+def _layer_paint(spark, sf_dir):
+    """Features whose colour fails are skipped; alpha is the opacity held to 0..1."""
+    out = layer_query(table(spark, sf_dir, "orders"), PAINTED, 0, 1, 5.0, [], ["o_orderkey"], [], "o_orderkey", paint=True)
+    return out.select("o_orderkey", F.col("color.r").alias("r"), F.round("color.a", 9).alias("a"))
+
+
+@query("symbol_gate", "SELECT c_custkey, 'at' AS layer_id FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'along' FROM customer WHERE c_custkey % 3 > 0")
+def _symbol_gate(spark, sf_dir):
+    kind = F.array(*map(F.lit, ("Point", "LineString", "Polygon")))
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.get(kind, (F.col("c_custkey") % 3).cast("int")).alias("g"))
+    layers = [Layer("at", "symbol"), Layer("along", "symbol", settings={"symbol-placement": "line"})]
+    parts = [layer_query(df, x, i, 2, 5.0, [], ["c_custkey"], [], "c_custkey", "g") for i, x in enumerate(layers)]
+    return parts[0].unionByName(parts[1]).select("c_custkey", "layer_id")
+
+
+@query("property_defaults", "SELECT event_id, CASE WHEN event_type = 'click' THEN 3 ELSE 1 END::DOUBLE AS width, 'butt' AS cap, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS errors FROM events")
+def _property_defaults(spark, sf_dir):
+    """Errors, and expressions that do not compile, become the property's default."""
+    layer = Layer("d", "line", settings={"line-width": ["to-number", ["match", get("event_type"), "click", "3", "none"]], "line-cap": ["+", get("event_type"), 1]})
+    df = table(spark, sf_dir, "events")
+    (width, err), (cap, _) = (property_column(layer, n, ex.Context(df.schema, zoom=1)) for n in ("line-width", "line-cap"))
+    return df.select("event_id", width.alias("width"), cap.alias("cap"), err.cast("int").alias("errors"))
+
+
+BROKEN = {"version": 8, "sources": {"orders": {"type": "vector"}}, "layers": [
+    {"id": "a", "type": "line", "source": "orders", "paint": {"line-width": "wide", "line-color": "nocolor", "line-opacity": ["nop", 1], "line-blur": 3}, "layout": {"line-cap": "flat"}},
+    {"id": "b", "type": "fill", "source": "orders", "filter": ["==", 1], "paint": {"fill-opacity": 0.5}},
+    {"id": "c", "type": "fill", "source": "orders", "paint": {"fill-antialias": ["get", "x"], "fill-opacity": ["+", ["get", "o_orderstatus"], 1], "fill-color": "#123"}},
+    {"id": "d", "type": "sky", "source": "orders"},
+]}
+
+
+@query("style_diagnostics", """
+SELECT * FROM (VALUES ('a', 'line-width'), ('a', 'line-color'), ('a', 'line-opacity'), ('a', 'line-blur'), ('a', 'line-cap'), ('b', 'filter'), ('c', 'fill-antialias'), ('c', 'fill-opacity'), ('d', 'type')) t(layer, property)""")
+def _style_diagnostics(spark, sf_dir):
+    said = Style.parse(BROKEN).check({"orders": table(spark, sf_dir, "orders").schema})
+    return spark.createDataFrame([(d.layer, d.property) for d in said], "layer string, property string")
+
+
 @query("zoom_pair", "SELECT o_orderkey, 5 * (1 + o_custkey % 3)::DOUBLE AS lo, 6 * (1 + o_custkey % 3)::DOUBLE AS hi FROM orders")
 def _zoom_pair(spark, sf_dir):
     df = table(spark, sf_dir, "orders")
@@ -193,6 +254,31 @@ def tiles(spark, sf_dir) -> DataFrame:
 query("tile_assign", TILES)(tiles)
 
 
+BOX = {"type": "Polygon", "coordinates": [[[-100.5, -40.25], [60.5, -40.25], [60.5, 55.75], [-100.5, 55.75], [-100.5, -40.25]]]}
+
+
+@query("expr_within", f"SELECT c_custkey, lon > -100.5 AND lon < 60.5 AND lat > -40.25 AND lat < 55.75 AS inside, (lon > -100.5 AND lon < 60.5 AND lat > -40.25 AND lat < 55.75) AND (lon + 30 > -100.5 AND lon + 30 < 60.5) AS line FROM (SELECT c_custkey, {LONLAT} FROM customer)")
+def _expr_within(spark, sf_dir):
+    c = customers(spark, sf_dir).withColumns({"p": F.lit("Point"), "l": F.lit("LineString")})
+    at = lambda x: F.struct(x.alias("lon"), F.col("lat"))
+    point = ex.compile_expr(["within", BOX], ex.Context(c.schema, geometry_column="p", vertices=F.array(at(F.col("lon")))))
+    line = ex.compile_expr(["within", {"type": "Feature", "geometry": BOX}], ex.Context(c.schema, geometry_column="l", vertices=F.array(at(F.col("lon")), at(F.col("lon") + 30))))
+    return c.select("c_custkey", point.value.alias("inside"), line.value.alias("line"))
+
+
+@query("expr_distance", f"""
+WITH p AS (SELECT c_custkey, {LONLAT} FROM customer), r AS (SELECT *, cos(radians(lat)) AS c FROM p),
+k AS (SELECT *, 1 / (1 - 0.0066943799901413165 * (1 - c * c)) AS w2 FROM r)
+SELECT c_custkey, round(least(
+  sqrt(pow((CASE WHEN lon - 10 > 180 THEN lon - 370 WHEN lon - 10 < -180 THEN lon + 350 ELSE lon - 10 END) * pi() / 180 * 6378137 * sqrt(w2) * c, 2) + pow((lat - 50) * pi() / 180 * 6378137 * sqrt(w2) * w2 * (1 - 0.0066943799901413165), 2)),
+  abs(lat + 20) * pi() / 180 * 6378137 * sqrt(w2) * w2 * (1 - 0.0066943799901413165)), 3) AS meters FROM k""")
+def _expr_distance(spark, sf_dir):
+    c = customers(spark, sf_dir)
+    shapes = {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [10, 50]}, {"type": "LineString", "coordinates": [[-200, -20], [200, -20]]}]}
+    n = ex.compile_expr(["distance", shapes], ex.Context(c.schema, vertices=F.array(F.struct("lon", "lat"))))
+    return c.select("c_custkey", F.round(n.value, 3).alias("meters"))
+
+
 @query("tile_rect", f"SELECT c_custkey, x / 256.0::DOUBLE AS x0, y / 256.0::DOUBLE AS y0, (x + 1) / 256.0::DOUBLE AS x1, (y + 1) / 256.0::DOUBLE AS y1 FROM ({TILES})")
 def _tile_rect(spark, sf_dir):
     r = geo.tile_rect(F.lit(8), F.col("x"), F.col("y"))
@@ -218,7 +304,13 @@ def _cover(spark, sf_dir):
     return archives.cover(v.withColumns({"x1": F.col("x0") + 0.3, "y1": F.col("y0") + 0.25}), 4)
 
 
-@query("hilbert_id")
+@query("hilbert_id", f"""
+WITH RECURSIVE w AS (
+  SELECT c_custkey, x::BIGINT AS x, y::BIGINT AS y, 128::BIGINT AS s, 0::BIGINT AS d FROM ({TILES})
+  UNION ALL
+  SELECT c_custkey, (CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN 255 - y ELSE y END ELSE x END), (CASE WHEN ry = 0 THEN CASE WHEN rx = 1 THEN 255 - x ELSE x END ELSE y END), s // 2, d + s * s * xor(3 * rx, ry)
+  FROM (SELECT *, CASE WHEN x & s > 0 THEN 1 ELSE 0 END AS rx, CASE WHEN y & s > 0 THEN 1 ELSE 0 END AS ry FROM w WHERE s > 0))
+SELECT c_custkey, d + 21845 AS tile_id FROM w WHERE s = 0""")
 def _hilbert(spark, sf_dir):
     return tiles(spark, sf_dir).select("c_custkey", geo.hilbert_id(8, F.col("x"), F.col("y")).alias("tile_id"))
 

@@ -37,6 +37,12 @@ PROPERTIES: dict[str, list[tuple[str, Any, Any, bool]]] = {
     "raster": [("raster-opacity", _N, 1, False)],
 }
 GEOMETRY = {"fill": ("polygon",), "line": ("linestring", "polygon")}
+_ALIGNMENTS = ("map", "viewport", "auto")
+ENUMS = {
+    "line-cap": ("butt", "round", "square"), "line-join": ("bevel", "round", "miter"), "symbol-placement": ("point", "line", "line-center"),
+    "symbol-z-order": ("auto", "viewport-y", "source"), "icon-rotation-alignment": _ALIGNMENTS, "text-rotation-alignment": _ALIGNMENTS,
+    "text-anchor": ("center", "left", "right", "top", "bottom", "top-left", "top-right", "bottom-left", "bottom-right"),
+}
 FEATURE_OPS = {"get", "has", "id", "geometry-type", "properties", "feature-state", "within", "distance"}
 
 
@@ -85,6 +91,43 @@ def dependency(x: Any) -> str:
     return {(False, False): "constant", (True, False): "zoom_only", (False, True): "data_driven", (True, True): "zoom_and_data"}[zoom, data]
 
 
+def constant_fits(name: str, kind: Any, value: Any) -> bool:
+    """Whether a constant is one of its property's type."""
+    number = lambda v: isinstance(v, int | float) and not isinstance(v, bool)
+    if isinstance(kind, ex.Array):
+        return isinstance(value, list) and all(map(number, value)) and kind.length in (None, len(value))
+    if kind == ex.COLOR:
+        return isinstance(value, str) and colors.parse(value) is not None
+    if kind == ex.NUMBER:
+        return number(value)
+    if kind == ex.BOOLEAN:
+        return isinstance(value, bool)
+    return isinstance(value, str) and value in ENUMS.get(name, (value,))
+
+
+def malformed(x: Any, bound: frozenset = frozenset()) -> str | None:
+    """What is wrong with an expression whatever the features: an unknown operator, a number of arguments, an unbound name."""
+    if isinstance(x, dict):
+        return "a bare object is not an expression"
+    if not isinstance(x, list):
+        return None
+    if not x or not isinstance(x[0], str) or x[0] not in ex._OPS:
+        return f"unknown operator {x[0]!r}" if x else "an empty array is not an expression"
+    name, args = x[0], x[1:]
+    least, most, _ = ex._OPS[name]
+    if len(args) < least or most is not None and len(args) > most:
+        return f"{name}: {len(args)} arguments"
+    if name in ("literal", "semiliteral", "within", "distance"):
+        return None
+    if name == "var":
+        return None if args[0] in bound else f"var: {args[0]!r} is not bound"
+    if name == "let":
+        bound |= frozenset(a for a in args[:-1:2] if isinstance(a, str))
+    skip = {"match": lambda i: i % 2 and i < len(args) - 1, "interpolate": lambda i: i == 0, "interpolate-lab": lambda i: i == 0, "interpolate-hcl": lambda i: i == 0}.get(name, lambda i: False)
+    inner = (a for i, a in enumerate(args) if isinstance(a, list) and not skip(i) and not (a and a[0] == "collator"))
+    return next((m for a in inner if (m := malformed(a, bound))), None)
+
+
 @dataclass(frozen=True)
 class Style:
     layers: tuple[Layer, ...]
@@ -121,13 +164,38 @@ class Style:
                     said.append(Diagnostic(name, prop, "unknown property"))
                 elif isinstance(value, dict):
                     said.append(Diagnostic(name, prop, "legacy function: convert it first"))
-                elif "data" in dependency(value) and not known[prop][1]:
-                    said.append(Diagnostic(name, prop, "not data-driven"))
+                elif isinstance(value, list) and value and isinstance(value[0], str):
+                    wrong = malformed(value)
+                    if wrong is None and "data" in dependency(value) and not known[prop][1]:
+                        wrong = "not data-driven"
+                    if wrong is None and value[0] == "literal" and not constant_fits(prop, known[prop][0], value[1]):
+                        wrong = "the constant is of another type"
+                    if wrong is None:
+                        kept[prop] = value
+                    else:
+                        said.append(Diagnostic(name, prop, wrong))
+                elif not constant_fits(prop, known[prop][0], value):
+                    said.append(Diagnostic(name, prop, "the constant is of another type"))
                 else:
                     kept[prop] = value
             layers.append(Layer(name, kind, raw.get("source"), raw.get("source-layer"), float(raw.get("minzoom", 0)), float(raw.get("maxzoom", 24)), raw.get("filter"), kept))
         return cls(tuple(layers), d.get("sources", {}), tuple(said))
 
+    def check(self, schemas: dict[str, Any], zoom: float = 0.0) -> tuple[Diagnostic, ...]:
+        """The diagnostics, and those of expressions that do not compile over the schema of their layer's source."""
+        said = list(self.diagnostics)
+        for layer in self.layers:
+            if layer.source not in schemas:
+                continue
+            cx = ex.Context(schemas[layer.source], zoom=zoom)
+            kinds = {n: t for n, t, *_ in PROPERTIES[layer.type]}
+            for name, value in [("filter", layer.filter), *((n, v) for n, v in layer.settings.items() if n in kinds and is_expression(v))]:
+                try:
+                    ex.compile_expr(value, cx, kinds.get(name))
+                except ex.CompileError as e:
+                    said.append(Diagnostic(layer.id, name, str(e)))
+        return tuple(said)
+
     def _with(self, layer: str, change) -> Style:
         return replace(self, layers=tuple(change(x) if x.id == layer else x for x in self.layers))
 
@@ -168,8 +236,38 @@ def property_column(layer: Layer, name: str, cx: ex.Context) -> tuple[Column, Co
     return ex.with_default(node, base), F.lit(False) if node.err is None else ex.truth(node.err)
 
 
-def layer_query(df: DataFrame, layer: Layer, index: int, layers: int, zoom: float, properties: list[str] | None = None, keep: list[str] = (), tile: list[str] = (), seq: str = "feature_seq", geometry: str | None = None, source_columns: bool = False) -> DataFrame | None:
-    """Gates, filter, properties, then rank and depth within layer and tile; nothing if the layer does not apply."""
+def symbol_geometry(layer: Layer) -> tuple[str, ...]:
+    """Lines and outlines for labels along lines, points for others."""
+    return ("linestring", "polygon") if layer.settings.get("symbol-placement") in ("line", "line-center") else ("point",)
+
+
+def painted(layer: Layer, cx: ex.Context) -> Column | None:
+    """The colour that fills and lines are drawn in: alpha times the opacity, held to 0..1; null where the expression fails or is null, which skips the feature."""
+    name = f"{layer.type}-color"
+    if name not in layer.settings:
+        color = property_column(layer, name, cx)[0]
+    else:
+        try:
+            value = layer.settings[name]
+            node = ex.compile_expr(value, cx, ex.COLOR)
+        except ex.CompileError:
+            return property_column(replace(layer, settings={}), name, cx)[0]
+        color = cast_color(node)
+    opacity = F.least(F.greatest(property_column(layer, f"{layer.type}-opacity", cx)[0], F.lit(0.0)), F.lit(1.0))
+    return F.when(color.isNotNull(), colors.struct(color["r"], color["g"], color["b"], color["a"] * opacity))
+
+
+def cast_color(node: ex.Node) -> Column:
+    if node.type == ex.NULL:
+        return F.lit(None).cast(colors.DDL)
+    return node.value if node.err is None else F.when(~ex.truth(node.err), node.value)
+
+
+def layer_query(df: DataFrame, layer: Layer, index: int, layers: int, zoom: float, properties: list[str] | None = None, keep: list[str] = (), tile: list[str] = (), seq: str = "feature_seq", geometry: str | None = None, source_columns: bool = False, paint: bool = False) -> DataFrame | None:
+    """Gates, filter, properties, then rank and depth within layer and tile; nothing if the layer does not apply.
+
+    ``paint`` adds the drawn ``color`` of fills and lines and skips features without one.
+    """
     if not layer.minzoom <= zoom < layer.maxzoom or layer.settings.get("visibility") == "none":
         return None
     cx = ex.Context(df.schema, zoom=zoom, geometry_column=geometry, id_column="id" if "id" in df.columns else None)
@@ -179,17 +277,21 @@ def layer_query(df: DataFrame, layer: Layer, index: int, layers: int, zoom: floa
         return None
     if source_columns:
         df = df.where((F.col("source") == layer.source) & (F.col("layer") == layer.source_layer))
-    if geometry and layer.type in GEOMETRY:
-        df = df.where(F.lower(F.col(geometry)).isin(*GEOMETRY[layer.type]))
+    admitted = symbol_geometry(layer) if layer.type == "symbol" else GEOMETRY.get(layer.type)
+    if geometry and admitted:
+        df = df.where(F.lower(F.col(geometry)).isin(*admitted))
     if on is not None:
         df = df.where(on)
     names = properties if properties is not None else [n for n, *_ in PROPERTIES[layer.type]]
     built = {n: property_column(layer, n, cx) for n in names}
+    drawn = painted(layer, cx) if paint and layer.type in GEOMETRY else None
+    if drawn is not None:
+        df, drawn = df.withColumn("_color", drawn).where(F.col("_color").isNotNull()), F.col("_color")
     key = property_column(layer, layer.sort_key, cx)[0] if layer.sort_key else F.lit(None).cast("double")
     errors = F.lit(0)
     for _, e in built.values():
         errors = errors + e.cast("int")
-    out = df.select(F.lit(index).alias("layer_idx"), F.lit(layer.id).alias("layer_id"), *keep, *tile, F.col(seq).alias("_seq"), F.coalesce(key, F.lit(0.0)).alias("_key"), errors.alias("eval_errors"), *(c.alias(n.replace("-", "_")) for n, (c, _) in built.items()))
+    out = df.select(F.lit(index).alias("layer_idx"), F.lit(layer.id).alias("layer_id"), *keep, *tile, F.col(seq).alias("_seq"), F.coalesce(key, F.lit(0.0)).alias("_key"), errors.alias("eval_errors"), *(c.alias(n.replace("-", "_")) for n, (c, _) in built.items()), *([drawn.alias("color")] if drawn is not None else []))
     within = Window.partitionBy("layer_idx", *tile)
     rank = (F.row_number().over(within.orderBy("_key", "_seq")) - 1).cast("long")
     band = 1.0 / (layers + 1)

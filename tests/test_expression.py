@@ -100,3 +100,39 @@ def test_style(spark):
     rows = run_style(style, {"s": df}, 4, ["feature_seq"]).orderBy("rank").collect()
     assert [(r.layer_id, r.feature_seq, r.eval_errors) for r in rows] == [("a", 2, 1), ("a", 3, 1)]  # the broken filter drops layer b
     assert run_style(style.with_filter("a", None), {"s": df}, 4, ["feature_seq"]).count() == 3
+
+
+def test_numbers_as_text(spark):
+    cases = [(12345678.5, "12345678.5"), (1e-5, "0.00001"), (-2.5e-7, "-0.00000025"), (1e21, "1" + "0" * 21), (1.5e16, "15000000000000000"), (-0.1, "-0.1"), (1e15, "1" + "0" * 15), (0.0, "0")]
+    df = spark.createDataFrame([(a, b) for a, b in cases], "n double, want string")
+    node = ex.compile_expr(["to-string", ["get", "n"]], ex.Context(df.schema))
+    assert [r for r in df.select("want", node.value.alias("got")).collect() if r.want != r.got] == []
+
+
+def test_new_operators(spark):
+    area = {"type": "Polygon", "coordinates": [[[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]]]}
+    got = evaluate(spark, [
+        ["join", ["get", "tags"], ["get", "s"]],
+        ["interpolate", ["linear"], ["get", "n"], 0, ["number", ["get", "s"]], 5, 1, 6, 2],
+        ["interpolate", ["linear"], ["get", "n"], 0, ["number", ["get", "s"]], 1, 1, 6, 2],
+        ["number-format", 5, {"currency": "JPY"}],
+        ["number-format", 1234.5, {"unit": "meter"}],
+        ["number-format", 1, {"currency": "XXX"}],
+        ["has", ["concat", "miss", "ing"]],
+        ["to-string", ["semiliteral", [1, ["get", "n"]]]],
+        ["within", area],
+        ["distance", area],
+        ["case", ["==", ["get", "n"], 5], "hotpink", ["rgb", 0, 0, 0]],
+    ])
+    assert got[:9] == ["xabcyabcz", "error", 1.8, "¥5", "1,234.5 m", "error", False, "[1,5]", False]
+    assert got[9] == "error" and round(got[10]["g"] * 255) == 105
+    for bad in (["format"], ["format", "a", {"vertical-align": "middle"}], ["within", {"type": "Point"}], ["semiliteral", [["get", "n"], "a"]], ["distance", 5], ["object"]):
+        with pytest.raises(ex.CompileError):
+            ex.compile_expr(bad, ex.Context(spark.createDataFrame([], "n double").schema))
+
+
+def test_diagnostics_of_constants_and_expressions(spark):
+    style = Style.parse({"version": 8, "layers": [{"id": "a", "type": "line", "paint": {"line-width": True, "line-color": "#12", "line-opacity": ["*"], "line-dasharray": [1, "x"]}, "layout": {"line-cap": "round", "line-join": ["var", "q"]}}, {"id": "b", "type": "fill", "source": "s", "filter": ["==", ["nop"], 1]}]})
+    said = style.check({"s": spark.createDataFrame([], "n double").schema})
+    assert {(d.layer, d.property) for d in said} == {("a", "line-color"), ("a", "line-dasharray"), ("a", "line-join"), ("a", "line-width"), ("b", "filter")}
+    assert [x.id for x in style.layers] == ["a", "b"] and style.layers[0].settings == {"line-cap": "round", "line-opacity": ["*"]}
