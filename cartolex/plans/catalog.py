@@ -12,6 +12,7 @@ from cartolex.functions import geo
 from cartolex.functions.legacy import convert
 from cartolex.operators import archives, layout
 from cartolex.plans.style import Layer, Style, dependency, layer_query, property_column, run_style, zoom_pair
+from cartolex.sources import png, symbols
 from cartolex.streaming.supply import supply_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,3 +422,76 @@ def _supply(spark, sf_dir):
     for k, v in STATUS.items():
         kind = F.when(F.col("event_type") == k, v).otherwise(kind)
     return supply_batch(table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("tile"), F.col("event_id").alias("req_id"), kind.alias("status")))
+
+
+@query("png_pixels", """
+WITH p AS (SELECT n_nationkey, (3 + n_nationkey % 3)::INT AS w, (2 + n_nationkey % 4)::INT AS h FROM nation)
+SELECT n_nationkey, w AS width, h AS height, (SELECT sum((n_nationkey * 7 + x * 13 + y * 29 + c * 17) % 256) FROM range(w) a(x), range(h) b(y), range(4) d(c))::BIGINT AS total FROM p""")
+def _png(spark, sf_dir):
+    """Images written by rule, read back."""
+
+    def write(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            data = []
+            for n in b.column("n_nationkey").to_pylist():
+                y, x, c = np.meshgrid(np.arange(2 + n % 4), np.arange(3 + n % 3), np.arange(4), indexing="ij")
+                data.append(png.encode(((n * 7 + x * 13 + y * 29 + c * 17) % 256).astype(np.uint8), n % 3))
+            yield pa.RecordBatch.from_arrays([b.column("n_nationkey"), pa.array(data, pa.binary())], ["n_nationkey", "data"])
+
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"))
+    read = png.decode_images(n.mapInArrow(write, "n_nationkey long, data binary"), ["n_nationkey"])
+    byte = F.transform(F.sequence(F.lit(1), F.octet_length("rgba")), lambda i: F.conv(F.hex(F.substring(F.col("rgba"), i, F.lit(1))), 16, 10).cast("long"))
+    return read.select("n_nationkey", "width", "height", F.aggregate(byte, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+SPRITE = '{"Brand#11": {"x": 0, "y": 0, "width": 16, "height": 16}, "Brand#23": {"x": 16, "y": 0, "width": 8, "height": 8, "pixelRatio": 2, "sdf": true}, "Brand#45": {"x": 60, "y": 0, "width": 16, "height": 8}}'
+
+
+@query("icon_sprite", "SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 16 WHEN 'Brand#23' THEN 8 ELSE -1 END::INT AS width, CASE p_brand WHEN 'Brand#11' THEN 1 WHEN 'Brand#23' THEN 2 ELSE 0 END::DOUBLE AS ratio FROM part")
+def _icons(spark, sf_dir):
+    cells = symbols.sprite_table(spark, SPRITE, (64, 64))  # the third cell lies outside
+    return symbols.with_icons(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), cells, "p_brand").select("p_partkey", F.coalesce("sprite.width", F.lit(-1)).alias("width"), F.coalesce("sprite.pixel_ratio", F.lit(0.0)).alias("ratio"))
+
+
+def glyph_range(points: range) -> bytes:
+    """A glyph range whose advances follow from the code points."""
+    field = lambda n, v: bytes([n << 3]) + _var(v) if isinstance(v, int) else bytes([n << 3 | 2]) + _var(len(v)) + v
+    own = [field(3, field(1, c) + field(3, 1) + field(4, 2) + field(5, 2 * (c % 3) - 1 if c % 3 else 0) + field(6, 7) + field(7, 5 + c % 9)) for c in points]
+    return field(1, field(1, b"Plain") + b"".join(own))
+
+
+def _var(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+@query("glyph_table", "SELECT c::INT AS code_point, CASE c % 3 WHEN 1 THEN -1 WHEN 2 THEN -2 ELSE 0 END::INT AS left_, -4 AS top, (5 + c % 9)::INT AS advance FROM range(32, 320) t(c)")
+def _glyphs(spark, sf_dir):
+    ranges = spark.createDataFrame([(glyph_range(range(32, 256)),), (glyph_range(range(256, 320)),)], "data binary")
+    return symbols.glyph_table(ranges).select("code_point", F.col("left").alias("left_"), "top", "advance")
+
+
+@query("text_advance", """
+WITH c AS (SELECT c_custkey, unnest(string_split(c_name, '')) AS c FROM customer)
+SELECT c_custkey, sum(CASE WHEN ord(c) BETWEEN 48 AND 126 THEN 5 + ord(c) % 9 ELSE 12 END)::DOUBLE AS advance FROM c GROUP BY c_custkey""")
+def _text_advance(spark, sf_dir):
+    glyph = symbols.glyph_table(spark.createDataFrame([(glyph_range(range(48, 127)),)], "data binary"))
+    return symbols.text_advance(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), glyph, ["c_custkey"], "c_name")
+
+
+@query("geojson_shapes", f"""
+SELECT c_custkey, kind, n::BIGINT AS n, round(total, 9)::DOUBLE AS total FROM (
+  SELECT c_custkey, 'point' AS kind, 1 AS n, lon AS total FROM (SELECT c_custkey, {LONLAT} FROM customer)
+  UNION ALL SELECT c_custkey, 'polygon', 4, 4 * lon + 4 FROM (SELECT c_custkey, {LONLAT} FROM customer))""")
+def _geojson(spark, sf_dir):
+    c, pair = customers(spark, sf_dir), lambda dx, dy: F.concat(F.lit("["), F.col("lon") + dx, F.lit(","), F.col("lat") + dy, F.lit("]"))
+    ring = F.concat_ws(",", pair(0, 0), pair(2, 0), pair(2, 1), pair(0, 1))
+    text = F.concat(F.lit('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Point","coordinates":'), pair(0, 0), F.lit('}},{"type":"Feature","geometry":{"type":"Polygon","coordinates":[['), ring, F.lit("]]}}]}"))
+    found = symbols.geojson_table(c.select("c_custkey", text.alias("t")), ["c_custkey"], "t")
+    flat = F.flatten("parts")
+    return found.select("c_custkey", "kind", F.size(flat).cast("long").alias("n"), F.round(F.aggregate(flat, F.lit(0.0), lambda a, p: a + p["lon"]), 9).alias("total"))
