@@ -91,3 +91,8 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     if conf.get(BATCH_CONF, None) is None:
         conf.set(BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(_lean(f), schema)
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int = 100_000) -> int:
+    """Tasks for a small table: ``each`` rows in one, but no fewer than two a core."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from . import _shared
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round over edges (u, v) with u > v.
+def _stars(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
+    """One star round over edges (u, v) with u > v, in at most ``tasks`` tasks after each exchange.
 
     large: every larger neighbour of a node moves to the node's smallest
     neighbour; else the node and its smaller neighbours do. Minima are
@@ -24,7 +24,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         moved = moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where(F.col("u") != F.col("v")).distinct()
+    return moved.where(F.col("u") != F.col("v")).coalesce(tasks).distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,9 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    state = None
+    state, tasks = None, _shared.tasks_for(edges.sparkSession, edges.count())
     while True:
-        now = _shared.materialize(_stars(_stars(now, True), False), "stars")
+        now = _shared.materialize(_stars(_stars(now, True, tasks), False, tasks), "stars")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break

@@ -11,9 +11,9 @@
    (rare first, so that a common passage is in few prefixes). Shingles met by two
    components form blocks. A block becomes a signature tree: nodes hold the OR
    (and AND) of token bitmaps and the range of set sizes, and a dual traversal
-   drops node pairs by the largest overlap they could have. Blocks beyond
-   ``CHUNK`` rows are split into parts, and all pairs of parts that can hold rows
-   of two components are traversed.
+   drops node pairs by the largest overlap they could have. A large component
+   met by others is a block of its own, once for all shingles. Blocks beyond
+   ``CHUNK`` rows are split into parts.
 5. Surviving pairs of different components are verified on the full sets, for
    each component the likeliest first, and those that the links found put into one
    component no more.
@@ -42,9 +42,9 @@ NUM, DEN = 3, 4  # links: DEN * intersection >= NUM * union
 HASHES, AGREE = 6, 3
 NARROW, WIDE = 256, 1 << 17  # bits of a bitmap: the power of two from twice the size of the set, within these
 HOT_LOCAL, HOT_LEAST, HOT_MOST, HOT_SLICES = 2, 32, 1 << 21, 32
-LEAF, FANOUT, CHUNK, STAR_ROWS = 64, 4, 2048, 2000
+LEAF, FANOUT, CHUNK, APART, STAR_ROWS = 64, 4, 2048, 4, 2000
 MARKS = 1 << 20
-TURNS, CROWD, FEW = 4, 1, 0.1
+TURNS, CROWD, FEW, PAIRS = 4, 1, 0.1, 2000
 
 _FEATURES = "doc_id long, n int, fp1 long, fp2 long, mh array<long>, bits binary, token long, seen long"
 
@@ -358,6 +358,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     several salted groups.
     """
     pairs = _shared.materialize(pairs.distinct(), "pairs")
+    tasks = _shared.tasks_for(pairs.sparkSession, pairs.count(), PAIRS)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     marks = ids.select(_mark(F.col("doc_id")).alias("m")).distinct()
     texts = docs.select("doc_id", "text").withColumn("m", _mark(F.col("doc_id"))).join(F.broadcast(marks), "m", "left_semi").drop("m")
@@ -365,7 +366,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     members = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).join(texts.withColumnRenamed("doc_id", "b"), "b")
     leaders = degree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts.withColumnRenamed("doc_id", "a"), "a")
     rows = members.select("a", "salt", "b", "text").unionByName(leaders.select("a", "salt", F.lit(None).cast("long").alias("b"), "text"))
-    return _shared.map_arrow(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()), _check(k), "a long, b long")
+    return _shared.map_arrow(rows.repartition("a", "salt").coalesce(tasks).sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()), _check(k), "a long, b long")
 
 
 def similarity_components(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -410,27 +411,33 @@ def similarity_components(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def _dealt(held: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows of blocks: of each token that two components hold, every pair of rows of two components in one block at least.
+    """Rows of blocks that hold every pair of texts of two components that share a token.
 
-    A token's rows are in parts of ``CHUNK``, those of its largest component (if
-    that is beyond ``CHUNK``) apart from the others: parts of that component are
-    never paired with each other, so its size adds rows, not pairs of parts.
+    A token's rows of its largest component, from ``APART`` rows on, are no part of
+    the token's own block: the others meet that component as a whole, once for all
+    tokens, in a block of the component. So a large group's texts travel once, and
+    its size adds rows, not pairs of parts. Blocks beyond ``CHUNK`` rows are split
+    into parts, and all pairs of parts that can hold such pairs are dealt.
     """
     held = held.distinct()
     each = held.groupBy("token", "comp").agg(F.count("*").alias("c"))
     mixed = each.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("comps")).where("comps > 1")
-    apart = F.col("top.c") > CHUNK
-    rest = F.col("c") - F.when(apart, F.col("top.c")).otherwise(0)
-    parts = lambda n: F.ceil(n / CHUNK).cast("int")
-    mixed = mixed.select("token", F.when(apart, F.col("top.comp")).alias("large"), parts(rest).alias("light"), F.when(apart, parts(F.col("top.c"))).otherwise(0).alias("heavy"))
-    rows = held.join(mixed, "token").withColumn("heavy_row", F.coalesce(F.col("comp") == F.col("large"), F.lit(False)))
-    place = F.xxhash64("rep")
-    rows = rows.withColumn("own", F.when(F.col("heavy_row"), F.col("light") + F.pmod(place, F.greatest("heavy", F.lit(1)))).otherwise(F.pmod(place, "light")).cast("int"))
-    # A block of one part is a pair (i, i); a row of the large component meets the parts of the others only.
-    others = F.when(F.col("heavy_row"), F.col("light")).otherwise(F.col("light") + F.col("heavy"))
-    dealt = rows.withColumn("o", F.explode(F.sequence(F.lit(0), others - 1)))
-    dealt = dealt.select("token", "rep", F.least("own", "o").alias("ci"), F.greatest("own", "o").alias("cj"), (F.col("own") > F.col("o")).cast("int").alias("side"))
-    return dealt.join(known, "rep").select("token", "ci", "cj", "side", "rep", "comp", "n", "mh0", "bits")
+    apart = (F.col("top.c") >= APART).cast("int")
+    mixed = mixed.select("token", F.when(apart == 1, F.col("top.comp")).alias("large"), (F.col("c") - apart * F.col("top.c")).alias("c"), (F.col("comps") - apart).alias("comps"))
+    rows = held.join(mixed, "token").where(F.col("large").isNull() | (F.col("comp") != F.col("large")))
+    rows = _shared.materialize(rows.select("token", "rep", "large", "c", "comps"), "mixed")
+    place, parts = F.xxhash64("rep"), lambda n: F.ceil(n / CHUNK).cast("int")
+
+    # Of a token's own block the parts (i, j); a block of one part is a pair (0, 0).
+    own = rows.where("comps > 1").withColumn("parts", parts(F.col("c"))).withColumn("own", F.pmod(place, "parts").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.select("token", F.least("own", "o").alias("ci"), F.greatest("own", "o").alias("cj"), (F.col("own") > F.col("o")).cast("int").alias("side"), "rep")
+    # Of a component's block the parts (-1 - i of those who meet it, j of its own).
+    meets = _shared.materialize(rows.where("large is not null").select("large", "rep").distinct(), "meets")
+    members = known.select(F.col("comp").alias("large"), "rep")
+    sizes = meets.groupBy("large").agg(F.count("*").alias("n")).join(members.groupBy("large").agg(F.count("*").alias("m")), "large").select("large", parts(F.col("n")).alias("n"), parts(F.col("m")).alias("m"))
+    theirs = meets.join(sizes, "large").select(F.col("large").alias("token"), (-1 - F.pmod(place, "n")).cast("int").alias("ci"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("cj"), F.lit(1).alias("side"), "rep")
+    mine = members.join(sizes, "large").select(F.col("large").alias("token"), F.explode(F.sequence(-F.col("n"), F.lit(-1))).alias("ci"), F.pmod(place, "m").cast("int").alias("cj"), F.lit(0).alias("side"), "rep")
+    return own.unionByName(theirs).unionByName(mine).join(known, "rep").select("token", "ci", "cj", "side", "rep", "comp", "n", "mh0", "bits")
 
 
 def _contracted(pairs: DataFrame, comp: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -440,7 +447,8 @@ def _contracted(pairs: DataFrame, comp: DataFrame, docs: DataFrame, k: int) -> D
     verifies its likeliest pair only: true links join components, and the pairs
     inside a joined one need no texts. The pairs left over are verified all.
     """
-    most, share = CROWD * comp.count(), 1.0
+    texts, share = comp.count(), 1.0
+    most, tasks = CROWD * texts, _shared.tasks_for(docs.sparkSession, texts)
     for turn in range(TURNS + 1):
         ca, cb = comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
         open_ = _shared.materialize(pairs.join(ca, "a").join(cb, "b").where("ca != cb").select("a", "b", "most", "ca", "cb"), "open")
@@ -453,7 +461,7 @@ def _contracted(pairs: DataFrame, comp: DataFrame, docs: DataFrame, k: int) -> D
         links = _shared.materialize(verify(open_.select("a", "b") if last else best, docs, k), "links")
         joined = links.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
         new = components(_shared.materialize(joined, "joined"))
-        comp = _shared.materialize(comp.join(new, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("component", "comp").alias("comp")), "comp")
+        comp = _shared.materialize(comp.join(new, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("component", "comp").alias("comp")).coalesce(tasks), "comp")
         if last:
             return comp
         share = links.count() / first
