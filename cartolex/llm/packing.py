@@ -14,7 +14,8 @@ Defined cases: a text longer than ``max_len`` tokens becomes several sequences
 (``piece`` 0, 1, ...) that together hold all its tokens; a null or empty text is
 one sequence of the end token alone; rows with the same id are told apart by
 their text and, if that is the same too, share ranks arbitrarily but each has
-its own; extra columns are dropped; an empty table gives no batches.
+its own; rows of null id are dealt by their place in the table; extra columns
+are dropped; an empty table gives no batches.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget
     spark = docs.sparkSession
     if budget < max_len:
         raise ValueError("budget must hold the longest sequence")
-    seqs = _shared.materialize(sequences(docs, max_len, tokens).withColumn("shard", F.coalesce(F.pmod("doc_id", F.lit(shards)), F.lit(0)).cast("int")), "sequences")
+    seqs = _shared.materialize(sequences(docs, max_len, tokens).withColumn("shard", F.pmod(F.coalesce("doc_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")), "sequences")
     # At most max_len * shards rows, counted map-side; the driver sees max_len of them.
     cells = seqs.groupBy("n_tokens", "shard").agg(F.count("*").alias("n"))
     counted = {r[0]: r[1] for r in cells.groupBy("n_tokens").agg(F.sum("n")).collect()}

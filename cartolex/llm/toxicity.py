@@ -16,14 +16,18 @@ and whole texts are scored.
 
 Defined cases: null and empty texts score as a window without words (the bias
 alone); without labels of both kinds every score is the share of label 1, or 0;
-a document with several labels is toxic if any is; extra columns are dropped.
+a document with several labels is toxic if any is; labels of null ids are not
+learned from, and rows of null id are scored like others and not held out;
+repeated rows score alike, and those of a sampled id are learned from once for
+each distinct text, ``COPIES`` at most; extra columns are dropped; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _shared, _text
@@ -34,6 +38,7 @@ SLOTS, WIDTH, GRAMS = 1 << 16, 16, (3, 4, 5)
 WINDOW, STRIDE = 12, 6
 POSITIVES, NEGATIVES = 1000, 2000
 EPOCHS, BATCH, RATE, START = 4, 64, 0.5, 1.0
+COPIES = 4
 THRESHOLD = 0.3
 
 _KEEP = np.zeros(256, bool)
@@ -199,7 +204,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     pick = lambda kind, n: known.where(F.col("toxic") == kind).orderBy("h", "doc_id").limit(n)
     ids = pick(1, positives).unionByName(pick(0, negatives)).drop("h")  # at most positives + negatives rows
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    # An id may repeat: the driver gets a bounded number of rows of each.
+    one = found.dropDuplicates(["doc_id", "text"]).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return one.where(F.col("r") <= COPIES).drop("r")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -216,7 +224,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).orderBy("doc_id").collect()
+    rows = training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).orderBy("doc_id", "text").collect()
     model = fit([r.text for r in rows], [int(r.toxic) for r in rows])
     held = F.coalesce(fold(4) == 2, F.lit(False))
     return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
