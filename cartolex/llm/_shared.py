@@ -38,12 +38,19 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and
-    a lost executor costs a reread instead of a recomputation."""
+    a lost executor costs a reread instead of a recomputation.
+
+    ``release``: the driver collects its garbage, upon which Spark deletes the files
+    of exchanges that no plan needs any more; else they stay until it happens to.
+    """
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -318,7 +318,7 @@ def _segment_rows(slots: int):
                 own = one[at]
                 _, text_of = np.unique(col["print"][own], return_index=True)  # a text that its document repeats is sent once
                 text = b"".join(texts[chunk[i]][0][los[i] : los[i] + col["size"][i]].tobytes() for i in own[text_of])
-                head = np.stack([col["id"][own], col["row"][own], col["start"][own], col["size"][own], col["print"][own].view(np.int64), col["key"][own].view(np.int64)]).astype("<i8").tobytes()
+                head = packed_head(col["id"][own], col["row"][own], col["print"][own], col["start"][own], col["key"][own], col["size"][own])
                 out.append((s, SEGMENT, head, packer.compress(text), b""))
                 size += len(head) + len(out[-1][3])
                 if size >= HELD:
@@ -330,6 +330,22 @@ def _segment_rows(slots: int):
     return run
 
 
+#: columns of a segment: id, row, print, start in the text (below 4 GB), anchor (32 bits: groups that meet by chance are sorted together), size
+_HEAD = ("<i8", "<i8", "<u8", "<u4", "<u4", "<u2")
+
+
+def packed_head(*columns: np.ndarray) -> bytes:
+    return b"".join((x & np.array(0xFFFFFFFF, x.dtype) if t == "<u4" else x).astype(t).tobytes() for x, t in zip(columns, _HEAD, strict=True))
+
+
+def head_of(b: bytes) -> list[np.ndarray]:
+    n, at, out = len(b) // sum(np.dtype(t).itemsize for t in _HEAD), 0, []
+    for t in _HEAD:
+        out.append(np.frombuffer(b, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out
+
+
 def repeated_windows(ids: np.ndarray, size: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, start, end) of the bytes of segments that windows of smaller ids' segments repeat."""
     at = np.concatenate([[0], np.cumsum(size + 1)])
@@ -370,11 +386,10 @@ def _shards(slots: int):
             unpacker = zstandard.ZstdDecompressor()
             heads, known, sizes, raws = [], [], [], []
             for _, a, b, _ in own:
-                h = np.frombuffer(a, "<i8").reshape(6, -1)
-                own_prints, first = np.unique(h[4].view(U), return_index=True)
-                heads.append(h)
+                heads.append(head_of(a))
+                own_prints, first = np.unique(heads[-1][2], return_index=True)
                 known.append(own_prints)
-                sizes.append(h[3][first])
+                sizes.append(heads[-1][5][first].astype(np.int64))
                 raws.append(np.frombuffer(unpacker.decompress(b, max_output_size=int(sizes[-1].sum())), np.uint8))
             del own, rows
             # Where the text of each print begins; several rows may bring it.
@@ -383,9 +398,9 @@ def _shards(slots: int):
             known, first = np.unique(known, return_index=True)
             lie = lie[first]
             del raws
-            ids, row, start, size, prints, keys = np.concatenate(heads, 1)
+            ids, row, prints, start, keys, size = (np.concatenate(x) for x in zip(*heads, strict=True))
             del heads
-            prints, keys = prints.view(U), keys.view(U)
+            start, size = start.astype(np.int64), size.astype(np.int64)
             one, again = _collapse(prints, ids)
             yield _rows(_cut_rows(row[again], start[again], start[again] + size[again], slots))
             # Distinct texts by anchor; equal windows have one anchor, so anchors can be sorted in turns.
@@ -478,9 +493,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
             yield _rows([(s, COPY, row[at].tobytes(), b"", b"") for s, at in _by_slot(_slot(row, slots), slots)])
 
     shared = _shared.map_arrow(deal(_shared.map_arrow(docs, _anchor_rows(slots), ROW)), _compare(slots), ROW)
-    shared = _shared.materialize(shared, "anchors")
+    shared = _shared.materialize(shared, "anchors", release=True)
     segments = _shared.map_arrow(deal(shared.unionByName(_shared.map_arrow(docs, _text_rows(slots), ROW))), _segment_rows(slots), ROW)
-    cuts = _shared.materialize(_shared.map_arrow(deal(segments), _shards(slots), ROW), "cuts")
+    cuts = _shared.materialize(_shared.map_arrow(deal(segments), _shards(slots), ROW), "cuts", release=True)
     last = cuts.unionByName(_shared.map_arrow(copies, copy_rows, ROW)).unionByName(_shared.map_arrow(docs, _text_rows(slots), ROW))
     out = _shared.map_arrow(deal(last), _kept(with_text), RESULT)
     return out if with_text else out.drop("kept")
