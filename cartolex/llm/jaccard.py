@@ -395,16 +395,16 @@ def similarity_components(docs: DataFrame, k: int = 5) -> DataFrame:
     stars = mins.join(lead, ["i", "token"]).where(fits).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
     same_id = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     links = verify(stars, docs, k).unionByName(same_id)
-    first = _shared.materialize(components(_shared.materialize(links, "links")), "first")
+    first = _shared.materialize(components(_shared.materialize(links, "links", release=True)), "first")
     known = classes.select("rep", "n", F.col("mh")[0].alias("mh0"), "bits").join(first, F.col("rep") == F.col("node"), "left").select("rep", "n", "mh0", "bits", F.coalesce("component", "rep").alias("comp"))
     known = _shared.materialize(known, "known")
 
     prefixes = _shared.map_arrow(docs.where(F.col("doc_id").isNotNull()), _prefixes(k, shared), "token long, doc_id long")
     met = _shared.map_arrow(prefixes.repartition("token").sortWithinPartitions("token"), _met, "token long, doc_id long")
     held = met.join(members, "doc_id").select("token", "rep").join(known.select("rep", "comp"), "rep").select("token", "rep", "comp")
-    held = _shared.materialize(held, "met")
+    held = _shared.materialize(held, "met", release=True)
     pairs = _shared.map_arrow(_dealt(held, known).repartition("token", "ci", "cj").sortWithinPartitions("token", "ci", "cj", "side"), _blocks, "a long, b long, most long")
-    comp = _contracted(_shared.materialize(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "candidates"), known.select("rep", "comp"), docs, k)
+    comp = _contracted(_shared.materialize(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "candidates", release=True), known.select("rep", "comp"), docs, k)
     named = members.join(comp, "rep").groupBy("doc_id").agg(F.min("comp").alias("component_id"))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(named, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -425,7 +425,7 @@ def _dealt(held: DataFrame, known: DataFrame) -> DataFrame:
     apart = (F.col("top.c") >= APART).cast("int")
     mixed = mixed.select("token", F.when(apart == 1, F.col("top.comp")).alias("large"), (F.col("c") - apart * F.col("top.c")).alias("c"), (F.col("comps") - apart).alias("comps"))
     rows = held.join(mixed, "token").where(F.col("large").isNull() | (F.col("comp") != F.col("large")))
-    rows = _shared.materialize(rows.select("token", "rep", "large", "c", "comps"), "mixed")
+    rows = _shared.materialize(rows.select("token", "rep", "large", "c", "comps"), "mixed", release=True)
     place, parts = F.xxhash64("rep"), lambda n: F.ceil(n / CHUNK).cast("int")
 
     # Of a token's own block the parts (i, j); a block of one part is a pair (0, 0).
