@@ -50,13 +50,31 @@ def dash_runs(length: float, dashes: list[float], width: float, most: int = 4096
     return out
 
 
-def dash_table(lines: DataFrame, dashes: list[float]) -> DataFrame:
-    """(id, k, t0, t1) for lines (id, length, width), as native expressions: runs of an on-off pair of lengths."""
-    on, off = (F.greatest(F.lit(float(x)), F.lit(0.0)) * F.col("width") for x in dashes[:2])
-    n = F.greatest(F.ceil(F.col("length") / (on + off)).cast("int"), F.lit(1))
-    k = F.explode(F.sequence(F.lit(0), n - 1))
-    out = lines.select("id", "length", on.alias("on"), (on + off).alias("period"), k.alias("k"))
-    return out.select("id", "k", (F.col("k") * F.col("period")).alias("t0"), F.least(F.col("k") * F.col("period") + F.col("on"), F.col("length")).alias("t1")).where("t0 < t1")
+def dash_table(lines: DataFrame, dashes: list[float], most: int = 4096) -> DataFrame:
+    """(id, k, t0, t1) for lines (id, length, width), as native expressions.
+
+    The pattern is in multiples of the width; a dash over the end of a period is
+    one dash; more than ``most`` periods, or no gaps, are one solid run.
+    """
+    length, solid = F.col("length"), lambda df: df.select("id", F.lit(0).alias("k"), F.lit(0.0).alias("t0"), F.col("length").alias("t1"))
+    p = dash_pattern(dashes, 1.0)
+    if p is None:
+        return solid(lines)
+    if not p:
+        return solid(lines.limit(0))
+    period, starts = sum(p), np.concatenate([[0.0], np.cumsum(p)[1:-1:2]]).tolist()
+    runs = [[at, on, False] for at, on in zip(starts, p[::2], strict=True) if on > 0]
+    if p[-1] == 0 and len(runs) > 1 and runs[0][0] == 0:  # the last dash goes on as the first of the next period
+        runs[-1][1] += runs[0][1]
+        runs[0][2] = True
+    cycles = length / (F.lit(period) * F.col("width"))
+    few = cycles <= most
+    n = F.greatest(F.ceil(F.when(few, cycles).otherwise(1)).cast("int"), F.lit(1))
+    one = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(on).alias("on"), F.lit(once).alias("once")) for i, (a, on, once) in enumerate(runs)))
+    out = lines.where(few).select("id", "length", "width", F.explode(F.sequence(F.lit(0), n - 1)).alias("c")).select("*", F.explode(one).alias("r")).where(~F.col("r.once") | (F.col("c") == 0))
+    t0 = (F.col("c") * F.lit(period) + F.col("r.a")) * F.col("width")
+    out = out.select("id", (F.col("c") * len(runs) + F.col("r.i")).alias("k"), t0.alias("t0"), F.least(t0 + F.col("r.on") * F.col("width"), length).alias("t1")).where("t0 < t1")
+    return out.unionByName(solid(lines.where(~few)))
 
 
 def anchors_along(points: np.ndarray, spacing: float, center: bool = False, extent: float | None = None, max_angle: float | None = None, window: float = 0.0) -> list[tuple[float, float, float]]:
@@ -309,15 +327,32 @@ def decode_elevation(r: Column, g: Column, b: Column, encoding: str = "mapbox")
     return (r * 65536.0 + g * 256.0 + b) * 0.1 - 10000.0
 
 
-def hillshade(grid: np.ndarray, cell: float, azimuth: float = 335.0, exaggeration: float = 0.5) -> np.ndarray:
-    """Signed departure from flat ground's light (0 where it is flat): Horn's 3x3 slopes, clamped edges, a sun at 45 degrees."""
+def _lit(grid: np.ndarray, cell: float, azimuth: float, exaggeration: float) -> tuple[np.ndarray, np.ndarray]:
+    """(signed departure from flat ground's light as a share of what is possible, steepness), by Horn's 3x3 slopes with clamped edges."""
     p = np.pad(np.asarray(grid, float), 1, mode="edge")
     at = lambda dy, dx: p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx]
-    dx = (at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1)) / (8 * cell) * exaggeration
-    dy = (at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)) / (8 * cell) * exaggeration
-    sun, up = math.radians(azimuth), math.sin(math.radians(45))
-    lx, ly = math.sin(sun) * up, -math.cos(sun) * up
-    return (up - dx * lx - dy * ly) / np.sqrt(1 + dx * dx + dy * dy) - up
+    scale = exaggeration / (2 * max(cell, 1e-4))
+    dx = (at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1)) * scale
+    dy = (at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)) * scale
+    flat = math.sin(math.radians(45))  # the sun's height is fixed
+    steep = np.sin(np.arctan(np.hypot(dx, dy)))
+    turn = math.radians(90 - azimuth) - np.arctan2(dy, -dx)
+    light = np.clip(flat * np.sqrt(1 - steep * steep) + flat * steep * np.cos(turn), 0, 1)
+    return np.where(light < flat, (light - flat) / flat, (light - flat) / (1 - flat)), steep
+
+
+def hillshade(grid: np.ndarray, cell: float, azimuth: float = 335.0, exaggeration: float = 0.5) -> np.ndarray:
+    """Signed departure from flat ground's light: 0 where it is flat, -1 in full shadow, 1 in full light."""
+    return _lit(grid, cell, azimuth, exaggeration)[0]
+
+
+def hillshade_rgba(grid: np.ndarray, cell: float, azimuth: float = 335.0, exaggeration: float = 0.5, shadow=(0.0, 0.0, 0.0, 1.0), highlight=(1.0, 1.0, 1.0, 1.0), accent=(0.0, 0.0, 0.0, 1.0)) -> np.ndarray:
+    """The overlay's colours (h, w, 4): shadow or highlight by the departure, which is their alpha, towards the accent by a share of the steepness."""
+    away, steep = _lit(grid, cell, azimuth, exaggeration)
+    base = np.where((away < 0)[..., None], np.array(shadow), np.array(highlight))
+    out = base + (np.array(accent) - base) * (0.35 * np.clip(steep, 0, 1))[..., None]
+    out[..., 3] = np.clip(out[..., 3] * np.abs(away), 0, 1)
+    return out
 
 
 def hillshade_table(pixels: DataFrame, cell: float, azimuth: float = 335.0, exaggeration: float = 0.5, tile: list[str] = ("z", "x", "y")) -> DataFrame:

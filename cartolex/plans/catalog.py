@@ -347,6 +347,15 @@ def _dash_runs(spark, sf_dir):
     return layout.dash_table(lines, [3, 2])
 
 
+@query("dash_pattern", """
+WITH l AS (SELECT p_partkey AS id, (p_size * 3 + 0.5)::DOUBLE AS length, (1 + p_partkey % 2)::DOUBLE AS width FROM part), r(i, a, n) AS (VALUES (0, 0, 2), (1, 3, 1), (2, 6, 1))
+SELECT id, (c * 3 + i)::INT AS k, (c * 8 + a) * width AS t0, least((c * 8 + a + n) * width, length) AS t1 FROM (SELECT *, unnest(range(greatest(ceil(length / (8 * width)), 1)::BIGINT)) AS c FROM l), r WHERE (c * 8 + a) * width < length""")
+def _dash_pattern(spark, sf_dir):
+    """An odd number of lengths counts twice: 2 1 1 2 1 1."""
+    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 3 + 0.5).cast("double").alias("length"), (1 + F.col("p_partkey") % 2).cast("double").alias("width"))
+    return layout.dash_table(lines, [2, 1, 1])
+
+
 @query("line_anchors")
 def _line_anchors(spark, sf_dir):
     def run(batches):
@@ -383,12 +392,23 @@ def _dem(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(layout.decode_elevation(r, g, b), 6).alias("mapbox"), layout.decode_elevation(r, g, b, "terrarium").alias("terrarium"))
 
 
-@query("hillshade")
+_AT = lambda n, dx, dy: f"JOIN g {n} ON {n}.t = g.t AND {n}.x = least(greatest(g.x + {dx}, 0), g.w - 1) AND {n}.y = least(greatest(g.y + {dy}, 0), 3)"
+
+
+@query("hillshade", f"""
+WITH s AS (SELECT (s_nationkey % 5)::INT AS t, s_acctbal AS e, row_number() OVER (PARTITION BY s_nationkey % 5 ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY s_nationkey % 5) // 4 AS w FROM supplier),
+g AS (SELECT t, w, i, (i % w)::INT AS x, (i // w)::INT AS y, e FROM s WHERE i < 4 * w),
+d AS (SELECT g.t, g.i, ((c.e + 2 * f.e + i.e) - (a.e + 2 * d.e + g2.e)) * 0.5 / 60 AS dx, ((g2.e + 2 * h.e + i.e) - (a.e + 2 * b.e + c.e)) * 0.5 / 60 AS dy FROM g
+  {_AT('a', -1, -1)} {_AT('b', 0, -1)} {_AT('c', 1, -1)} {_AT('d', -1, 0)} {_AT('f', 1, 0)} {_AT('g2', -1, 1)} {_AT('h', 0, 1)} {_AT('i', 1, 1)}),
+l AS (SELECT t, i, sin(radians(45)) AS z, least(greatest(sin(radians(45)) * cos(atan(sqrt(dx * dx + dy * dy))) + cos(radians(45)) * sin(atan(sqrt(dx * dx + dy * dy))) * cos(radians(90 - 335) - atan2(dy, -dx)), 0), 1) AS v FROM d)
+SELECT t AS tile, i::INT AS i, round(CASE WHEN v < z THEN (v - z) / z ELSE (v - z) / (1 - z) END, 6)::DOUBLE AS shade FROM l""")
 def _hillshade(spark, sf_dir):
     row = F.struct(F.col("s_suppkey"), F.col("s_acctbal"))
-    grid = table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") % 5).cast("int").alias("x")).agg(F.sort_array(F.collect_list(row)).alias("r"), F.count("*").cast("int").alias("w"))
-    tile = grid.select(F.lit(0).alias("z"), "x", F.lit(0).alias("y"), "w", F.lit(1).alias("h"), F.transform("r", lambda s: s["s_acctbal"]).alias("elevation"))
-    return layout.hillshade_table(tile, 30.0)
+    grid = table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") % 5).cast("int").alias("x")).agg(F.sort_array(F.collect_list(row)).alias("r"), F.expr("cast(count(*) div 4 as int)").alias("w"))
+    heights = F.slice(F.transform("r", lambda s: s["s_acctbal"]), F.lit(1), 4 * F.col("w"))
+    tile = grid.select(F.lit(0).alias("z"), "x", F.lit(0).alias("y"), "w", F.lit(4).alias("h"), heights.alias("elevation"))
+    out = layout.hillshade_table(tile, 30.0).select(F.col("x").alias("tile"), F.posexplode("shade").alias("i", "shade"))
+    return out.withColumn("shade", F.round("shade", 6))
 
 
 @query("color_relief", "SELECT s_suppkey, round(CASE WHEN s_acctbal <= 0 THEN 0 WHEN s_acctbal < 5000 THEN s_acctbal / 5000 WHEN TRUE THEN 1 END, 6)::DOUBLE AS r FROM supplier")
