@@ -268,17 +268,17 @@ def _add(batches):
 
 
 @lru_cache(1 << 14)
-def _masks(piece: bytes) -> dict[int, int]:
+def _masks(piece: bytes, kind: str) -> dict[int, int]:
     """Positions of each word of a piece, as bits."""
     masks: dict[int, int] = {}
-    for i, t in enumerate(np.frombuffer(piece, np.int32).tolist()):
+    for i, t in enumerate(np.frombuffer(piece, kind).tolist()):
         masks[t] = masks.get(t, 0) | 1 << i
     return masks
 
 
 def common(piece: np.ndarray, text: np.ndarray) -> int:
     """Length of the longest common subsequence of two runs of terms, in bit-parallel form."""
-    masks = _masks(piece.astype(np.int32).tobytes())
+    masks = _masks(piece.tobytes(), piece.dtype.str)
     full, v = (1 << len(piece)) - 1, (1 << len(piece)) - 1
     for t in text.tolist():
         m = masks.get(t)
