@@ -77,7 +77,13 @@ project("expr_interp_linear", "orders", ["o_orderkey"], {"w": ["interpolate", ["
         "SELECT o_orderkey, round(CASE WHEN o_totalprice <= 1000 THEN 1 WHEN o_totalprice < 100000 THEN 1 + (o_totalprice - 1000) / 99000 * 4 WHEN o_totalprice < 400000 THEN 5 + (o_totalprice - 100000) / 300000 * 15 ELSE 20 END, 9)::DOUBLE AS w FROM orders", ("w",))
 project("expr_interp_exp", "orders", ["o_orderkey"], {"w": ["interpolate", ["exponential", 1.5], ["/", get("o_totalprice"), 100000], 0, 0, 6, 12]},
         "SELECT o_orderkey, round(CASE WHEN p <= 0 THEN 0 WHEN p < 6 THEN (pow(1.5, p) - 1) / (pow(1.5, 6) - 1) * 12 ELSE 12 END, 9)::DOUBLE AS w FROM (SELECT o_orderkey, o_totalprice / 100000 AS p FROM orders)", ("w",))
-project("expr_interp_bezier", "orders", ["o_orderkey"], {"w": ["interpolate", ["cubic-bezier", 0.42, 0, 0.58, 1], ["/", get("o_totalprice"), 100000], 0, 0, 5, 10]}, None, ("w",))
+project("expr_interp_bezier", "orders", ["o_orderkey"], {"w": ["interpolate", ["cubic-bezier", 0.42, 0, 0.58, 1], ["/", get("o_totalprice"), 100000], 0, 0, 5, 10]}, """
+WITH RECURSIVE h AS (
+  SELECT o_orderkey, o_totalprice / 100000 / 5 AS t, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS n FROM orders
+  UNION ALL
+  SELECT o_orderkey, t, CASE WHEN 3 * 0.42 * m * (1 - m) * (1 - m) + 3 * 0.58 * m * m * (1 - m) + m * m * m < t THEN m ELSE lo END, CASE WHEN 3 * 0.42 * m * (1 - m) * (1 - m) + 3 * 0.58 * m * m * (1 - m) + m * m * m < t THEN hi ELSE m END, n + 1
+  FROM (SELECT *, (lo + hi) / 2 AS m FROM h WHERE n < 30))
+SELECT o_orderkey, round(CASE WHEN t <= 0 THEN 0 WHEN t >= 1 THEN 10 ELSE 10 * (3 * m * m * (1 - m) + m * m * m) END, 9)::DOUBLE AS w FROM (SELECT *, (lo + hi) / 2 AS m FROM h WHERE n = 30)""", ("w",))
 project("expr_arith", "lineitem", LINE, {"a": ["+", get("l_quantity"), get("l_tax"), 1], "b": ["-", 1, ["*", get("l_quantity"), 2, get("l_discount")]], "c": ["^", get("l_quantity"), 2], "d": ["%", get("l_extendedprice"), 7]},
         "SELECT l_orderkey, l_linenumber, round(l_quantity + l_tax + 1, 9) AS a, round(1 - l_quantity * 2 * l_discount, 9) AS b, round(pow(l_quantity, 2), 9) AS c, round(l_extendedprice - 7 * floor(l_extendedprice / 7), 9) AS d FROM lineitem", ("a", "b", "c", "d"))
 project("expr_div_zero", "lineitem", LINE, {"q": ["==", ["/", get("l_quantity"), ["-", get("l_linenumber"), 3]], ["/", 1, 0]]},
