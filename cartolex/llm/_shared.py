@@ -7,12 +7,14 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_OPEN: list[list[str]] = []  # paths of each open scratch
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
@@ -38,7 +40,20 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession):
+    """Work tables written inside are deleted at the end, but for those written with ``keep``: what is returned must read no others."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _OPEN.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(hadoop).delete(where, True)
+
+
+def materialize(df: DataFrame, label: str, release: bool = False, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and
     a lost executor costs a reread instead of a recomputation.
 
@@ -48,6 +63,8 @@ def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     if release:
         gc.collect()
         spark.sparkContext._jvm.System.gc()

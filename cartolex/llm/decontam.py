@@ -475,7 +475,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     row = "leak_row"
     while row in docs.columns:
         row += "_"
-    bad = _shared.materialize(leaks(docs.where(F.col("doc_id").isNotNull()), benchmark).select("doc_id").distinct(), "leaks")
+    with _shared.scratch(docs.sparkSession):
+        bad = _shared.materialize(leaks(docs.where(F.col("doc_id").isNotNull()), benchmark).select("doc_id").distinct(), "leaks", release=True, keep=True)
     kept = docs.where(F.col("doc_id").isNotNull()).join(bad, docs["doc_id"] == bad["doc_id"], "left_anti")
     nameless = _shared.materialize(docs.where(F.col("doc_id").isNull()).withColumn(row, F.monotonically_increasing_id()), "nameless")  # stored: the keys must not change
     if nameless.isEmpty():

@@ -371,6 +371,11 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
 
 def similarity_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
+    with _shared.scratch(docs.sparkSession):
+        return _shared.materialize(_similarity_components(docs, k), "alike", release=True, keep=True)
+
+
+def _similarity_components(docs: DataFrame, k: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = _shared.materialize(_shared.map_arrow(docs, _features(k), _FEATURES), "features")

@@ -55,8 +55,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that repeat 50 bytes of a document of a smaller id are cut out of the text; a character cut in two goes whole."""
-    cut = remove_repeats(docs, with_text=True).where("n_removed > 0").select("row", "kept")
-    cut = _shared.materialize(cut.dropDuplicates(["row"]), "cut")  # rows alike in id and text lose the same
+    with _shared.scratch(spark):
+        cut = remove_repeats(docs, with_text=True).where("n_removed > 0").select("row", "kept")
+        cut = _shared.materialize(cut.dropDuplicates(["row"]), "cut", release=True, keep=True)  # rows alike in id and text lose the same
     key, new = _fresh("row", docs), _fresh("kept", docs)
     cut = cut.select(F.col("row").alias(key), F.col("kept").alias(new))
     joined = docs.withColumn(_fresh("own", docs), row_key()).join(cut, F.col(_fresh("own", docs)) == F.col(key), "left")
