@@ -40,7 +40,7 @@ from . import _shared, _text
 from .langid import fold
 
 U = np.uint64
-ORDER, QUERY_ORDER = 3, 2  # trigrams need 9 times the input on disk (README), so the query, which has 4 times, takes bigrams
+ORDER = 3
 BOS, END = U(1), U(2)
 HELD, SENT = 1_500_000, 1 << 16
 #: kinds of rows
@@ -366,6 +366,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def op2_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.coalesce(fold(5) == 1, F.lit(False))
-    model = train(docs.where(~held), QUERY_ORDER)
+    model = train(docs.where(~held))
     scored = score(docs, model).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

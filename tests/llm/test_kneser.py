@@ -103,3 +103,12 @@ def test_empty_table_and_null_ids(spark):
     rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "")], "doc_id long, text string")
     got = kneser.score(rows, model).collect()
     assert [r.score for r in got] == [0.0] * 3 and sorted(r.n_tokens for r in got) == [1, 3, 3] and {r.n_known for r in got} == {0}
+
+
+def test_query_takes_trigrams(spark, tmp_path):
+    texts = [f"{a} b {c} d {a} b {c}" for a, c in ("ac", "xy", "ay", "ac", "xc") * 4]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in kneser.op2_lm_score(spark, str(tmp_path)).collect()}
+    plain = Plain([t for i, t in enumerate(texts) if not got[i].held_out], 3)
+    assert {r.held_out for r in got.values()} == {True, False}
+    assert [got[i].score for i in range(len(texts))] == pytest.approx([plain.score(t) for t in texts])
