@@ -8,12 +8,15 @@
    that group, and verified links are contracted. This is an accelerator: large
    groups of near copies become one component for the price of their size.
 4. Every text emits the prefix of its shingles that any partner must meet
-   (rare first, so that a common passage is in few prefixes). Shingles met by two
-   components form blocks. A block becomes a signature tree: nodes hold the OR
-   (and AND) of token bitmaps and the range of set sizes, and a dual traversal
-   drops node pairs by the largest overlap they could have. A large component
-   met by others is a block of its own, once for all shingles. Blocks beyond
-   ``CHUNK`` rows are split into parts.
+   (rare first, so that a common passage is in few prefixes); of the smaller of
+   two sets, the partner must meet a shorter one, so rows without a partner of
+   fitting size and place go at once. Shingles met by two components form blocks.
+   A block becomes a signature tree: nodes hold the OR (and AND) of token bitmaps
+   and the range of set sizes, and a dual traversal drops node pairs by the
+   largest overlap they could have. A large component met by others is a block of
+   its own, once for all shingles; its texts come along and are verified there, so
+   that its size adds no candidate rows. Blocks beyond ``CHUNK`` rows are split
+   into parts.
 5. Surviving pairs of different components are verified on the full sets, for
    each component the likeliest first, and those that the links found put into one
    component no more.
@@ -43,6 +46,8 @@ HASHES, AGREE = 6, 3
 NARROW, WIDE = 256, 1 << 17  # bits of a bitmap: the power of two from twice the size of the set, within these
 HOT_LOCAL, HOT_LEAST, HOT_MOST, HOT_SLICES = 2, 32, 1 << 21, 32
 LEAF, FANOUT, CHUNK, APART, STAR_ROWS = 64, 4, 2048, 4, 2000
+SHINGLES = 1 << 20  # of a part of a component's block
+LINKED = -1  # in place of a candidate's largest overlap
 MARKS = 1 << 20
 TURNS, CROWD, FEW, PAIRS = 4, 1, 0.1, 2000
 
@@ -106,6 +111,11 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - -(-NUM * n // DEN) + 1
 
 
+def lead_length(n: np.ndarray) -> np.ndarray:
+    """The same for linked sets that are not smaller: their prefix meets this one."""
+    return n - -(-2 * NUM * n // (DEN + NUM)) + 1
+
+
 def _prefixes(k: int, hot):
     def run(batches):
         common = hot.value
@@ -119,33 +129,56 @@ def _prefixes(k: int, hot):
                     last = common[where] == h
                     order = np.lexsort((last, doc)) if last.any() else slice(None)  # stable: hashes stay in order
                     h, doc = h[order], doc[order]
-                keep = np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(prefix_length(n), n)
+                place = np.arange(len(h)) - np.repeat(at[:-1], n)
+                keep = place < np.repeat(prefix_length(n), n)
+                lead = place < np.repeat(lead_length(n), n)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ids[doc[keep]].astype(np.int64))], ["token", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(ids[doc[keep]].astype(np.int64)), pa.array((2 * n[doc[keep]] + lead[keep]).astype(np.int64))], ["token", "doc_id", "size"])
 
     return run
 
 
+def _paired(run: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows with a row of their run that could be linked by it: the sizes (half of ``size``) fit, and the last bit of the smaller one, its lead, is set."""
+    n, lead = size >> 1, (size & 1).astype(bool)
+    by = np.lexsort((n, run))
+    r, n, lead = run[by], n[by], lead[by]
+    fits = lambda small, large: (r[small] == r[large]) & (DEN * n[small] >= NUM * n[large])
+    at = np.arange(len(r))
+    ok = np.zeros(len(r), bool)
+    ok[:-1] = lead[:-1] & fits(at[:-1], at[1:])  # the next larger one; if it does not fit, none does
+    before = np.concatenate([[-1], np.maximum.accumulate(np.where(lead, at, -1))[:-1]])
+    some = np.flatnonzero(before >= 0)
+    ok[some] |= fits(before[some], some)
+    out = np.empty(len(r), bool)
+    out[by] = ok
+    return out
+
+
 def _met(batches):
-    """Of rows sorted by token: those whose token has a row of another id. Holds one row."""
-    token, doc, open_ = None, None, False
+    """Of rows sorted by token: those that could be linked by it with a row of another id. Holds one row.
+
+    Of a token whose rows come in several batches, all rows if there are two ids.
+    """
+    token, doc, size, open_ = None, None, 0, False
     for b in batches:
         if not b.num_rows:
             continue
-        t, d = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if token is not None:
-            t, d = np.concatenate([[token], t]), np.concatenate([[doc], d])
+        t, d, z = (b.column(i).to_numpy() for i in range(3))
+        begun = token is not None
+        if begun:
+            t, d, z = np.concatenate([[token], t]), np.concatenate([[doc], d]), np.concatenate([[size], z])
         same = np.zeros(len(t), bool)
         same[1:] = t[1:] == t[:-1]
         run = np.cumsum(~same) - 1
         met = np.bincount(run, same & np.concatenate([[False], d[1:] != d[:-1]])) > 0
         if open_:
             met[0] = True
-        out = met[run]
+        out = met[run] & (_paired(run, z) | (run == run[-1]) | (begun & (run == 0)))
         if open_:
             out[0] = False  # given out with the batch before
         # Rows of a run that has met no other id are all alike: one of them goes on.
-        token, doc, open_ = int(t[-1]), int(d[-1]), bool(met[-1])
+        token, doc, size, open_ = int(t[-1]), int(d[-1]), int(z[-1]), bool(met[-1])
         if out.any():
             yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(d[out])], ["token", "doc_id"])
 
@@ -273,8 +306,28 @@ class Rows:
                     yield p[i], q[j]
 
 
-def _blocks(batches):
-    """Candidate pairs of blocks; rows come sorted by (token, ci, cj, side)."""
+def _whole(rows: Rows, block: np.ndarray, text, k: int) -> pa.RecordBatch:
+    """Verified links of a component's block (side 0) with those who meet it: one for each of their components, the likeliest pairs first."""
+    h, at = _text.shingles(_text.Words(text), k)
+    sets = lambda i: h[at[i - block[0]] : at[i - block[0] + 1]]
+    comp, linked, out = rows.col["comp"], set(), []
+    for i, j in rows.large(block):
+        p, most = rows.fits(i, j)
+        for x in p[np.argsort(-most, kind="stable")].tolist():
+            a, b = i[x], j[x]
+            if comp[b] not in linked and _linked(sets(a), sets(b)):
+                linked.add(comp[b])
+                out.append(sorted((int(rows.col["rep"][a]), int(rows.col["rep"][b]))))
+    both = np.array(out, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(len(both), LINKED))], ["a", "b", "most"])
+
+
+def _blocks(k: int):
+    """Candidate pairs of blocks, and links of components' blocks; rows come sorted by (token, ci, cj, side)."""
+    return lambda batches: _block_pairs(batches, k)
+
+
+def _block_pairs(batches, shingle: int):
 
     def done(batch):
         keys = np.stack([batch.column(c).to_numpy() for c in ("token", "ci", "cj")])
@@ -296,7 +349,12 @@ def _blocks(batches):
             yield rows.pairs(np.concatenate(i), np.concatenate(j))
         cut = np.append(np.flatnonzero(new), len(block))
         for k in np.unique(block[~small]):
-            for i, j in rows.large(np.arange(cut[k], cut[k + 1])):
+            own = np.arange(cut[k], cut[k + 1])
+            if keys[1, own[0]] < 0:
+                if len(np.unique(rows.col["side"][own])) == 2:
+                    yield _whole(rows, own, batch.column("text").slice(own[0], len(own)), shingle)
+                continue
+            for i, j in rows.large(own):
                 yield rows.pairs(i, j)
 
     held = []
@@ -349,6 +407,12 @@ def _mark(c):
     return F.pmod(F.xxhash64(c), F.lit(MARKS))
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the ids, and of others that share a mark with one."""
+    marks = ids.select(_mark(F.col("doc_id")).alias("m")).distinct()
+    return docs.select("doc_id", "text").withColumn("m", _mark(F.col("doc_id"))).join(F.broadcast(marks), "m", "left_semi").drop("m")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are linked.
 
@@ -359,9 +423,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """
     pairs = _shared.materialize(pairs.distinct(), "pairs")
     tasks = _shared.tasks_for(pairs.sparkSession, pairs.count(), PAIRS)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    marks = ids.select(_mark(F.col("doc_id")).alias("m")).distinct()
-    texts = docs.select("doc_id", "text").withColumn("m", _mark(F.col("doc_id"))).join(F.broadcast(marks), "m", "left_semi").drop("m")
+    texts = _texts(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("salts"))
     members = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).join(texts.withColumnRenamed("doc_id", "b"), "b")
     leaders = degree.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).join(texts.withColumnRenamed("doc_id", "a"), "a")
@@ -404,24 +466,27 @@ def _similarity_components(docs: DataFrame, k: int) -> DataFrame:
     known = classes.select("rep", "n", F.col("mh")[0].alias("mh0"), "bits").join(first, F.col("rep") == F.col("node"), "left").select("rep", "n", "mh0", "bits", F.coalesce("component", "rep").alias("comp"))
     known = _shared.materialize(known, "known")
 
-    prefixes = _shared.map_arrow(docs.where(F.col("doc_id").isNotNull()), _prefixes(k, shared), "token long, doc_id long")
+    prefixes = _shared.map_arrow(docs.where(F.col("doc_id").isNotNull()), _prefixes(k, shared), "token long, doc_id long, size long")
     met = _shared.map_arrow(prefixes.repartition("token").sortWithinPartitions("token"), _met, "token long, doc_id long")
-    held = met.join(members, "doc_id").select("token", "rep").join(known.select("rep", "comp"), "rep").select("token", "rep", "comp")
+    held = met.join(members, "doc_id").select("token", "rep").join(known.select("rep", "comp", "n"), "rep").select("token", "rep", "comp", "n")
     held = _shared.materialize(held, "met", release=True)
-    pairs = _shared.map_arrow(_dealt(held, known).repartition("token", "ci", "cj").sortWithinPartitions("token", "ci", "cj", "side"), _blocks, "a long, b long, most long")
-    comp = _contracted(_shared.materialize(pairs.groupBy("a", "b").agg(F.max("most").alias("most")), "candidates", release=True), known.select("rep", "comp"), docs, k)
+    pairs = _shared.map_arrow(_dealt(held, known, docs).repartition("token", "ci", "cj").sortWithinPartitions("token", "ci", "cj", "side"), _blocks(k), "a long, b long, most long")
+    pairs = _shared.materialize(pairs.groupBy("a", "b").agg(F.min("most").alias("most")), "candidates", release=True)
+    comp = _merged(pairs.where(F.col("most") == LINKED), known.select("rep", "comp"), _shared.tasks_for(spark, known.count()))
+    comp = _contracted(pairs.where(F.col("most") != LINKED), comp, docs, k)
     named = members.join(comp, "rep").groupBy("doc_id").agg(F.min("comp").alias("component_id"))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(named, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _dealt(held: DataFrame, known: DataFrame) -> DataFrame:
+def _dealt(held: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     """Rows of blocks that hold every pair of texts of two components that share a token.
 
     A token's rows of its largest component, from ``APART`` rows on, are no part of
     the token's own block: the others meet that component as a whole, once for all
     tokens, in a block of the component. So a large group's texts travel once, and
-    its size adds rows, not pairs of parts. Blocks beyond ``CHUNK`` rows are split
+    its size adds rows, not pairs of parts. Rows of a component's block have their
+    texts. Blocks beyond ``CHUNK`` rows (a component's: or ``SHINGLES``) are split
     into parts, and all pairs of parts that can hold such pairs are dealt.
     """
     held = held.distinct()
@@ -430,19 +495,33 @@ def _dealt(held: DataFrame, known: DataFrame) -> DataFrame:
     apart = (F.col("top.c") >= APART).cast("int")
     mixed = mixed.select("token", F.when(apart == 1, F.col("top.comp")).alias("large"), (F.col("c") - apart * F.col("top.c")).alias("c"), (F.col("comps") - apart).alias("comps"))
     rows = held.join(mixed, "token").where(F.col("large").isNull() | (F.col("comp") != F.col("large")))
-    rows = _shared.materialize(rows.select("token", "rep", "large", "c", "comps"), "mixed", release=True)
+    rows = _shared.materialize(rows.select("token", "rep", "n", "large", "c", "comps"), "mixed", release=True)
     place, parts = F.xxhash64("rep"), lambda n: F.ceil(n / CHUNK).cast("int")
 
     # Of a token's own block the parts (i, j); a block of one part is a pair (0, 0).
     own = rows.where("comps > 1").withColumn("parts", parts(F.col("c"))).withColumn("own", F.pmod(place, "parts").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     own = own.select("token", F.least("own", "o").alias("ci"), F.greatest("own", "o").alias("cj"), (F.col("own") > F.col("o")).cast("int").alias("side"), "rep")
     # Of a component's block the parts (-1 - i of those who meet it, j of its own).
-    meets = _shared.materialize(rows.where("large is not null").select("large", "rep").distinct(), "meets")
-    members = known.select(F.col("comp").alias("large"), "rep")
-    sizes = meets.groupBy("large").agg(F.count("*").alias("n")).join(members.groupBy("large").agg(F.count("*").alias("m")), "large").select("large", parts(F.col("n")).alias("n"), parts(F.col("m")).alias("m"))
+    meets = _shared.materialize(rows.where("large is not null").select("large", "rep", "n").distinct(), "meets")
+    members = known.select(F.col("comp").alias("large"), "rep", "n")
+    split = lambda t, name: t.groupBy("large").agg(F.greatest(parts(F.count("*")), F.ceil(F.sum("n") / SHINGLES).cast("int")).alias(name))
+    sizes = split(meets, "n").join(split(members, "m"), "large")
+    meets, members = meets.drop("n"), members.drop("n")
     theirs = meets.join(sizes, "large").select(F.col("large").alias("token"), (-1 - F.pmod(place, "n")).cast("int").alias("ci"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("cj"), F.lit(1).alias("side"), "rep")
     mine = members.join(sizes, "large").select(F.col("large").alias("token"), F.explode(F.sequence(-F.col("n"), F.lit(-1))).alias("ci"), F.pmod(place, "m").cast("int").alias("cj"), F.lit(0).alias("side"), "rep")
-    return own.unionByName(theirs).unionByName(mine).join(known, "rep").select("token", "ci", "cj", "side", "rep", "comp", "n", "mh0", "bits")
+    whole = theirs.unionByName(mine)
+    texts = _texts(docs, meets.unionByName(members.join(sizes, "large", "left_semi")).select(F.col("rep").alias("doc_id")))
+    whole = whole.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = own.withColumn("text", F.lit(None).cast("string")).unionByName(whole)
+    return rows.join(known, "rep").select("token", "ci", "cj", "side", "rep", "comp", "n", "mh0", "bits", "text")
+
+
+def _merged(links: DataFrame, comp: DataFrame, tasks: int) -> DataFrame:
+    """(rep, comp) after the links (a, b)."""
+    ca, cb = comp.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
+    joined = links.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    new = components(_shared.materialize(joined, "joined"))
+    return _shared.materialize(comp.join(new, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("component", "comp").alias("comp")).coalesce(tasks), "comp")
 
 
 def _contracted(pairs: DataFrame, comp: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -464,9 +543,7 @@ def _contracted(pairs: DataFrame, comp: DataFrame, docs: DataFrame, k: int) -> D
             return comp
         last = turn == TURNS or left <= most or share < FEW
         links = _shared.materialize(verify(open_.select("a", "b") if last else best, docs, k), "links")
-        joined = links.join(ca, "a").join(cb, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        new = components(_shared.materialize(joined, "joined"))
-        comp = _shared.materialize(comp.join(new, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("component", "comp").alias("comp")).coalesce(tasks), "comp")
+        comp = _merged(links, comp, tasks)
         if last:
             return comp
         share = links.count() / first

@@ -2,10 +2,11 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from test_llm import corpus, empty, frame, shingles
 
-from cartolex.llm import htmltext, jaccard, suffixdedup, warc
+from cartolex.llm import _shared, htmltext, jaccard, suffixdedup, warc
 
 PAGE = "<body><div class=x{c}>Site</div><div class=m><p>Words of {i} that differ.</p><p>More of {i}.</p></div><div class=f>Same end</div></body>"
 
@@ -128,6 +129,37 @@ def test_jaccard_of_a_large_group_with_a_common_passage(spark):
     assert got == {i: 0 if i < 1000 else i for i, _ in rows}
 
 
+def test_jaccard_candidates_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """A group of near copies, and texts that are alike to all of it but linked with none: no candidate for each pair."""
+    words = [f"w{i}" for i in range(100)]
+    group = [(i, " ".join([*words, f"a{i}"])) for i in range(150)]
+    near = [(300 + i, " ".join([*words[:79], *(f"b{i}x{k}" for k in range(13))])) for i in range(20)]
+    last = [(200, " ".join([*words, "a0", "c"])), (201, " ".join([*words[12:], "d"]))]
+    seen, own = {}, _shared.materialize
+
+    def counted(df, label, **options):
+        out = own(df, label, **options)
+        seen[label] = max(seen.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(_shared, "materialize", counted)
+    rows = group + near + last
+    got = {r.doc_id: r.component_id for r in jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows)
+    assert got[200] == got[201] == 0 and got[300] == 300
+    assert max(seen["candidates"], seen.get("open", 0)) < 300  # of 3,000 pairs of the group and those near it, and 190 of those
+
+
+def test_paired_rows_keep_every_pair_that_a_token_can_link():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        run, n = np.sort(rng.integers(0, 12, 60)), rng.integers(1, 30, 60)
+        lead = rng.integers(0, 2, 60)
+        x, y = n[:, None], n[None, :]
+        may = (run[:, None] == run) & (4 * x >= 3 * y) & (lead[:, None] == 1) & ((x < y) | (x == y) & (lead == 1)) & ~np.eye(60, dtype=bool)
+        assert jaccard._paired(run, 2 * n + lead)[(may | may.T).any(1)].all()
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard.similarity_components(empty(spark)).count() == 0
     got = jaccard.similarity_components(frame(spark, [None, ""])).collect()
