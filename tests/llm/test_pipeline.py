@@ -109,6 +109,13 @@ def test_stages_and_run_equal_plain_python(spark, folder):
     assert sorted(map(str, whole.select(columns).collect())) == sorted(map(str, packed.select(columns).collect()))
 
 
+def test_quality_rules_send_no_row(spark, folder):
+    out = corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert not any("split" in line for line in plan.splitlines() if "Filter" in line)
+
+
 def test_empty_table(spark, folder):
     docs = frame(spark, []).limit(0)
     for _, stage in corpus_pipeline.STAGES:
