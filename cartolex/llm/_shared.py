@@ -66,11 +66,16 @@ def materialize(df: DataFrame, label: str, release: bool = False, keep: bool = F
     if _OPEN and not keep:
         _OPEN[-1].append(path)
     if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        release_exchanges(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_exchanges(spark: SparkSession) -> None:
+    """Spark deletes the files of exchanges that no plan needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def posix_path(path: str) -> str:
     """The path as the operating system knows it; for files that workers map."""
     if path.startswith("file:"):

@@ -112,3 +112,38 @@ def test_query_takes_trigrams(spark, tmp_path):
     plain = Plain([t for i, t in enumerate(texts) if not got[i].held_out], 3)
     assert {r.held_out for r in got.values()} == {True, False}
     assert [got[i].score for i in range(len(texts))] == pytest.approx([plain.score(t) for t in texts])
+
+
+def test_arrays_are_small_and_work_files_go(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 3000, 200)) for _ in range(300)]
+    monkeypatch.setattr(kneser._shared, "work_path", lambda _, label: f"file://{tmp_path}/{label}")
+    kneser.train(frame(spark, texts), 3, shards=2)
+    files = [f for f in tmp_path.rglob("*") if f.is_file()]
+    grams = len({tuple(g) for t in texts for own in [["", "", *tokens(t)]] for g in zip(own, own[1:], own[2:], strict=False)})
+    assert sum(f.stat().st_size for f in files) < 14 * grams  # hashes and counts by themselves: 22 of trigrams and bigrams
+    assert not [f for f in files if "down" in f.name]
+
+
+def test_keys_are_found_by_all_bits():
+    rng = np.random.default_rng(6)
+    for bits, n, shards in ((32, 5000, 1), (44, 30000, 3), (64, 30000, 4), (40, 20000, 2), (64, 3, 1), (52, 30000, 7)):
+        key = rng.integers(0, 1 << bits, n, dtype=np.uint64) & np.uint64((1 << bits) - 2)
+        key = np.unique(np.concatenate([key, key ^ np.uint64(1), key ^ np.uint64(0x300)]))
+        key = key[kneser.shard_of(key, shards, bits) == 0]
+        query = np.sort(np.concatenate([key, key ^ np.uint64(2), key ^ np.uint64(0x500), np.array([0, (1 << bits) - 1], np.uint64)]))
+        which, at = kneser.find_keys(kneser.code_keys(key, bits, shards), query)
+        there = np.flatnonzero(np.isin(query, key))
+        assert which.tolist() == there.tolist() and key[at].tolist() == query[there].tolist()
+
+
+def test_counts_and_rows_come_back():
+    rng = np.random.default_rng(7)
+    for table in (rng.zipf(1.3, (1, 5000)), rng.zipf(1.2, (5, 90000)), np.array([[1 << 61, 0, 300]])):
+        table = np.minimum(table, 1 << 61).astype(np.int64)
+        assert np.array_equal(kneser.counts_at(kneser.code_counts(table), np.arange(table.shape[1])), table)
+    ids, counts = rng.integers(0, 1 << 32, (500, 3), dtype=np.uint64), rng.zipf(1.3, (4, 500))
+    counts = np.minimum(counts, 1 << 61).astype(np.int64)
+    got, n = kneser.unpack_rows(kneser.pack_rows(ids, counts))
+    rows = lambda i, c: sorted(map(tuple, np.concatenate([i.astype(object), c.T.astype(object)], 1).tolist()))
+    assert rows(got, n) == rows(ids, counts)
