@@ -70,6 +70,16 @@ def materialize(df: DataFrame, label: str, release: bool = False, keep: bool = F
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the work tables of the open scratch that ``df`` reads: nothing may read them any more."""
+    jvm, hadoop = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    names = {file.rsplit("/", 1)[0].rsplit("/", 1)[1] for file in df.inputFiles()}
+    for path in [p for p in (_OPEN[-1] if _OPEN else ()) if p.rsplit("/", 1)[1] in names]:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+        _OPEN[-1].remove(path)
+
+
 def release_exchanges(spark: SparkSession) -> None:
     """Spark deletes the files of exchanges that no plan needs any more."""
     gc.collect()

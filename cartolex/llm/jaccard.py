@@ -444,6 +444,7 @@ def _similarity_components(docs: DataFrame, k: int) -> DataFrame:
     rows = both.where(F.col("token").isNull())
     # Frequent shingles: at most HOT_MOST of them, as each has a share of at least 1 / HOT_MOST of all.
     total = rows.agg(F.sum("n")).first()[0] or 0
+    counts = _shared.materialize(rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")), "counts")
     found = both.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(HOT_LEAST, total // HOT_MOST))
     hot = np.sort(found.select("token").toPandas()["token"].to_numpy(np.int64).view(U))
     shared = spark.sparkContext.broadcast(hot)
@@ -465,6 +466,8 @@ def _similarity_components(docs: DataFrame, k: int) -> DataFrame:
     first = _shared.materialize(components(_shared.materialize(links, "links", release=True)), "first")
     known = classes.select("rep", "n", F.col("mh")[0].alias("mh0"), "bits").join(first, F.col("rep") == F.col("node"), "left").select("rep", "n", "mh0", "bits", F.coalesce("component", "rep").alias("comp"))
     known = _shared.materialize(known, "known")
+    for table in (both, classes, first):  # only ``counts``, ``members`` and ``known`` are read from here on
+        _shared.discard(table)
 
     prefixes = _shared.map_arrow(docs.where(F.col("doc_id").isNotNull()), _prefixes(k, shared), "token long, doc_id long, size long")
     met = _shared.map_arrow(prefixes.repartition("token").sortWithinPartitions("token"), _met, "token long, doc_id long")
@@ -475,7 +478,7 @@ def _similarity_components(docs: DataFrame, k: int) -> DataFrame:
     comp = _merged(pairs.where(F.col("most") == LINKED), known.select("rep", "comp"), _shared.tasks_for(spark, known.count()))
     comp = _contracted(pairs.where(F.col("most") != LINKED), comp, docs, k)
     named = members.join(comp, "rep").groupBy("doc_id").agg(F.min("comp").alias("component_id"))
-    out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles")).join(named, "doc_id", "left")
+    out = counts.join(named, "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -489,13 +492,14 @@ def _dealt(held: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
     texts. Blocks beyond ``CHUNK`` rows (a component's: or ``SHINGLES``) are split
     into parts, and all pairs of parts that can hold such pairs are dealt.
     """
-    held = held.distinct()
+    met, held = held, held.distinct()
     each = held.groupBy("token", "comp").agg(F.count("*").alias("c"))
     mixed = each.groupBy("token").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("comps")).where("comps > 1")
     apart = (F.col("top.c") >= APART).cast("int")
     mixed = mixed.select("token", F.when(apart == 1, F.col("top.comp")).alias("large"), (F.col("c") - apart * F.col("top.c")).alias("c"), (F.col("comps") - apart).alias("comps"))
     rows = held.join(mixed, "token").where(F.col("large").isNull() | (F.col("comp") != F.col("large")))
     rows = _shared.materialize(rows.select("token", "rep", "n", "large", "c", "comps"), "mixed", release=True)
+    _shared.discard(met)
     place, parts = F.xxhash64("rep"), lambda n: F.ceil(n / CHUNK).cast("int")
 
     # Of a token's own block the parts (i, j); a block of one part is a pair (0, 0).

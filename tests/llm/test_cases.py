@@ -164,3 +164,21 @@ def test_jaccard_of_an_empty_table(spark):
     assert jaccard.similarity_components(empty(spark)).count() == 0
     got = jaccard.similarity_components(frame(spark, [None, ""])).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(0, 0, 0), (1, 0, 1)]
+
+
+def test_join_deletes_tables_that_are_read(spark, monkeypatch, tmp_path):
+    seen, whole = [], jaccard._dealt
+
+    def dealt(held, known, docs):
+        seen.append({p.name.split("-")[0] for p in tmp_path.iterdir()})
+        out = whole(held, known, docs)
+        seen.append({p.name.split("-")[0] for p in tmp_path.iterdir()})
+        return out
+
+    monkeypatch.setattr(jaccard._shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(jaccard, "_dealt", dealt)
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen"
+    got = jaccard.similarity_components(frame(spark, [text, text + " end", "other words that are not like the rest", text, None])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {0: (14, 0), 1: (15, 0), 2: (4, 2), 3: (14, 0), 4: (0, 4)}
+    assert {"members", "known", "met"} <= seen[0] and not {"features", "classes", "first"} & seen[0]
+    assert "mixed" in seen[1] and "met" not in seen[1]
