@@ -1,6 +1,7 @@
 """The n-gram model against a dictionary version of the same formulas."""
 
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -147,3 +148,77 @@ def test_counts_and_rows_come_back():
     got, n = kneser.unpack_rows(kneser.pack_rows(ids, counts))
     rows = lambda i, c: sorted(map(tuple, np.concatenate([i.astype(object), c.T.astype(object)], 1).tolist()))
     assert rows(got, n) == rows(ids, counts)
+
+
+def test_order_of_keys_is_stable_and_exact():
+    rng = np.random.default_rng(8)
+    top = np.uint64(1) << np.uint64(63)
+    for key in (
+        rng.integers(0, 1 << 64, 5000, dtype=np.uint64), rng.integers(0, 50, 5000, dtype=np.uint64), np.sort(rng.integers(0, 9, 99, dtype=np.uint64)),
+        rng.integers(0, 2, 5000, dtype=np.uint64) * top + rng.integers(0, 40, 5000, dtype=np.uint64),  # alike in all leading bits that fit beside a place
+        np.array([(1 << 64) - 1, 0], np.uint64), np.zeros(3, np.uint64), np.zeros(0, np.uint64),
+    ):
+        assert kneser.in_order(key).tolist() == np.argsort(key, kind="stable").tolist()
+        some, back = kneser.distinct(key)
+        assert some.tolist() == sorted(set(key.tolist())) and some[back].tolist() == key.tolist()
+
+
+@pytest.mark.parametrize("vocabulary", [5000, 1 << 30])  # keys of all bits of ids, and of hashes
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_parts_hold_sums_of_all_rows(vocabulary, k):
+    rng = np.random.default_rng(9)
+    model = kneser.Model("", 3, 4, [vocabulary // 2, vocabulary - vocabulary // 2], 1)
+    ids, n = rng.integers(0, 12, (3000, k)) * (vocabulary // 12), rng.integers(1, 6, 3000)
+    contexts, times = defaultdict(Counter), Counter()
+    for row, x in zip(map(tuple, ids.tolist()), n.tolist(), strict=True):
+        contexts[row].update({0: x, min(x, 3): 1})
+        times[row] += 1
+    for counts, want in ((n, {g: [c[i] for i in range(4)] for g, c in contexts.items()}), (None, {g: [c] for g, c in times.items()})):
+        got = {}
+        for s, part in enumerate(kneser._parts(ids.astype("<u4"), counts, model)):
+            rows, sums = kneser.unpack_rows(part) if part else (np.zeros((0, k), np.uint64), np.zeros((1, 0)))
+            assert (kneser.shard_of(model.key(rows), 3, model.bits(k)) == s).all()
+            assert not set(got) & set(map(tuple, rows.tolist()))
+            got |= dict(zip(map(tuple, rows.tolist()), sums.T.tolist(), strict=True))
+        assert got == want
+
+
+@pytest.mark.parametrize("words, order", [(300, 3), (70_000, 4)])  # n-grams of numbers of words in 64 bits, and by keys
+def test_ngrams_of_a_batch(monkeypatch, words, order):
+    rng = np.random.default_rng(10)
+    texts = [" ".join(f"w{i}" for i in rng.permutation(words)[: words // 2 + 7 * j]) for j in range(4)] + [" ".join(f"w{i}" for i in range(words)), None]
+    seen: dict[int, int] = {}
+    monkeypatch.setattr(kneser.Model, "ids", lambda self, w: np.array([seen.setdefault(x, len(seen)) if x != 1 else 0 for x in w.tolist()], np.uint64))
+    seen[1] = 0
+    model = kneser.Model("", 3, order, [words + 1], 1)
+    got = Counter()
+    for batch in kneser._count_grams(model)([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]):
+        for part in batch.column(1).to_pylist():
+            ids, n = kneser.unpack_rows(part)
+            got.update(dict(zip(map(tuple, ids.tolist()), n[0].tolist(), strict=True)))
+    hashes = {w: h for t in texts for w, h in zip(tokens(t), (kneser.tokens_of(pa.array([t]))[0] >> np.uint64(16)).tolist(), strict=True)}
+    own = [["<s>"] * (order - 1) + tokens(t) for t in texts]
+    assert got == Counter(tuple(seen[hashes[w]] if w != "<s>" else 0 for w in t[i : i + order]) for t in own for i in range(len(t) - order + 1))
+
+
+def test_counting_takes_few_sorts(tmp_path):
+    """CPU time of a level against that of sorting as many numbers; merging by hash tables and sorting places took several times as long."""
+    rng = np.random.default_rng(11)
+    for level in (2, 3):
+        (tmp_path / str(level)).mkdir()
+    model = kneser.Model(str(tmp_path), 8, 3, [1 << 22], 1)
+    shard = [i for i in rng.integers(0, 1 << 22, (8, 100_000, 3), dtype=np.uint64)]
+    batch = [pa.RecordBatch.from_arrays([pa.array([0] * 8, pa.int32()), pa.array([kneser.pack_rows(i, np.ones((1, len(i)), np.int64)) for i in shard])], ["shard", "a"])]
+    numbers = rng.integers(0, 1 << 64, 800_000, dtype=np.uint64)
+
+    def least(f):
+        out = []
+        for _ in range(3):
+            start = time.process_time()
+            f()
+            out.append(time.process_time() - start)
+        return min(out)
+
+    ratio = least(lambda: list(kneser._level(model, 3)(batch))) / least(lambda: np.sort(numbers))
+    print(f"a level in the time of {ratio:.1f} sorts")
+    assert ratio < 45
