@@ -732,18 +732,54 @@ def number_text(x: Column) -> Column:
     """The shortest digits that tell a number from others, without an exponent."""
     integer = (x == whole(x, F.floor)) & (F.abs(x) < 1e15)
     text = x.cast("string")
-    return F.when(integer, x.cast("long").cast("string")).when(F.contains(text, F.lit("E")), colors.bind(text, _unscaled)).otherwise(text)
+    return F.when(integer, x.cast("long").cast("string")).when(F.contains(text, F.lit("E")), colors.bind(x, _unscaled)).otherwise(text)
 
 
-def _unscaled(t: Column) -> Column:
-    """``d.dddE[-]dd`` as a plain decimal."""
-    mantissa, power = F.substring_index(t, "E", 1), F.substring_index(t, "E", -1).cast("int")
-    sign = F.when(F.startswith(t, F.lit("-")), "-").otherwise("")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"[-.]", "")
+def _unscaled(x: Column) -> Column:
+    """A number whose text has an exponent, as a plain decimal."""
+    shortest = colors.bind(_written(F.abs(x)), _shortest)
+    return F.concat(F.when(x < 0, "-").otherwise(""), colors.bind(colors.bind(shortest, _scaled), _plain))
+
+
+def _written(a: Column) -> Column:
+    """A number with its digits and the power of ten of the first of them: all digits from 2^53 to 2^126, where Java's are not always the nearest."""
+    text = a.cast("string")
+    high = F.floor(a / 2.0**63)
+    exact = high.cast("decimal(19,0)") * F.lit(Decimal(2**63)) + (a - high * 2.0**63).cast("long").cast("decimal(19,0)")
+    whole_text = F.when((a >= 2.0**53) & (a < 2.0**126), exact.cast("string"))
+    digits = F.coalesce(whole_text, F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit("")))
+    power = F.coalesce(F.char_length(whole_text) - 1, F.substring_index(text, "E", -1).cast("int"))
+    return F.struct(a.alias("a"), digits.alias("digits"), power.alias("power"))
+
+
+def _shortest(w: Column) -> Column:
+    """``digitsEpower``, where Java before 19 has too many digits: at powers of two, from 2^53 on, next to texts halfway between two numbers.
+
+    At most one text of 15 digits gives a normal number back, and it is the nearest. Of 16 the nearest may fail where the other does not.
+    """
+    size = F.char_length(w["digits"])
+
+    def cut(k: Column, other: bool = False) -> Column:
+        up = (F.substring(w["digits"], k + 1, F.lit(1)) >= "5") != other
+        text = F.concat((F.substring(w["digits"], F.lit(1), k).cast("long") + up.cast("long")).cast("string"), F.lit("E"), (w["power"] - k + 1).cast("string"))
+        return F.when((size > k) & (text.cast("double") == w["a"]), text)
+
+    subnormal = F.when(w["a"] < 2.0**-1022, F.get(F.filter(F.transform(F.sequence(F.lit(1), F.lit(14)), lambda k: cut(k)), lambda t: t.isNotNull()), F.lit(0)))
+    return F.coalesce(subnormal, cut(F.lit(15)), cut(F.lit(16)), cut(F.lit(16), True), cut(F.lit(17)), F.concat(w["digits"], F.lit("E"), (w["power"] - size + 1).cast("string")))
+
+
+def _scaled(t: Column) -> Column:
+    """Digits without zeros at the end, and the power of ten of the first, of ``digitsEpower``."""
+    digits = F.substring_index(t, "E", 1)
+    return F.struct(F.rtrim(digits, F.lit("0")).alias("digits"), (F.substring_index(t, "E", -1).cast("int") + F.char_length(digits) - 1).alias("power"))
+
+
+def _plain(s: Column) -> Column:
+    digits, power = s["digits"], s["power"]
     size = F.char_length(digits)
     large = F.when(size <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, size)))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    return F.concat(sign, F.when(power >= 0, large).otherwise(small))
+    return F.when(power >= 0, large).otherwise(small)
 
 
 def to_text(n: Node) -> Column:
