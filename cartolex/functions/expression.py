@@ -1049,6 +1049,53 @@ CURRENCIES = {"USD": ("$", 2), "EUR": ("€", 2), "JPY": ("¥", 0), "GBP": ("£"
 UNITS = {"meter": " m", "kilometer": " km", "celsius": "°C", "fahrenheit": "°F", "kilobyte": " kB", "megabyte": " MB", "foot": " ft", "mile": " mi"}
 
 
+def _rounded(x: Column, least: int, most: int) -> Column:
+    """A number from 0 on in groups of thousands, with ``least`` to ``most`` digits after the point; its shortest text rounds half up.
+
+    Arithmetic serves where its error is far from a half; ``_rounded_text`` does the other numbers.
+    """
+    by_text = F.when(x < math.inf, colors.bind(x, lambda v: _rounded_text(v, least, most)))
+    if most > 15:
+        return by_text
+    unit, scaled = 10**most, x * 10.0**most
+    under = F.floor(scaled)
+    part = scaled - under
+    safe = (scaled < 2.0**52) & (F.abs(part - 0.5) > scaled * 2.0**-50) if most else scaled < 2.0**52
+    units = under + (part >= 0.5).cast("long")
+    head = _div(units, unit) if most else units
+    thousands = F.concat(_div(head, 1000).cast("string"), F.lit(","), F.lpad((head % 1000).cast("string"), 3, "0"))
+    grouped = F.when(head < 1000, head.cast("string")).when(head < 1000000, thousands).otherwise(F.format_number(head, 0))
+    return F.when(safe, F.concat(grouped, _fraction(F.lpad((units % unit).cast("string"), most, "0"), least, most)) if most else grouped).otherwise(by_text)
+
+
+def _div(a: Column, b: int) -> Column:
+    """Whole quotient of a long under 2^53."""
+    return ((a - a % b) / b).cast("long")
+
+
+def _fraction(digits: Column, least: int, most: int) -> Column:
+    """The point and ``most`` digits, without zeros at the end beyond ``least``."""
+    if least == most:
+        return F.concat(F.lit("."), digits)
+    if least:
+        return F.concat(F.lit("."), F.substring(digits, 1, least), F.rtrim(F.substring(digits, least + 1, most), F.lit("0")))
+    return F.rtrim(F.rtrim(F.concat(F.lit("."), digits), F.lit("0")), F.lit("."))
+
+
+def _rounded_text(x: Column, least: int, most: int) -> Column:
+    def fixed(t: Column) -> Column:
+        digits = F.when(F.contains(t, F.lit(".")), F.substring_index(t, ".", -1)).otherwise("")
+        rounded = F.replace(F.format_number(t.try_cast(f"decimal(38,{min(most, 37)})"), most), F.lit(","), F.lit(""))
+        padded = F.concat(F.substring_index(t, ".", 1), F.lit("."), F.rpad(digits, most, "0")) if most else t
+        return F.when(F.char_length(digits) > most, rounded).otherwise(padded)
+
+    def grouped(t: Column) -> Column:
+        head = F.regexp_replace(F.substring_index(t, ".", 1), r"(\d)(?=(\d{3})+$)", "$1,")
+        return F.concat(head, _fraction(F.substring_index(t, ".", -1), least, most)) if most else head
+
+    return colors.bind(colors.bind(number_text(x), fixed), grouped)
+
+
 @op("number-format", 2)
 def _number_format(_, args, cx):
     n, o = numeric(compile_node(args[0], cx)), args[1]
@@ -1060,13 +1107,8 @@ def _number_format(_, args, cx):
         return Node(F.lit(None).cast("string"), F.lit(True), STRING)
     least = int(o.get("min-fraction-digits", 0 if digits is None else digits))
     most = max(int(o.get("max-fraction-digits", 3 if digits is None else digits)), least)
-    # The shortest text of a double, as a decimal, rounds half up where the double itself would not.
-    fixed = F.format_number(F.abs(n.value).cast("string").try_cast(f"decimal(38,{most + 6})").try_cast(f"decimal(32,{most})"), most)
-    text = fixed
-    for _i in range(most - least):
-        text = F.when(F.substring_index(text, ".", -1) != text, F.regexp_replace(text, rf"(\.\d{{{least},}}?)0$", "$1")).otherwise(text)
-    text = F.regexp_replace(text, r"\.$", "")
-    sign = F.when((n.value < 0) & fixed.rlike("[1-9]"), "-").otherwise("")
+    text = _rounded(F.abs(n.value), least, most)
+    sign = F.when((n.value < 0) & text.rlike("[1-9]"), "-").otherwise("")
     return Node(F.concat(sign, F.lit(mark), text, F.lit(suffix)), any_of(n.err, F.isnan(n.value) | (F.abs(n.value) == math.inf)), STRING)
 
 

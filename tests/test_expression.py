@@ -120,6 +120,28 @@ def test_shortest_digits(spark):
     assert [r for r in rows if r.want != r.got or r.listed != f"[{r.want}]"] == []
 
 
+def test_number_format(spark):
+    cases = [
+        (0.49999995, {"currency": "JPY"}, "¥0"), (0.5, {"currency": "JPY"}, "¥1"), (-0.4, {"currency": "JPY"}, "¥0"), (999.5, {"currency": "JPY"}, "¥1,000"), (4503599627370495.5, {"currency": "JPY"}, "¥4,503,599,627,370,496"),
+        (1.005, {"currency": "USD"}, "$1.01"), (-1234567.895, {"currency": "USD"}, "-$1,234,567.90"), (1e30, {"currency": "USD"}, "$1" + ",000" * 10 + ".00"), (295149e15, {"unit": "meter"}, "295,149" + ",000" * 5 + " m"),
+        (999.9995, {"unit": "kilometer"}, "1,000 km"), (12.04, {"unit": "kilometer"}, "12.04 km"), (1234567.0, {"min-fraction-digits": 1, "max-fraction-digits": 4}, "1,234,567.0"), (0.12345, {"min-fraction-digits": 1, "max-fraction-digits": 4}, "0.1235"), (1e-7, {"max-fraction-digits": 20}, "0.0000001"),
+    ]
+    df = spark.createDataFrame([([x for x, *_ in cases],)], "n array<double>")
+    cx = ex.Context(spark.createDataFrame([], "n double").schema)
+    for i, (x, options, want) in enumerate(cases):
+        got = df.select(df.n[i].alias("n")).select(ex.compile_expr(["number-format", ["get", "n"], options], cx).value).first()[0]
+        assert got == want, (x, options)
+    missing = spark.createDataFrame([(None,), (math.nan,), (math.inf,)], "n double").select(ex.compile_expr(["number-format", ["get", "n"], {"unit": "mile"}], cx).value)
+    assert [r[0] for r in missing.collect()] == [None] * 3
+
+
+def test_number_format_is_small(spark):
+    """Each text is built in few places: the optimizer copies a column wherever a step reads it."""
+    df = spark.createDataFrame([], "n double")
+    node = ex.compile_expr(["number-format", ["get", "n"], {"unit": "kilometer"}], ex.Context(df.schema))
+    assert df.select(node.value)._jdf.queryExecution().optimizedPlan().toString().count("format_number(") <= 8
+
+
 def test_new_operators(spark):
     area = {"type": "Polygon", "coordinates": [[[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]]]}
     got = evaluate(spark, [
