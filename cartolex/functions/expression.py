@@ -732,24 +732,36 @@ def number_text(x: Column) -> Column:
     """The shortest digits that tell a number from others, without an exponent."""
     integer = (x == whole(x, F.floor)) & (F.abs(x) < 1e15)
     text = x.cast("string")
-    return F.when(integer, x.cast("long").cast("string")).when(F.contains(text, F.lit("E")), colors.bind(x, _unscaled)).otherwise(text)
+    return F.when(integer, x.cast("long").cast("string")).when(F.contains(text, F.lit("E")), colors.bind(F.struct(x.alias("x"), F.abs(x).alias("a"), F.abs(x).cast("string").alias("text")), _unscaled)).otherwise(text)
 
 
-def _unscaled(x: Column) -> Column:
-    """A number whose text has an exponent, as a plain decimal."""
-    shortest = colors.bind(_written(F.abs(x)), _shortest)
-    return F.concat(F.when(x < 0, "-").otherwise(""), colors.bind(colors.bind(shortest, _scaled), _plain))
+def _unscaled(n: Column) -> Column:
+    """A number whose text has an exponent, as a plain decimal. Up to 15 digits give no other normal number, so they are the shortest."""
+    few = (F.instr(n["text"], "E") <= 17) & (n["a"] >= 2.0**-1022)
+    digits = F.when(few, F.struct(F.rtrim(_mantissa(n["text"]), F.lit("0")).alias("digits"), _exponent(n["text"]).alias("power")))
+    longer = colors.bind(colors.bind(colors.bind(_whole_digits(n), _written), _shortest), _scaled)
+    return F.concat(F.when(n["x"] < 0, "-").otherwise(""), colors.bind(digits.otherwise(longer), _plain))
 
 
-def _written(a: Column) -> Column:
-    """A number with its digits and the power of ten of the first of them: all digits from 2^53 to 2^126, where Java's are not always the nearest."""
-    text = a.cast("string")
-    high = F.floor(a / 2.0**63)
-    exact = high.cast("decimal(19,0)") * F.lit(Decimal(2**63)) + (a - high * 2.0**63).cast("long").cast("decimal(19,0)")
-    whole_text = F.when((a >= 2.0**53) & (a < 2.0**126), exact.cast("string"))
-    digits = F.coalesce(whole_text, F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit("")))
-    power = F.coalesce(F.char_length(whole_text) - 1, F.substring_index(text, "E", -1).cast("int"))
-    return F.struct(a.alias("a"), digits.alias("digits"), power.alias("power"))
+def _mantissa(text: Column) -> Column:
+    return F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit(""))
+
+
+def _exponent(text: Column) -> Column:
+    return F.substring_index(text, "E", -1).cast("int")
+
+
+def _whole_digits(n: Column) -> Column:
+    """A number with all its digits from 2^53 to 2^126, where Java's are not always the nearest."""
+    high = F.floor(n["a"] / 2.0**63)
+    exact = high.cast("decimal(19,0)") * F.lit(Decimal(2**63)) + (n["a"] - high * 2.0**63).cast("long").cast("decimal(19,0)")
+    return F.struct(n["a"].alias("a"), n["text"].alias("text"), F.when((n["a"] >= 2.0**53) & (n["a"] < 2.0**126), exact.cast("string")).alias("whole"))
+
+
+def _written(n: Column) -> Column:
+    """A number with its digits and the power of ten of the first of them."""
+    digits, power = F.coalesce(n["whole"], _mantissa(n["text"])), F.coalesce(F.char_length(n["whole"]) - 1, _exponent(n["text"]))
+    return F.struct(n["a"].alias("a"), digits.alias("digits"), power.alias("power"))
 
 
 def _shortest(w: Column) -> Column:
@@ -771,7 +783,7 @@ def _shortest(w: Column) -> Column:
 def _scaled(t: Column) -> Column:
     """Digits without zeros at the end, and the power of ten of the first, of ``digitsEpower``."""
     digits = F.substring_index(t, "E", 1)
-    return F.struct(F.rtrim(digits, F.lit("0")).alias("digits"), (F.substring_index(t, "E", -1).cast("int") + F.char_length(digits) - 1).alias("power"))
+    return F.struct(F.rtrim(digits, F.lit("0")).alias("digits"), (_exponent(t) + F.char_length(digits) - 1).alias("power"))
 
 
 def _plain(s: Column) -> Column:
